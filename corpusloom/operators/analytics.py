@@ -100,20 +100,23 @@ def corpus_totals(status: DataFrame) -> DataFrame:
     )
 
 
-def category_coverage(labels: DataFrame, chunks: DataFrame, current: DataFrame,
+def category_coverage(labels: DataFrame, chunks: DataFrame | None, current: DataFrame,
                       categories: DataFrame, rubric_id: int, *, ordered: bool = True) -> DataFrame:
     """use of each rubric category, and of categories outside the rubric.
 
     ``categories`` is the exploded rubric (``rubric_id, pos, name``). Statistics
     are first reduced to category and document, so the distinct document count
     is a plain count and one category with most labels is spread by document.
+    Without ``chunks``, the labels must carry ``doc_id`` themselves.
     """
     actions = current.select("label_id", "action")
+    mine = labels.where(F.col("rubric_id") == rubric_id)
+    if chunks is not None:
+        mine = mine.select(
+            "label_id", "chunk_id", "predicted_categories", "composite_confidence"
+        ).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
     used = (
-        labels.where(F.col("rubric_id") == rubric_id)
-        .select("label_id", "chunk_id", "predicted_categories", "composite_confidence")
-        .join(chunks.select("chunk_id", "doc_id"), "chunk_id")
-        .join(actions, "label_id", "left")
+        mine.join(actions, "label_id", "left")
         .select(
             "doc_id", "action",
             F.coalesce("composite_confidence", F.lit(0.0)).alias("confidence"),

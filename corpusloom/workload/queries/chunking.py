@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import arrays
-from corpusloom.operators import clauses, edits, runs, semantic_chunks, structural_chunks, structure
+from corpusloom.operators import (
+    analytics, clauses, edits, runs, semantic_chunks, structural_chunks, structure,
+)
+from corpusloom.schemas import DNB
 from corpusloom.workload.queries.ingest import joined, sha
 from corpusloom.workload.registry import query
 from corpusloom.workload.sql import cosine, letters
@@ -523,3 +525,48 @@ def c20(t: Tables) -> DataFrame:
     FROM chunks c JOIN docs d ON c.doc_id = d.doc_id""")
 def c21(t: Tables) -> DataFrame:
     return runs.chunk_index(t.chunks(), t.documents())
+
+
+# ------------------------------------------------------------------ flagship
+
+HEALTH = LINE_PACKS + [
+    ("said", """SELECT p.doc_id, p.ord, p.tokens, list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END],
+        lambda x: x IS NOT NULL) AS cats, (tokens % 101) / 100.0 AS conf FROM packs p JOIN labels q ON q.doc_id = p.doc_id"""),
+    ("used", f"""SELECT doc_id, conf, unnest(CASE WHEN len(cats) = 0 THEN ['{DNB}'] ELSE cats END) AS name FROM said"""),
+    ("stat", "SELECT name, count(*) AS n, avg(conf) AS conf, count(DISTINCT doc_id) AS docs FROM used GROUP BY name"),
+    ("cov", """SELECT coalesce(c.name, s.name) AS name, c.name IS NOT NULL AS in_rubric, coalesce(n, 0) AS count,
+        coalesce(conf, 0.0)::DOUBLE AS conf, coalesce(docs, 0) AS docs
+        FROM (SELECT name FROM cats WHERE rubric_id = 1) c FULL OUTER JOIN stat s ON c.name = s.name"""),
+]
+
+
+@query("f5_corpus_health", needs=["raw_lines", "cats"], extra=HEALTH, sql="""
+    SELECT name, in_rubric, count, round(conf, 6) AS avg_confidence, docs AS doc_count, NOT in_rubric AS orphan,
+           in_rubric AND count = 0 AND (SELECT sum(count) FROM cov) > 0 AS dead, in_rubric AND count > 0 AND conf < 0.6 AS low_confidence
+    FROM cov""")
+def f5_health(t: Tables) -> DataFrame:
+    """Texts, packed into chunks, labeled, and reported by category."""
+    chunks = line_packs(t).select(
+        (F.col("doc_id") * 1_000_000 + F.col("ord")).alias("chunk_id"), "doc_id", "token_count"
+    )
+    return corpus_health(t.given("labels"), chunks, t.categories(), rubric_id=1).select(
+        "name", "in_rubric", "count", F.round("avg_confidence", 6).alias("avg_confidence"),
+        "doc_count", "orphan", "dead", "low_confidence",
+    )
+
+
+def corpus_health(given: DataFrame, chunks: DataFrame, categories: DataFrame, *, rubric_id: int) -> DataFrame:
+    """Coverage of a rubric by chunks that carry the labels of their document."""
+    found = F.filter(
+        F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")),
+        lambda x: x.isNotNull(),
+    )
+    labels = chunks.join(given, "doc_id").select(
+        F.col("chunk_id").alias("label_id"), "chunk_id", F.lit(rubric_id).alias("rubric_id"),
+        F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(DNB))).alias("predicted_categories"),
+        ((F.col("token_count") % 101) / 100.0).alias("composite_confidence"), "doc_id",
+    )
+    none = labels.select("label_id", F.lit("").alias("action")).where("false")
+    return analytics.coverage_flags(
+        analytics.category_coverage(labels, None, none, categories, rubric_id)
+    )
