@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 256
+# A character of the Unicode private use area.
+MARK = "\uE000"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,6 +35,15 @@ def let_all(values: list[Column], body: Callable[..., Column]) -> Column:
     return let(values[0], lambda v: let_all(values[1:], lambda *rest: body(v, *rest)))
 
 
+def rows_of(items: Column | str) -> Column:
+    """``items`` for ``explode``, when computing them is expensive.
+
+    Before exploding a plain column the optimizer filters on its size, and moves
+    that filter to where the column is computed, which computes it twice.
+    """
+    return F.transform(items, lambda x: x)
+
+
 def empty_array(element_type: str) -> Column:
     return F.array().cast(f"array<{element_type}>")
 
@@ -48,17 +59,21 @@ def blocked_fold(
     Returns every emitted array, concatenated, as ``array<out_type>``.
     """
 
-    return let(items, lambda xs: _blocked_fold(xs, state, out_type, step))
 
+    def one_item(a: Column, item: Column) -> Column:
+        new_state, emitted = step(a["state"], item)
+        return F.struct(new_state.alias("state"), F.concat(a["out"], emitted).alias("out"))
+
+    return let(items, lambda xs: _over_blocks(xs, state, out_type, one_item))
+
+
+def _over_blocks(items: Column, state: Column, out_type: str,
+                 one_item: Callable[[Column, Column], Column]) -> Column:
+    """Fold block by block; ``one_item`` maps (state, out) and an item to the next."""
 
-def _blocked_fold(items: Column, state: Column, out_type: str, step) -> Column:
     def acc(state: Column, out: Column) -> Column:
         return F.struct(state.alias("state"), out.alias("out"))
 
-    def one_item(a: Column, item: Column) -> Column:
-        new_state, emitted = step(a["state"], item)
-        return acc(new_state, F.concat(a["out"], emitted))
-
     def one_block(outer: Column, block: Column) -> Column:
         return F.aggregate(
             F.slice(items, block * BLOCK + 1, F.lit(BLOCK)),
@@ -75,14 +90,22 @@ def _blocked_fold(items: Column, state: Column, out_type: str, step) -> Column:
     return F.aggregate(blocks, start, one_block, lambda a: F.flatten(a["out"]))
 
 
+def scan(items: Column, state: Column, state_type: str,
+         step: Callable[[Column, Column], Column]) -> Column:
+    """Every state of a fold, in order: ``step(state, item)`` gives the next one."""
+
+    def one_item(a: Column, item: Column) -> Column:
+        return let(
+            step(a["state"], item),
+            lambda s: F.struct(s.alias("state"), F.concat(a["out"], F.array(s)).alias("out")),
+        )
+
+    return let(items, lambda xs: _over_blocks(xs, state, state_type, one_item))
+
+
 def prefix_sums(lengths: Column) -> Column:
     """Inclusive running totals of an int array."""
-    return blocked_fold(
-        lengths,
-        F.lit(0),
-        "int",
-        lambda total, n: (total + n, F.array(total + n)),
-    )
+    return scan(lengths, F.lit(0), "int", lambda total, n: total + n)
 
 
 def indices(items: Column) -> Column:
@@ -102,7 +125,23 @@ def groups(items: Column, starts: Column) -> Column:
 
 def split_with_gaps(text: Column, pattern: str,
                     body: Callable[[Column, Column], Column]) -> Column:
-    """``body`` of the texts between matches (n + 1) and the matches (n)."""
-    return let_all(
-        [F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))], body
-    )
+    """``body`` of the texts between matches (n + 1) and the matches (n).
+
+    One pass of the pattern puts a private-use mark around every match; then a
+    plain split gives gap, match, gap, … Texts that hold the mark already are
+    searched twice instead.
+    """
+
+    def of_text(t: Column) -> Column:
+        marked = F.split(F.regexp_replace(t, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+        quick = let(marked, lambda parts: F.struct(
+            F.filter(parts, lambda _, i: i % 2 == 0).alias("gaps"),
+            F.filter(parts, lambda _, i: i % 2 == 1).alias("marks"),
+        ))
+        twice = F.struct(
+            F.split(t, pattern, -1).alias("gaps"),
+            F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("marks"),
+        )
+        return F.when(F.contains(t, F.lit(MARK)), twice).otherwise(quick)
+
+    return let(let(text, of_text), lambda p: body(p["gaps"], p["marks"]))

@@ -17,8 +17,9 @@ WHITESPACE = "".join(
          0x2028, 0x2029, 0x202F, 0x205F, 0x3000],
     )
 )
-# The same set as a regular-expression class, to be used under the (?U) flag.
-WS = r"[\s\x1C-\x1F]"
+# The same set as a regular-expression class. Spelled out, it is several times
+# faster to test than a Unicode property.
+WS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 # A token counter maps array<string> to array<int>. A vectorized UDF fits too.
 TokenCounter = Callable[[Column], Column]
@@ -51,7 +52,7 @@ def count_tokens(text: Column, counter: TokenCounter = estimate_counts) -> Colum
 
 def normalize_whitespace(c: Column) -> Column:
     """Collapse whitespace runs to one space and trim."""
-    return F.btrim(F.regexp_replace(c, f"(?U){WS}+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(c, f"{WS}+", " "), F.lit(" "))
 
 
 def truncate(c: Column, max_chars: int = 200, ellipsis: str = "...") -> Column:
@@ -62,7 +63,7 @@ def truncate(c: Column, max_chars: int = 200, ellipsis: str = "...") -> Column:
 
 def first_sentence(c: Column) -> Column:
     """The first sentence of the first line, else the first 200 characters."""
-    hit = F.regexp_extract(c, rf"(?dU)\A(.*?[.!?]){WS}", 1)
+    hit = F.regexp_extract(c, rf"(?d)\A(.*?[.!?]){WS}", 1)
     return F.when(hit != "", hit).otherwise(F.substring(c, 1, 200))
 
 
@@ -74,8 +75,8 @@ def text_hash(c: Column) -> Column:
 def strip_fences(c: Column) -> Column:
     """Drop a surrounding Markdown code fence, with or without ``json``."""
     text = strip(c)
-    opened = F.regexp_replace(text, rf"(?U)\A```(?:json)?{WS}*", "")
-    closed = F.regexp_replace(opened, rf"(?U){WS}*```\z", "")
+    opened = F.regexp_replace(text, rf"\A```(?:json)?{WS}*", "")
+    closed = F.regexp_replace(opened, rf"{WS}*```\z", "")
     return F.when(F.startswith(text, F.lit("```")), closed).otherwise(text)
 
 

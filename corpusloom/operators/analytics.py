@@ -6,7 +6,7 @@ reduced to one row per key before they are joined, so joins do not fan out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.reviews import effective_confidence, effective_status, with_reviews
@@ -100,28 +100,29 @@ def corpus_totals(status: DataFrame) -> DataFrame:
     )
 
 
-def category_coverage(labels: DataFrame, chunks: DataFrame | None, current: DataFrame,
+def category_coverage(labels: DataFrame, chunks: DataFrame | None, current: DataFrame | None,
                       categories: DataFrame, rubric_id: int, *, ordered: bool = True) -> DataFrame:
     """use of each rubric category, and of categories outside the rubric.
 
     ``categories`` is the exploded rubric (``rubric_id, pos, name``). Statistics
     are first reduced to category and document, so the distinct document count
     is a plain count and one category with most labels is spread by document.
-    Without ``chunks``, the labels must carry ``doc_id`` themselves.
+    Without ``chunks``, the labels must carry ``doc_id`` themselves; without
+    ``current``, nothing has been reviewed.
     """
-    actions = current.select("label_id", "action")
     mine = labels.where(F.col("rubric_id") == rubric_id)
     if chunks is not None:
         mine = mine.select(
             "label_id", "chunk_id", "predicted_categories", "composite_confidence"
         ).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
-    used = (
-        mine.join(actions, "label_id", "left")
-        .select(
-            "doc_id", "action",
-            F.coalesce("composite_confidence", F.lit(0.0)).alias("confidence"),
-            F.explode("predicted_categories").alias("name"),
-        )
+    if current is None:
+        mine = mine.withColumn("action", F.lit(None).cast("string"))
+    else:
+        mine = mine.join(current.select("label_id", "action"), "label_id", "left")
+    used = mine.select(
+        "doc_id", "action",
+        F.coalesce("composite_confidence", F.lit(0.0)).alias("confidence"),
+        F.explode("predicted_categories").alias("name"),
     )
     per_doc = used.groupBy("name", "doc_id").agg(
         F.count("*").alias("n"),
@@ -157,8 +158,9 @@ def coverage_flags(coverage: DataFrame) -> DataFrame:
     """health flags per category of F4.
 
     A category is dead only once others are in use. Orphans carry no other flag.
+    The window runs over the report, which has one short row per category name.
     """
-    total = coverage.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar()
+    total = F.sum("count").over(Window.partitionBy())
     member, used = F.col("in_rubric"), F.col("count") > 0
     return coverage.select(
         "*",

@@ -107,23 +107,33 @@ def locate_clauses(window_text: Column, clauses: Column) -> Column:
 
 
 def _locate_clauses(window_text: Column, clauses: Column) -> Column:
-    def step(cursor: Column, clause: Column) -> tuple[Column, Column]:
-        exact = F.call_function("locate", clause, window_text, cursor + 1)
-        rest = F.regexp_replace(
-            F.substring(window_text, cursor + 1, F.length(window_text)), f"(?U){WS}+", " "
+    def loose(cursor: Column, clause: Column) -> Column:
+        rest = F.regexp_replace(F.substr(window_text, cursor + 1), f"{WS}+", " ")
+        found = F.call_function("locate", text.normalize_whitespace(clause), rest)
+        return arrays.let(found, lambda n: F.when(n > 0, cursor + n))
+
+    def place(cursor: Column, clause: Column) -> Column:
+        exact = F.nullif(F.call_function("locate", clause, window_text, cursor + 1), F.lit(0))
+        return F.coalesce(exact, loose(cursor, clause)) - 1
+
+    # The state is the span of the last clause; its end stays when one is not found.
+    def step(span: Column, clause: Column) -> Column:
+        return arrays.let(
+            place(span["cursor"], clause),
+            lambda at: F.struct(
+                F.coalesce(at + F.length(clause), span["cursor"]).alias("cursor"), at.alias("at")
+            ),
         )
-        loose = F.call_function("locate", text.normalize_whitespace(clause), rest)
-        at = F.when(exact > 0, exact - 1).when(loose > 0, cursor + loose - 1)
-        end = at + F.length(clause)
-        emitted = F.when(
-            at.isNotNull(),
-            F.array(F.struct(clause.alias("clause"), at.alias("start"), end.alias("end"))),
-        ).otherwise(arrays.empty_array("struct<clause:string,start:int,end:int>"))
-        return F.coalesce(end, cursor), emitted
-
-    return arrays.blocked_fold(
-        clauses, F.lit(0), "struct<clause:string,start:int,end:int>", step
+
+    spans = arrays.scan(
+        clauses, F.struct(F.lit(0).alias("cursor"), F.lit(None).cast("int").alias("at")),
+        "struct<cursor:int,at:int>", step,
+    )
+    placed = F.zip_with(
+        clauses, spans,
+        lambda c, s: F.struct(c.alias("clause"), s["at"].alias("start"), s["cursor"].alias("end")),
     )
+    return F.filter(placed, lambda p: p["start"].isNotNull())
 
 
 def clause_chunks(
@@ -139,7 +149,7 @@ def clause_chunks(
         "_spans", locate_clauses(F.col("text"), F.coalesce("_clauses", arrays.empty_array("string")))
     ).select(
         "doc_id", "w", F.col("char_start").alias("_base"),
-        F.posexplode("_spans").alias("_pos", "_span"),
+        F.posexplode(arrays.rows_of("_spans")).alias("_pos", "_span"),
     )
     placed = spans.join(docs.select("doc_id", "sections"), "doc_id", "left")
     return placed.select(

@@ -14,8 +14,9 @@ from corpusloom.operators.structural_chunks import structural_chunks
 from corpusloom.operators.structure import section_at
 
 # Fixed value: a sentence ends at white space between an end mark and an ASCII
-# capital, bracket or quote, or at line ends.
-SENTENCE_BREAK = rf"""(?U)(?<=[.!?]){WS}+(?=[A-Z(\["'])|\n+"""
+# capital, bracket or quote, or at line ends. The white space comes first, so
+# that most positions fail on one cheap test.
+SENTENCE_BREAK = rf"""{WS}(?<=[.!?]{WS}){WS}*(?=[A-Z(\["'])|\n+"""
 # Sentences whose vectors travel together when embedding is spread over tasks.
 EMBED_BLOCK = 256
 
@@ -53,7 +54,7 @@ def sentences(docs: DataFrame, text_col: str = "full_text") -> DataFrame:
     """C5 as a table: one row per sentence."""
     return (
         with_sentences(docs.select("doc_id", text_col), text_col)
-        .select("doc_id", F.posexplode("sentences").alias("pos", "s"))
+        .select("doc_id", F.posexplode(arrays.rows_of("sentences")).alias("pos", "s"))
         .select(
             "doc_id",
             (F.col("pos") + 1).alias("ord"),

@@ -9,11 +9,11 @@ from corpusloom.functions import arrays, text
 from corpusloom.functions.text import WS
 
 # What counts as a Markdown heading, and the clean-up rules in
-# their order. (?d) makes only \n a line end; (?U) makes \s Unicode-aware.
-HEADING = rf"(?mdU)^#{{1,6}}{WS}+.+$"
-HEADING_MARK = rf"(?U)\A#{{1,6}}{WS}+"
+# their order. (?d) makes only \n a line end.
+HEADING = rf"(?md)^#{{1,6}}{WS}+.+$"
+HEADING_MARK = rf"\A#{{1,6}}{WS}+"
 MARKDOWN_RULES = (
-    (rf"(?mdU)^#{{1,6}}{WS}+", ""),
+    (rf"(?md)^#{{1,6}}{WS}+", ""),
     (r"(?d)\*{1,3}(.+?)\*{1,3}", "$1"),
     (r"(?d)_{1,3}(.+?)_{1,3}", "$1"),
     (r"(?d)\[(.+?)\]\(.+?\)", "$1"),

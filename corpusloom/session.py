@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the jobs rely on: runtime re-planning, skewed-partition splitting, and
 # broadcasts that happen only when a side's size has been measured.
@@ -50,3 +50,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="spark-corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/corpusloom/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
+    """Hash a small scan over the cores; leave a large one as it is read.
+
+    A Parquet file of one row group is read by one task, whatever the number of
+    cores. A scan larger than one full split per core has enough tasks of its
+    own and is never shuffled for this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores, key) if size < cores * split else df

@@ -566,7 +566,6 @@ def corpus_health(given: DataFrame, chunks: DataFrame, categories: DataFrame, *,
         F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(DNB))).alias("predicted_categories"),
         ((F.col("token_count") % 101) / 100.0).alias("composite_confidence"), "doc_id",
     )
-    none = labels.select("label_id", F.lit("").alias("action")).where("false")
     return analytics.coverage_flags(
-        analytics.category_coverage(labels, None, none, categories, rubric_id)
+        analytics.category_coverage(labels, None, None, categories, rubric_id)
     )

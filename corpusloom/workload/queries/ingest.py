@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text
+from corpusloom.functions import arrays, text
 from corpusloom.functions.identity import uuid5
 from corpusloom.operators import documents, lineage, structure
 from corpusloom.schemas import DNB
@@ -268,7 +268,7 @@ def b4(t: Tables) -> DataFrame:
 @query("b5_section_tree", needs=["sections"],
        sql="SELECT doc_id, k, array_to_string(path, ' > ') AS path, char_start, char_end FROM sections")
 def b5(t: Tables) -> DataFrame:
-    return structure.markdown_structure(t.markdown()).select("doc_id", F.posexplode("sections")).select(
+    return structure.markdown_structure(t.markdown()).select("doc_id", F.posexplode(arrays.rows_of("sections"))).select(
         "doc_id", (F.col("pos") + 1).alias("k"), F.array_join("col.section_path", " > ").alias("path"),
         "col.char_start", "col.char_end",
     )
@@ -277,7 +277,7 @@ def b5(t: Tables) -> DataFrame:
 @query("b6_text_sections", needs=["docs"],
        sql="SELECT doc_id, doc_id::VARCHAR AS path, 0 AS char_start, length(full_text) AS char_end FROM docs")
 def b6(t: Tables) -> DataFrame:
-    return structure.with_structure(t.documents()).select("doc_id", F.explode("sections").alias("s")).select(
+    return structure.with_structure(t.documents()).select("doc_id", F.explode(arrays.rows_of("sections")).alias("s")).select(
         "doc_id", joined("s.section_path").alias("path"), "s.char_start", "s.char_end"
     )
 

@@ -155,7 +155,7 @@ def letter_encoder():
 
 
 @query("d9_chunk_embeddings", needs=["chunks"], sql=f"""
-    SELECT chunk_id, 26 AS dim, len(list_filter(v, lambda x: x > 0)) AS n_positive, list_sum(v) AS total,
+    SELECT chunk_id, {len(LETTERS)} AS dim, len(list_filter(v, lambda x: x > 0)) AS n_positive, list_sum(v) AS total,
            list_sum(list_transform(v, lambda x, i: x * i)) AS weighted, 'letters' AS embedding_model
     FROM (SELECT chunk_id, {letters('text')} AS v FROM chunks)""")
 def d9(t: Tables) -> DataFrame:

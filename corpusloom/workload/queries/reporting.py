@@ -10,7 +10,7 @@ from corpusloom.session import shared_folder
 from corpusloom.sources import tables as store
 from corpusloom.workload.queries.ingest import joined, sha
 from corpusloom.workload.registry import query
-from corpusloom.workload.tables import OTHER_PROJECT_UUID, PROJECT_UUID, Tables
+from corpusloom.workload.tables import LETTERS, OTHER_PROJECT_UUID, PROJECT_UUID, Tables
 
 
 @query("f1_labeling_summary", needs=["labels_e", "reviews"], sql="""
@@ -239,7 +239,7 @@ def flat_sidecar(df: DataFrame) -> DataFrame:
 
 
 SIDECAR = f"""SELECT {uuid_sql(PROJECT_UUID, 'l.chunk_id')} AS chunk_uuid, '{PROJECT_UUID}' AS project_uuid, l.chunk_id, l.doc_id AS document_id,
-    d.filename AS document_filename, 26 AS dim, list_sum(e.embedding) AS total, e.embedding_model
+    d.filename AS document_filename, {len(LETTERS)} AS dim, list_sum(e.embedding) AS total, e.embedding_model
     FROM labels_e l JOIN embs e ON e.chunk_id = l.chunk_id JOIN docs d ON d.doc_id = l.doc_id WHERE l.rubric_id = 1"""
 SIDECAR_NEEDS = ["labels_e", "embs", "docs"]
 
