@@ -37,12 +37,15 @@ def chunk_records(labels: DataFrame, chunks: DataFrame, docs: DataFrame, current
     """G1: one nested record per label of the rubric.
 
     Labels without a chunk are left out; a chunk without its document names it
-    "unknown". Vectors are read only when they go into the record.
+    "unknown". Vectors are read only when they go into the record. ``limit``
+    picks the first labels before anything wide is joined to them.
     """
     vector_cols = ["embedding", "embedding_model"] if inline_embeddings else ["embedding_model"]
-    mine = with_reviews(labels.where(F.col("rubric_id") == rubric_id), current)
+    mine = labels.where(F.col("rubric_id") == rubric_id)
+    if limit is not None:
+        mine = mine.join(chunks.select("chunk_id"), "chunk_id", "left_semi").orderBy("label_id").limit(limit)
     joined = (
-        mine.join(chunks, "chunk_id")
+        with_reviews(mine, current).join(chunks, "chunk_id")
         .join(docs.select("doc_id", "filename"), "doc_id", "left")
         .join(embeddings.select("chunk_id", *vector_cols), "chunk_id", "left")
     )
@@ -51,7 +54,7 @@ def chunk_records(labels: DataFrame, chunks: DataFrame, docs: DataFrame, current
         F.struct(*[F.col(f"review.{c}").alias(c)
                    for c in ("action", "final_categories", "reviewer", "notes", "reviewed_at")]),
     )
-    records = joined.select(
+    return joined.select(
         "label_id",
         "chunk_id",
         chunk_uuid(project_uuid, F.col("chunk_id")).alias("chunk_uuid"),
@@ -71,7 +74,6 @@ def chunk_records(labels: DataFrame, chunks: DataFrame, docs: DataFrame, current
         ).alias("label"),
         *(["embedding"] if inline_embeddings else []),
     )
-    return records if limit is None else records.orderBy("label_id").limit(limit)
 
 
 def sidecar_rows(labels: DataFrame, chunks: DataFrame, docs: DataFrame, embeddings: DataFrame, *,

@@ -65,15 +65,21 @@ def nearest_category(embedding: Column, centroids: Column) -> Column:
     return F.array_max(sims)["category"]
 
 
-def knn_agreement(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+def knn_agreement(rows: DataFrame, centroids: DataFrame, *, rubric_id: int | None = None) -> DataFrame:
     """Adds ``nearest`` and ``knn_agreement`` to rows with
     ``rubric_id, embedding, predicted_categories``.
 
     1.0 if the nearest category is among the predicted ones, else 0.0; 0.0 for
-    a rubric without centroids; null for a row without a vector. The join is on
-    the rubric, so each row meets the centroids of its own rubric only.
+    a rubric without centroids; null for a row without a vector. If all rows
+    are of one rubric, name it: its centroids then come from a scalar subquery
+    and the rows are not shuffled. Otherwise rows and centroids meet by rubric.
     """
-    joined = rows.join(pack_centroids(centroids), "rubric_id", "left").withColumn(
+    if rubric_id is not None:
+        mine = pack_centroids(centroids.where(F.col("rubric_id") == rubric_id))
+        met = rows.withColumn("centroids", mine.select("centroids").scalar())
+    else:
+        met = rows.join(pack_centroids(centroids), "rubric_id", "left")
+    joined = met.withColumn(
         "nearest", nearest_category(F.col("embedding"), F.col("centroids"))
     )
     agrees = F.coalesce(F.array_contains("predicted_categories", F.col("nearest")), F.lit(False))
@@ -119,7 +125,8 @@ def score_responses(responses: DataFrame, chunks: DataFrame, embeddings: DataFra
     )
     if embeddings is not None and centroids is not None:
         rows = knn_agreement(
-            rows.join(embeddings.select("chunk_id", "embedding"), "chunk_id", "left"), centroids
+            rows.join(embeddings.select("chunk_id", "embedding"), "chunk_id", "left"), centroids,
+            rubric_id=rubric_id,
         )
     else:
         rows = rows.withColumn("knn_agreement", F.lit(None).cast("double"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import documents
+from corpusloom.schemas import SUPPORTED_EXTENSIONS
 from corpusloom.session import shared_folder
 from corpusloom.sources import docmap, files
 
@@ -30,13 +31,13 @@ def requested_files(spark: SparkSession, folder: str, doc_map: str | None = None
 def ingest(spark: SparkSession, existing: DataFrame, folder: str, *, doc_map: str | None = None) -> Ingest:
     """Bring the files below ``folder`` into the documents table.
 
-    Bytes are read twice: once to hash all requested files, and once to convert
-    the contents that are new. No file content is shuffled. The identity
+    Bytes are read twice: once to hash the files, where only path and hash leave
+    the task, and once to convert the contents that are new. The identity
     decisions are written to the shared folder in between, so the second read
     and a retry after a lost executor see the same ones.
     """
     wanted = requested_files(spark, folder, doc_map)
-    read = files.read_files(spark, folder)
+    read = files.read_files(spark, folder, SUPPORTED_EXTENSIONS)
     hashes = files.hash_files(read).join(wanted, "path", "left_semi")
     path = shared_folder(spark, "identity")
     documents.identify_documents(existing, hashes).write.parquet(path)

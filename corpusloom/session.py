@@ -56,11 +56,7 @@ def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
     """Hash a small scan over the cores; leave a large one as it is read.
 
     A Parquet file of one row group is read by one task, whatever the number of
-    cores. A scan larger than one full split per core has enough tasks of its
-    own and is never shuffled for this.
+    cores. A scan with at least one task per core is never shuffled for this.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * cores, key) if size < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -53,9 +53,17 @@ def scan_folder(spark: SparkSession, folder: str, *, ordered: bool = True) -> Da
     return supported_files(list_folder(spark, folder), ordered=ordered)
 
 
-def read_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """``path, content`` of files, or of all files below folders."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+def read_files(spark: SparkSession, paths: list[str] | str,
+               extensions: Iterable[str] | None = None) -> DataFrame:
+    """``path, content`` of files, or of all files below folders.
+
+    With ``extensions`` other files are not even opened.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if extensions is not None:
+        either = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(map(either, sorted(extensions))) + "}")
+    files = reader.load(paths)
     return files.select(local_path(F.col("path")).alias("path"), "content")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +59,24 @@ def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.withColumn("bucket", doc_bucket(buckets)).hint("rebalance", F.col("bucket"))
 
 
-def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A10: a project table with its schema; the bucket column stays out."""
-    return spark.read.schema(table_schema(table)).parquet(path).select(table_schema(table).fieldNames())
+def read_table(spark: SparkSession, path: str, table: str, *,
+               only: Sequence[int] | None = None) -> DataFrame:
+    """A10: a project table with its schema; the bucket column stays out.
+
+    ``only`` reads just these buckets; the others are pruned, not filtered.
+    """
+    rows = spark.read.schema(table_schema(table)).parquet(path)
+    if only is not None:
+        rows = rows.where(F.col("bucket").isin(list(only)))
+    return rows.select(table_schema(table).fieldNames())
+
+
+def touched_buckets(doc_ids: DataFrame, *, buckets: int = DEFAULT_BUCKETS) -> list[int]:
+    """The buckets of some documents, at most ``buckets`` numbers.
+
+    A job that changes few documents reads and replaces these alone.
+    """
+    return sorted(r.b for r in doc_ids.select(doc_bucket(buckets).alias("b")).distinct().collect())
 
 
 def write_corpus_json(records: DataFrame, manifest: DataFrame, rubric: DataFrame, path: str) -> None:

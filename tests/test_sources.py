@@ -163,6 +163,11 @@ def test_stored_tables(spark, tmp_path, rows):
     left = store.read_table(spark, path, "chunks")
     assert left.where("doc_id = 3").count() == one.count()
     assert left.where(~F.col("doc_id").isin(same)).count() == df.where(~F.col("doc_id").isin(same)).count()
+    some = df.where("doc_id in (1, 2)")
+    only = store.touched_buckets(some, buckets=4)
+    part = store.read_table(spark, path, "chunks", only=only)
+    assert some.join(part, "chunk_id", "left_anti").count() == 0
+    assert {r.b for r in part.select(bucket.alias("b")).distinct().collect()} == set(only)
     for name in TABLES:
         empty = spark.range(0).select(F.col("id").alias("chunk_id"))
         store.append_table(empty, str(tmp_path / name), name)
