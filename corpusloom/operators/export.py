@@ -44,9 +44,11 @@ def chunk_records(labels: DataFrame, chunks: DataFrame, docs: DataFrame, current
     mine = labels.where(F.col("rubric_id") == rubric_id)
     if limit is not None:
         mine = mine.join(chunks.select("chunk_id"), "chunk_id", "left_semi").orderBy("label_id").limit(limit)
+    # All wide joins are on chunk_id, so texts and vectors are shuffled once.
     joined = (
-        with_reviews(mine, current).join(chunks, "chunk_id")
-        .join(docs.select("doc_id", "filename"), "doc_id", "left")
+        with_reviews(mine, current)
+        .join(chunks, "chunk_id")
+        .join(_names_of_chunks(chunks, docs), "chunk_id")
         .join(embeddings.select("chunk_id", *vector_cols), "chunk_id", "left")
     )
     review = F.when(
@@ -76,14 +78,21 @@ def chunk_records(labels: DataFrame, chunks: DataFrame, docs: DataFrame, current
     )
 
 
+def _names_of_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """``chunk_id, filename``: the one join by document, on narrow rows."""
+    return chunks.select("chunk_id", "doc_id").join(
+        docs.select("doc_id", "filename"), "doc_id", "left"
+    ).select("chunk_id", "filename")
+
+
 def sidecar_rows(labels: DataFrame, chunks: DataFrame, docs: DataFrame, embeddings: DataFrame, *,
                  rubric_id: int, project_uuid: str) -> DataFrame:
     """The vector of every labeled chunk that has one, with its join keys."""
     mine = labels.where(F.col("rubric_id") == rubric_id).select("chunk_id")
+    named = chunks.select("chunk_id", "doc_id").join(docs.select("doc_id", "filename"), "doc_id", "left")
     return (
-        mine.join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+        mine.join(named, "chunk_id")
         .join(embeddings.where("embedding is not null"), "chunk_id")
-        .join(docs.select("doc_id", "filename"), "doc_id", "left")
         .select(
             chunk_uuid(project_uuid, F.col("chunk_id")).alias("chunk_uuid"),
             F.lit(project_uuid).alias("project_uuid"),

@@ -12,12 +12,16 @@ from corpusloom.operators.runs import in_latest_run
 
 def unlabeled_chunks(chunks: DataFrame, runs: DataFrame, labels: DataFrame, rubric_id: int,
                      doc_id: int | None = None, *, ordered: bool = False) -> DataFrame:
-    """Chunks of the latest runs that the rubric has not labeled; the resume set."""
+    """Chunks of the latest runs that the rubric has not labeled; the resume set.
+
+    The set is worked out on ids; texts are shuffled once, to meet it.
+    """
     if doc_id is not None:
         chunks = chunks.where(F.col("doc_id") == doc_id)
         runs = runs.where(F.col("doc_id") == doc_id)
     done = labels.where(F.col("rubric_id") == rubric_id).select("chunk_id")
-    todo = in_latest_run(chunks, runs).join(done, "chunk_id", "left_anti").select(chunks.columns)
+    ids = in_latest_run(chunks.select("chunk_id", "run_id"), runs).join(done, "chunk_id", "left_anti")
+    todo = chunks.join(ids.select("chunk_id"), "chunk_id", "left_semi").select(chunks.columns)
     return todo.orderBy("char_start") if ordered else todo
 
 

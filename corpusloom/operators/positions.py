@@ -16,7 +16,7 @@ BLOCK_WIDTH = 1 << 20
 
 
 def _blocked(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order) / width).cast("long"))
+    return df.withColumn("_block", F.expr(f"`{order}` div {width}"))
 
 
 def _windows(keys: Sequence[str], order: str, ties: Sequence[str]):

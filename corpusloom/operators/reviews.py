@@ -69,7 +69,8 @@ def review_queue(chunks: DataFrame, runs: DataFrame, labels: DataFrame, reviews:
         chunks = chunks.where(F.col("doc_id") == doc_id)
         runs = runs.where(F.col("doc_id") == doc_id)
     open_labels = mine.join(reviews.select("label_id"), "label_id", "left_anti")
-    queue = in_latest_run(chunks, runs).join(open_labels, "chunk_id")
+    # Open labels thin the chunks out before these are matched to runs.
+    queue = in_latest_run(chunks.join(open_labels, "chunk_id"), runs)
     if ordered or limit is not None:
         queue = queue.orderBy("composite_confidence", "label_id")
     return queue if limit is None else queue.limit(limit)

@@ -107,13 +107,15 @@ def delete_runs(runs: DataFrame, chunks: DataFrame, doomed: DataFrame) -> tuple[
 
 def chunk_index(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Position within the run, clamped overlay span, one-line preview."""
+    # The preview is cut before any shuffle, so the text itself never moves.
+    preview = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60)
     numbered = number_rows(
-        chunks.select("chunk_id", "doc_id", "run_id", "char_start", "char_end", "text"),
+        chunks.select("chunk_id", "doc_id", "run_id", "char_start", "char_end", preview.alias("preview")),
         ["doc_id", "run_id"], "char_start", ties=["chunk_id"],
     )
     lengths = docs.select("doc_id", F.length("full_text").alias("_length"))
     return numbered.join(lengths, "doc_id").select(
         "doc_id", "run_id", "chunk_id", "ord", "char_start",
         F.least("char_end", "_length").alias("overlay_end"),
-        F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60).alias("preview"),
+        "preview",
     )
