@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from importlib import import_module
-from importlib.util import find_spec
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +36,6 @@ def query(name: str, sql: str | None = None, needs: Sequence[str] = (),
 
 def load() -> dict[str, Query]:
     for module in MODULES:
-        if not find_spec(f"corpusloom.workload.queries.{module}"): continue
         import_module(f"corpusloom.workload.queries.{module}")
     return QUERIES
 
