@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fingerprints, shards
+from corpusloom.llm import fingerprints, language, packing, secret_scan, shards
+from corpusloom.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,8 +17,12 @@ ORACLES: dict[str, str] = {}
 
 
 def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
-    return build
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return build(spark, sf_dir)
+
+    QUERIES[build.__name__] = run
+    return run
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,3 +39,19 @@ def op9_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.sharded_documents(documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
+
+
+@query
+def op3_curve_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_confirmed_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scanned_documents(documents(spark, sf_dir))
+
+
+@query
+def op5_context_tree_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted_documents(documents(spark, sf_dir))
