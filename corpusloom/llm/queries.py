@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fingerprints, language, packing, secret_scan, shards
+from corpusloom.llm import (
+    fingerprints,
+    language,
+    neardup,
+    packing,
+    secret_scan,
+    shards,
+    substring_dedup,
+)
 from corpusloom.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +37,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op6_fast_similarity_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted_documents(documents(spark, sf_dir))
@@ -55,3 +68,10 @@ def op4_confirmed_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_context_tree_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted_documents(documents(spark, sf_dir))
+
+
+@query
+def op10_anchored_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.without_repeats(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_words", "n_removed",
+                          F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))

@@ -148,6 +148,15 @@ def windows(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
         return mix(total)
 
 
+def range_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash of each range of ``h``; equal ranges have equal hashes wherever they lie."""
+    power, inverse = _powers(lane, h.size + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(h.size + 1, U)
+        np.cumsum(h * power[:h.size], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
+
+
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Distinct ``k``-word shingles of one text, sorted; shorter texts have one."""
     if h.size == 0:
