@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
+    decontamination,
     fingerprints,
+    html_text,
     language,
     neardup,
     packing,
     secret_scan,
     shards,
     substring_dedup,
+    toxicity,
 )
 from corpusloom.llm.shipping import ship
 
@@ -47,6 +50,13 @@ def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted_documents(documents(spark, sf_dir))
 
 
+@query
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    return toxicity.scored_documents(documents(spark, sf_dir), labels, chain)
+
+
 @query
 def op9_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.sharded_documents(documents(spark, sf_dir))
@@ -54,6 +64,17 @@ def op9_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
+@query
+def op1_host_suffix_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op2_containment_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.contained_items(documents(spark, sf_dir), benchmark)
+
+
 @query
 def op3_curve_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(
