@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import let
+
 SLOTS = 4096
 SHARDS = 8
 
@@ -35,49 +37,36 @@ def first_map(loads: DataFrame, shards: int = SHARDS) -> DataFrame:
 def rebalanced(current: DataFrame, loads: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The map's next version, edited so that the shards' bytes come out near equal.
 
-    Each shard keeps its largest slots up to the mean load. What exceeds it, its
-    smallest slots, is placed largest first, always on the lightest shard. With
-    more ``shards`` than before, the new ones fill up with such slots only; with
-    fewer, the slots of the dropped ones are placed anew. Ties go to the smaller
-    slot and shard number, so an edit is reproducible. No shard exceeds the mean
-    by more than its last placed slot.
+    Slots are placed largest first. A slot stays where it is as long as its shard
+    stays within the mean load, else it goes to the lightest shard, so mostly small
+    slots move. With more ``shards`` than before, the new ones fill up with what
+    exceeds the new mean; with fewer, the slots of the dropped ones are placed anew.
+    Ties go to the smaller slot and shard number, so an edit is reproducible. No
+    shard exceeds the mean by more than its last placed slot.
 
     Input and output have at most one row a slot: the placing is one fold.
     """
     known = loads.join(current.select("slot", "shard", "version"), "slot", "left").select(
-        "slot", "bytes", F.coalesce("version", F.lit(0)).alias("version"),
+        "slot", (-F.col("bytes")).alias("size"), "version",
         F.when(F.col("shard") < shards, F.col("shard")).alias("shard"))
-    largest_first = Window.partitionBy("shard").orderBy(F.desc("bytes"), "slot")
-    mean = known.agg(F.coalesce(F.sum("bytes"), F.lit(0)) / shards).scalar()
-    held = known.withColumn("filled", F.sum("bytes").over(largest_first)).select(
-        "slot", "bytes", "version",
-        F.when(F.col("filled") <= mean, F.col("shard")).alias("shard"))
-    one = held.agg(
-        F.max("version").alias("version"),
-        F.sort_array(F.collect_list(F.struct(
-            (-F.col("bytes")).alias("size"), "slot", "shard"))).alias("slots"),
-    )
-    zero = F.array(*[F.lit(0).cast("long")] * shards)
-    loads_kept = F.aggregate(
-        F.filter("slots", lambda s: s["shard"].isNotNull()), zero,
-        lambda load, s: _add(load, s["shard"], -s["size"]))
+    one = known.agg(
+        (F.coalesce(F.max("version"), F.lit(0)) + 1).cast("int").alias("version"),
+        (-F.sum("size") / shards).alias("mean"),
+        F.sort_array(F.collect_list(F.struct("size", "slot", "shard"))).alias("slots"))
 
     def place(acc: Column, s: Column) -> Column:
+        stays = F.get(acc["load"], s["shard"]) - s["size"] <= F.col("mean")
         lightest = (F.array_position(acc["load"], F.array_min(acc["load"])) - 1).cast("int")
-        return F.struct(
-            _add(acc["load"], lightest, -s["size"]).alias("load"),
-            F.concat(acc["placed"], F.array(lightest)).alias("placed"))
-
-    loose = F.filter("slots", lambda s: s["shard"].isNull())
-    placed = F.aggregate(
-        loose, F.struct(F.col("kept").alias("load"), F.array().cast("array<int>").alias("placed")),
-        place, lambda acc: acc["placed"])
-    moved = F.arrays_zip(loose["slot"].alias("slot"), F.col("placed").alias("shard"))
-    stayed = F.transform(F.filter("slots", lambda s: s["shard"].isNotNull()),
-                         lambda s: F.struct(s["slot"].alias("slot"), s["shard"].alias("shard")))
-    return (one.withColumn("kept", loads_kept).withColumn("placed", placed)
-            .select((F.col("version") + 1).cast("int").alias("version"),
-                    F.explode(F.concat(stayed, moved)).alias("row"))
+        return let(F.when(stays, s["shard"]).otherwise(lightest), lambda to: F.struct(
+            _add(acc["load"], to, -s["size"]).alias("load"),
+            F.concat(acc["placed"], F.array(to)).alias("placed")))
+
+    start = F.struct(F.array(*[F.lit(0).cast("long")] * shards).alias("load"),
+                     F.array().cast("array<int>").alias("placed"))
+    placed = F.aggregate("slots", start, place, lambda acc: acc["placed"])
+    return (one.withColumn("placed", placed)
+            .select("version", F.explode(F.arrays_zip(
+                F.col("slots")["slot"].alias("slot"), F.col("placed").alias("shard"))).alias("row"))
             .select("version", "row.slot", "row.shard"))
 
 
