@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.tables import kept
 from corpusloom.llm.words import groups_of
 
 ORDER = 3
-MAX_CONTEXTS = 30_000
+MAX_CONTEXTS = 20_000
+CHUNK = 1024
 UNDETERMINED = "und"
 PIECE = 1 << 20
 _TABLES: dict[int, Tables] = {}
@@ -68,7 +70,7 @@ def gram_counts(texts: DataFrame, lang: str = "lang", text: str = "text") -> Dat
 
         for batch in batches:
             names, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in groups_of(values):
+            for part in groups_of(values, 2 << 20):
                 own: dict[str, list[bytes]] = {}
                 for i in part:
                     own.setdefault(names[i], []).append(b"\0\0\0" + values[i])
@@ -105,29 +107,23 @@ def train(texts: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Counts:
     What reaches the driver is bounded by ``max_contexts`` contexts of at most 256
     bytes for each order and language, whatever the size of the corpus.
     """
-    grams = gram_counts(texts)
-    every = None
+    grams = kept(gram_counts(texts), "grams")
+    languages = sorted(r[0] for r in grams.select("lang").distinct().collect())
+    number = F.array_position(F.array(*[F.lit(x) for x in languages]).cast("array<string>"),
+                              F.col("lang")) - 1
+    grams = grams.select(number.cast("int").alias("lang"), "gram", "n")
+    levels = []
     for order in range(ORDER + 1):
         level = grams.groupBy(
             "lang", F.col("gram").bitwiseAND(F.lit(256 ** (order + 1) - 1)).alias("code")
-        ).agg(F.sum("n").alias("n"))
+        ).agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("code", 8))
         if order >= 2:
-            context = F.shiftright("code", 8).alias("context")
-            common = level.groupBy(context).agg(F.sum("n").alias("total")).orderBy(
+            common = level.groupBy("context").agg(F.sum("n").alias("total")).orderBy(
                 F.desc("total"), "context").limit(max_contexts).select("context")
-            level = level.withColumn("context", F.shiftright("code", 8)).join(
-                common, "context", "left_semi").select("lang", "code", "n")
-        level = level.withColumn("level", F.lit(order))
-        every = level if every is None else every.unionByName(level)
-    found = every.toPandas()
-    languages = sorted(found["lang"].unique())
-    number = {name: i for i, name in enumerate(languages)}
-    levels = []
-    for order in range(ORDER + 1):
-        rows = found[found["level"] == order]
-        levels.append((rows["code"].to_numpy(np.int64),
-                       rows["lang"].map(number).to_numpy(np.int64, na_value=0),
-                       rows["n"].to_numpy(np.float64)))
+            level = level.join(common, "context", "left_semi")
+        found = level.select("lang", "code", "n").toArrow()
+        levels.append((found["code"].to_numpy(), found["lang"].to_numpy().astype(np.int64),
+                       found["n"].to_numpy().astype(np.float64)))
     return Counts(languages, levels)
 
 
@@ -147,48 +143,66 @@ def build_tables(counts: Counts) -> Tables:
             context = context * size + symbol[(codes >> (8 * back)) & 255]
         return context, symbol[codes & 255]
 
-    # q: a context's distribution when asked by an escape; p: when asked first.
-    p_parent = np.full((1, size, n_lang), 1 / 256)
-    q_parent = p_parent
-    c_parent = np.zeros((1, size, n_lang))
+    # Of the contexts of one order: p, their distribution when asked first; q, the
+    # next shorter one's when asked by an escape; c, their counts.
+    parent = (np.full((1, size, n_lang), 1 / 256, np.float32),) * 2 + (
+        np.zeros((1, size, n_lang), np.float32),)
     names_parent = np.zeros(1, np.int64)
     bits, node_of, first = [], np.zeros(1, np.int64), 0
     for order, (codes, langs, n) in enumerate(counts.levels):
         context, last = narrow(codes, order)
         names = np.unique(context) if order else np.zeros(1, np.int64)
-        parent_name = names % size ** max(order - 1, 0)
-        at = np.searchsorted(names_parent, parent_name) % max(1, names_parent.size)
-        known = names_parent[at] == parent_name  # longer contexts need their suffix
-        names, at = names[known], at[known]
-        c = np.zeros((names.size, size, n_lang))
-        row = np.searchsorted(names, context) % max(1, names.size)
-        fits = names[row] == context if names.size else np.zeros(context.size, bool)
-        np.add.at(c, (row[fits], last[fits], langs[fits]), n[fits])
-        own = c > 0
-        total, distinct = c.sum(1, keepdims=True), own.sum(1, keepdims=True)
-        if order == 0:
-            unseen = (~own * weight[None, :, None]).sum(1, keepdims=True)
-            q = np.where(own, 0, 1 / np.maximum(unseen, 1))
-        else:
-            cp = c_parent[at] * ~own
-            op = c_parent[at] > 0
-            tp, dp = cp.sum(1, keepdims=True), (op & ~own).sum(1, keepdims=True)
-            base = np.maximum(tp + dp, 1)
-            escape = np.where(tp + dp > 0, dp / base, 1)
-            q = np.where(op & ~own, cp / base, escape * q_parent[at])
-        base = np.maximum(total + distinct, 1)
-        p = np.where(own, c / base, distinct / base * q)
-        p = np.where(total > 0, p, p_parent[at])
-        q = np.where(total > 0, q, q_parent[at])
-        bits.append(-np.log2(np.maximum(p, 2.0**-60)).astype(np.float32))
+        up = np.searchsorted(names_parent, names % size ** max(order - 1, 0))
+        up %= max(1, names_parent.size)
+        known = names_parent[up] == names % size ** max(order - 1, 0)
+        names, up = names[known], up[known]  # longer contexts need their suffix
+        by_context = np.argsort(context, kind="stable")
+        context, last, langs, n = (x[by_context] for x in (context, last, langs, n))
+        own = tuple(np.zeros((names.size, size, n_lang), np.float32) for _ in parent
+                    ) if order < ORDER else None
+        for a in range(0, names.size, CHUNK):  # bounds the scratch arrays
+            part = names[a:a + CHUNK]
+            lo, hi = np.searchsorted(context, [part[0], part[-1] + 1])
+            row = np.searchsorted(part, context[lo:hi])
+            fits = part[np.minimum(row, part.size - 1)] == context[lo:hi]
+            c = np.zeros((part.size, size, n_lang))
+            np.add.at(c, (row[fits], last[lo:hi][fits], langs[lo:hi][fits]), n[lo:hi][fits])
+            p, q = distributions(c, *(x[up[a:a + CHUNK]] for x in parent),
+                                 weight if order == 0 else None)
+            bits.append(-np.log2(np.maximum(p, 2.0**-60)).astype(np.float32))
+            if own:
+                for x, value in zip(own, (p, q, c)):
+                    x[a:a + CHUNK] = value
         if order:
             node_of = np.tile(node_of, size)
             node_of[names] = first + np.arange(names.size)
         first += names.size
-        p_parent, q_parent, c_parent, names_parent = p, q, c, names
+        parent, names_parent = own, names
     return Tables(symbol, node_of.astype(np.int32), np.concatenate(bits).reshape(-1, n_lang))
 
 
+def distributions(c: np.ndarray, p_up: np.ndarray, q_up: np.ndarray, c_up: np.ndarray,
+                  weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """p and q of contexts with counts ``c``, from those of the contexts one byte shorter.
+
+    ``weight`` is given for the empty context: bytes that a symbol stands for.
+    """
+    own = c > 0
+    total, distinct = c.sum(1, keepdims=True), own.sum(1, keepdims=True)
+    if weight is not None:
+        unseen = (~own * weight[None, :, None]).sum(1, keepdims=True)
+        q = np.where(own, 0, 1 / np.maximum(unseen, 1))
+    else:
+        rest = (c_up > 0) & ~own
+        cp = c_up * ~own
+        tp, dp = cp.sum(1, keepdims=True), rest.sum(1, keepdims=True)
+        base = np.maximum(tp + dp, 1)
+        q = np.where(rest, cp / base, np.where(tp + dp > 0, dp / base, 1) * q_up)
+    base = np.maximum(total + distinct, 1)
+    p = np.where(own, c / base, distinct / base * q)
+    return np.where(total > 0, p, p_up), np.where(total > 0, q, q_up)
+
+
 def code_lengths(texts: list[bytes], tables: Tables) -> np.ndarray:
     """Bits of each text in each language."""
     size = int(tables.symbol.max()) + 1
