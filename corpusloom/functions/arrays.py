@@ -113,6 +113,31 @@ def indices(items: Column) -> Column:
     return F.transform(items, lambda _, i: i)
 
 
+def cut(text: Column, starts: Column) -> Column:
+    """Pieces of ``text`` between 0-based ``starts`` (ascending, first 0): ``struct<start,end,raw>``.
+
+    A substring counts characters from the front of its text. So blocks of pieces
+    are cut first, and pieces from their block.
+    """
+
+    def of(text: Column, starts: Column) -> Column:
+        heads = F.filter(starts, lambda _, i: i % BLOCK == 0)
+
+        def block(head: Column, b: Column) -> Column:
+            stop = F.coalesce(F.get(heads, b + 1), F.length(text))
+            own = F.slice(starts, b * BLOCK + 1, F.lit(BLOCK))
+            return let_all(
+                [F.substring(text, head + 1, stop - head), own, stop],
+                lambda body, own, stop: F.transform(own, lambda s, i: let(
+                    F.coalesce(F.get(own, i + 1), stop),
+                    lambda e: F.struct(s.alias("start"), e.alias("end"),
+                                       F.substring(body, s - head + 1, e - s).alias("raw")))))
+
+        return F.flatten(F.transform(heads, block))
+
+    return let_all([text, starts], of)
+
+
 def groups(items: Column, starts: Column) -> Column:
     """Cut ``items`` at 0-based ``starts`` (ascending, first 0) into sub-arrays."""
     return let_all(

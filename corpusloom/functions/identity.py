@@ -24,8 +24,3 @@ def uuid5(namespace: str | Column, name: Column) -> Column:
         F.concat(variant, part(18, 3)),
         part(21, 12),
     )
-
-
-def stable_id(*parts: Column) -> Column:
-    """A 64-bit id that a re-run reproduces, for tables without a counter."""
-    return F.xxhash64(*parts)

@@ -6,12 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The event types the tool itself writes.
-EVENT_TYPES = (
-    "document_loaded", "document_parse_failed", "rubric_created", "rubric_updated",
-    "chunking_run_started", "chunking_run_completed", "chunk_merged", "chunk_split",
-    "label_created", "label_reviewed", "propagation_started", "propagation_completed",
-    "export_completed",
-)
 
 
 def audit_rows(events: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Manual chunk edits as edit tables: merge and split.
 
-Labels of a chunk whose text changed no longer describe it; pass the touched
-ids of an edit to ``labels.delete_labels_of_chunks``.
+Labels and vectors of a chunk whose text changed no longer describe it; pass the
+touched ids of an edit to ``lineage.drop_of_chunks``.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.functions.identity import stable_id
 from corpusloom.functions.text import TokenCounter, estimate_counts
+from corpusloom.operators.positions import fresh_ids
 
 
 class EditResult(NamedTuple):
@@ -32,7 +32,8 @@ def merge_chunks(chunks: DataFrame, edits: DataFrame, *,
     """``edits(chunk_id_a, chunk_id_b)``: join two chunks of one document.
 
     The chunk that starts first survives and the other is removed. A chunk may
-    take part in one edit per job.
+    take part in one edit per job: edits that share a chunk are all rejected, as
+    their outcome would depend on their order.
     """
     side = lambda s: chunks.select(
         F.col("chunk_id").alias(f"chunk_id_{s}"),
@@ -41,11 +42,20 @@ def merge_chunks(chunks: DataFrame, edits: DataFrame, *,
     paired = edits.select("chunk_id_a", "chunk_id_b").join(side("a"), "chunk_id_a", "left").join(
         side("b"), "chunk_id_b", "left"
     )
-    reason = (
+    alone = (
         F.when(F.col("a").isNull() | F.col("b").isNull(), "chunk not found")
+        .when(F.col("chunk_id_a") == F.col("chunk_id_b"), "chunk merged with itself")
         .when(F.col("a.doc_id") != F.col("b.doc_id"), "chunks from different documents")
     )
-    judged = paired.withColumn("reason", reason)
+    possible = paired.withColumn("alone", alone)
+    used = possible.where("alone is null").select(
+        F.explode(F.array("chunk_id_a", "chunk_id_b")).alias("id")
+    ).groupBy("id").agg(F.count("*").alias("uses")).where("uses > 1").select("id")
+    shared = lambda s: used.select(F.col("id").alias(f"chunk_id_{s}"), F.lit(True).alias(f"again_{s}"))
+    judged = possible.join(shared("a"), "chunk_id_a", "left").join(
+        shared("b"), "chunk_id_b", "left"
+    ).withColumn("reason", F.coalesce(
+        "alone", F.when(F.col("again_a") | F.col("again_b"), "chunk in several edits")))
     in_order = F.col("a.char_start") <= F.col("b.char_start")
     body = F.concat(F.col("x.text"), F.lit("\n\n"), F.col("y.text"))
     merged = (
@@ -101,20 +111,25 @@ def split_chunks(chunks: DataFrame, edits: DataFrame, *,
     """C17: ``edits(chunk_id, offset)``: cut a chunk in two at an offset in its text.
 
     A null offset means ``default_split_offset``. The first half keeps the id;
-    the second starts where the trimmed first half ends.
+    the second starts where the trimmed first half ends and gets a new id above all
+    ids in use. A chunk that is split more than once in a job is left whole, and
+    all its edits are rejected.
     """
-    cuts = edits.select("chunk_id", "offset").join(chunks, "chunk_id", "left")
+    wanted = edits.select("chunk_id", "offset")
+    uses = wanted.groupBy("chunk_id").agg(F.count("*").alias("_uses"))
+    cuts = wanted.join(uses, "chunk_id").join(chunks, "chunk_id", "left")
     at = F.coalesce("offset", default_split_offset(F.col("text")))
     halves = cuts.withColumn("_at", at).withColumn(
         "_a", text.strip(F.substring("text", F.lit(1), F.col("_at")))
     ).withColumn("_b", text.strip(F.substring("text", F.col("_at") + 1, F.length("text"))))
     reason = (
         F.when(F.col("text").isNull(), "chunk not found")
+        .when(F.col("_uses") > 1, "chunk in several edits")
         .when((F.col("_at") <= 0) | (F.col("_at") >= F.length("text")), "invalid split offset")
         .when((F.col("_a") == "") | (F.col("_b") == ""), "split would leave an empty chunk")
     )
     judged = halves.withColumn("reason", reason)
-    good = judged.where("reason is null").withColumn(
+    good = fresh_ids(judged.where("reason is null"), ["chunk_id"], chunks, "chunk_id", out="_new").withColumn(
         "_mid", F.col("char_start") + F.length("_a")
     )
 
@@ -129,7 +144,7 @@ def split_chunks(chunks: DataFrame, edits: DataFrame, *,
     both = F.array(
         half("_a", F.col("chunk_id"), F.col("char_start"),
              _override(("action", F.lit("split")), ("offset", F.col("_at")))),
-        half("_b", stable_id(F.col("chunk_id"), F.lit("split"), F.col("_at")), F.col("_mid"),
+        half("_b", F.col("_new"), F.col("_mid"),
              _override(("action", F.lit("split_result")), ("original_chunk_id", F.col("chunk_id")))),
     )
     changed = ("chunk_id", "text", "char_start", "char_end", "token_count", "manual_override")

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from corpusloom import __version__
 from corpusloom.functions.identity import uuid5
-from corpusloom.operators.analytics import labeling_totals, labels_with_embedding
+from corpusloom.operators.analytics import labeling_totals
 from corpusloom.operators.reviews import with_reviews
 
 # How consumers join the parts of an export.
 PRIMARY_KEY = "chunk_uuid"
 FALLBACK_KEYS = ("project_uuid", "chunk_id")
 JOIN_NOTE = (
-    "chunk_uuid is uuid5(project_uuid, chunk_id) — globally unique, stable across exports of "
-    "this project. chunk_id alone is unique only within a single project."
+    "Join on chunk_uuid: derived from project and chunk number, it is the same in every export. "
+    "Chunk numbers repeat from project to project."
 )
 SIDECAR_COLUMNS = (
     "chunk_uuid", "project_uuid", "chunk_id", "document_id", "document_filename", "embedding",
@@ -87,8 +87,8 @@ def _names_of_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 def sidecar_rows(labels: DataFrame, chunks: DataFrame, docs: DataFrame, embeddings: DataFrame, *,
                  rubric_id: int, project_uuid: str) -> DataFrame:
-    """The vector of every labeled chunk that has one, with its join keys."""
-    mine = labels.where(F.col("rubric_id") == rubric_id).select("chunk_id")
+    """The vector of every labeled chunk that has one, with its join keys; one row a chunk."""
+    mine = labels.where(F.col("rubric_id") == rubric_id).select("chunk_id").distinct()
     named = chunks.select("chunk_id", "doc_id").join(docs.select("doc_id", "filename"), "doc_id", "left")
     return (
         mine.join(named, "chunk_id")
@@ -164,7 +164,7 @@ def preview(labels: DataFrame, chunks: DataFrame, docs: DataFrame, current: Data
             max_chunks: int = 1) -> DataFrame:
     """The first records beside the totals of the whole corpus; writes nothing."""
     totals = labeling_totals(labels, current, rubric_id)
-    vectors = labels_with_embedding(labels, embeddings, rubric_id)
+    vectors = sidecar_rows_count(labels, embeddings, rubric_id)
     records = chunk_records(
         labels, chunks, docs, current, embeddings, rubric_id=rubric_id,
         rubric_version=rubric_version, project_uuid=project_uuid, limit=max_chunks,
@@ -176,16 +176,46 @@ def preview(labels: DataFrame, chunks: DataFrame, docs: DataFrame, current: Data
     )
 
 
+def sidecar_rows_count(labels: DataFrame, embeddings: DataFrame, rubric_id: int) -> DataFrame:
+    """How many rows the sidecar will have, counted on ids alone."""
+    mine = labels.where(F.col("rubric_id") == rubric_id).select("chunk_id").distinct()
+    return mine.join(embeddings.where("embedding is not null").select("chunk_id"), "chunk_id", "left_semi").agg(
+        F.count("*").alias("n"))
+
+
+def preview_manifest(labels: DataFrame, reviews: DataFrame, chunks: DataFrame, embeddings: DataFrame, *,
+                     rubric_id: int, rubric_name: str, rubric_version: int, project_uuid: str,
+                     max_chunks: int = 1, path: str = "preview_embeddings.parquet", exported_at=None) -> DataFrame:
+    """The manifest a full export would have, with a ``preview`` block; writes nothing.
+
+    The sidecar is described as it would be written, marked ``preview_only``.
+    """
+    mine = labels.where(F.col("rubric_id") == rubric_id).select("chunk_id").distinct()
+    vectors = embeddings.where("embedding is not null").join(mine, "chunk_id", "left_semi")
+    side = sidecar_manifest(vectors.select("embedding", F.coalesce("embedding_model", F.lit("")).alias(
+        "embedding_model")), path).withColumn("preview_only", F.lit(True))
+    head = manifest(labels, reviews, chunks, rubric_id=rubric_id, rubric_name=rubric_name,
+                    rubric_version=rubric_version, project_uuid=project_uuid, sidecar=side, exported_at=exported_at)
+    return head.withColumn("preview", F.struct(
+        F.least(F.col("total_chunks"), F.lit(max_chunks)).alias("rendered_chunks"),
+        F.col("labeled_chunks").alias("total_chunks")))
+
+
 def join_sidecar(records: DataFrame, sidecar: DataFrame) -> DataFrame:
-    """Records with their vectors, by ``chunk_uuid``."""
-    vectors = sidecar.select("chunk_uuid", "project_uuid", "embedding")
+    """Records with their vectors, by ``chunk_uuid``; as many rows as records."""
+    vectors = sidecar.groupBy("chunk_uuid").agg(
+        F.min(F.struct("project_uuid", "embedding")).alias("v")).select("chunk_uuid", "v.*")
     return records.drop("embedding").join(vectors, "chunk_uuid", "left")
 
 
 def merge_exports(exports: Iterable[DataFrame]) -> DataFrame:
-    """Records of several projects; a record exported twice counts once."""
+    """Records of several projects; a record exported twice counts once.
+
+    A record is a label: a chunk, the rubric version and the label's id name it.
+    """
     frames = list(exports)
     merged = frames[0]
     for frame in frames[1:]:
         merged = merged.unionByName(frame, allowMissingColumns=True)
-    return merged.dropDuplicates(["chunk_uuid"])
+    named = merged.withColumn("_version", F.col("label.rubric_version"))
+    return named.dropDuplicates(["chunk_uuid", "_version", "label_id"]).drop("_version")

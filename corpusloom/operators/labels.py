@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.identity import stable_id
+from corpusloom.operators.positions import fresh_ids
 from corpusloom.functions.text import is_dnb
 from corpusloom.operators.runs import in_latest_run
 
@@ -69,12 +69,14 @@ def label_stage_totals(report: DataFrame) -> DataFrame:
 
 
 def assemble_labels(scored: DataFrame, *, rubric_id: int, llm_model: str, llm_run_id: str,
-                    created_at=None) -> DataFrame:
-    """Label rows from scored replies; one model and run id per job."""
+                    existing: DataFrame | None = None, created_at=None) -> DataFrame:
+    """Label rows from scored replies, one reply a chunk; one model and run id per job.
+
+    Label ids follow the largest one among the ``existing`` labels.
+    """
     when = F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")
-    return scored.select(
-        stable_id(F.col("chunk_id"), F.lit(rubric_id), F.lit(llm_run_id)).alias("label_id"),
-        "chunk_id",
+    return fresh_ids(scored.drop("label_id"), ["chunk_id"], existing, "label_id", out="label_id").select(
+        "label_id", "chunk_id",
         F.lit(rubric_id).cast("long").alias("rubric_id"),
         "predicted_categories", "confidence", "rationale", "knn_agreement",
         "logprob_signal", "composite_confidence",

@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+VECTORS = "chunk_embeddings"
+
 
 def _without_children(tables: Mapping[str, DataFrame], doomed_docs: DataFrame) -> dict[str, DataFrame]:
     ids = doomed_docs.select("doc_id")
@@ -20,12 +22,31 @@ def _without_children(tables: Mapping[str, DataFrame], doomed_docs: DataFrame) -
     doomed_labels = tables["labels"].select("label_id", "chunk_id").join(
         doomed_chunks, "chunk_id", "left_semi"
     )
-    return {
+    out = {
         "chunking_runs": tables["chunking_runs"].join(ids, "doc_id", "left_anti"),
         "chunks": chunks.join(ids, "doc_id", "left_anti"),
         "labels": tables["labels"].join(doomed_chunks, "chunk_id", "left_anti"),
         "human_reviews": tables["human_reviews"].join(doomed_labels, "label_id", "left_anti"),
     }
+    if VECTORS in tables:
+        out[VECTORS] = tables[VECTORS].join(doomed_chunks, "chunk_id", "left_anti")
+    return out
+
+
+def drop_of_chunks(tables: Mapping[str, DataFrame], touched: DataFrame) -> dict[str, DataFrame]:
+    """Vectors, labels and their reviews of ``touched`` chunks go (C16, C17); chunks stay.
+
+    What described the text before an edit does not describe it after.
+    """
+    ids = touched.select("chunk_id").distinct()
+    gone = tables["labels"].select("label_id", "chunk_id").join(ids, "chunk_id", "left_semi")
+    out = {
+        "labels": tables["labels"].join(ids, "chunk_id", "left_anti"),
+        "human_reviews": tables["human_reviews"].join(gone, "label_id", "left_anti"),
+    }
+    if VECTORS in tables:
+        out[VECTORS] = tables[VECTORS].join(ids, "chunk_id", "left_anti")
+    return out
 
 
 def delete_documents(tables: Mapping[str, DataFrame], doomed_docs: DataFrame) -> dict[str, DataFrame]:

@@ -136,3 +136,16 @@ def dense_ids(df: DataFrame, hash_col: str, *, digits: int = 3, out: str = "n")
         .withColumn(out, F.col("_local") + F.col("_before"))
         .drop("_bucket", "_local", "_before")
     )
+
+
+def fresh_ids(df: DataFrame, keys: Sequence[str], existing: DataFrame | None, column: str, *,
+              out: str) -> DataFrame:
+    """Rows with an id in ``out`` that no row of ``existing`` has in ``column``.
+
+    Ids follow the largest one in use, one for each row; ``keys`` tell rows apart.
+    """
+    digest = F.sha1(F.to_json(F.struct(*keys)).cast("binary"))
+    numbered = dense_ids(df.withColumn("_digest", digest), "_digest", out="_dense")
+    top = F.lit(0) if existing is None else F.coalesce(
+        existing.agg(F.max(column)).scalar(), F.lit(0))
+    return numbered.withColumn(out, (F.col("_dense") + F.greatest(top, F.lit(0))).cast("long")).drop("_digest", "_dense")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays
-from corpusloom.functions.identity import stable_id
 from corpusloom.operators.positions import next_match, number_rows, runs as position_runs
 from corpusloom.operators.runs import in_latest_run
 from corpusloom.schemas import DNB
@@ -92,7 +91,8 @@ def bypass_unreviewed(labels: DataFrame, reviews: DataFrame, rubric_id: int, *,
         todo = todo.join(scope, "chunk_id", "left_semi")
     when = F.current_timestamp() if reviewed_at is None else F.lit(reviewed_at).cast("timestamp")
     return todo.select(
-        stable_id(F.col("label_id"), F.lit("bypassed")).alias("review_id"),
+        # One for each label, and never the id of a review that a person wrote.
+        (-F.col("label_id") - 1).alias("review_id"),
         "label_id",
         F.lit("default").alias("reviewer"),
         F.lit("bypassed").alias("action"),

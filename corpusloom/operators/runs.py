@@ -7,9 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.identity import stable_id
 from corpusloom.operators import lineage
-from corpusloom.operators.positions import number_rows
+from corpusloom.operators.positions import fresh_ids, number_rows
 
 # A run id is the job number in the high bits and the document id below.
 DOC_ID_BITS = 40
@@ -40,7 +39,8 @@ def run_chunking(
     ``tables`` holds chunking_runs, chunks, labels and human_reviews; ``docs``
     the chunked documents; ``new_chunks`` a chunker's output for them. Options
     whose name starts with ``_`` are not recorded. ``job_no`` must grow from job
-    to job: it orders the runs. Returns the four tables.
+    to job: it orders the runs. Chunk ids follow the largest one in use. Returns the
+    tables; vectors of replaced chunks are dropped where ``chunk_embeddings`` is given.
     """
     recorded = {k: str(v) for k, v in params.items() if not k.startswith("_")}
     pairs = [F.lit(x) for kv in sorted(recorded.items()) for x in kv]
@@ -54,19 +54,17 @@ def run_chunking(
         when.alias("started_at"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
     )
     order = [c for c in ("w", "ord", "sub_ord") if c in new_chunks.columns]
-    chunks = new_chunks.select(
-        stable_id(F.col("doc_id"), F.lit(job_no), *order).alias("chunk_id"),
-        "doc_id", run_id, "text", "char_start", "char_end", "section_path", "token_count",
+    numbered = fresh_ids(
+        new_chunks.drop("chunk_id"), ["doc_id", *order], tables["chunks"], "chunk_id", out="chunk_id")
+    chunks = numbered.select(
+        "chunk_id", "doc_id", run_id, "text", "char_start", "char_end", "section_path", "token_count",
         F.lit(None).cast("string").alias("chunk_type"), "boundary_confidence",
         F.lit(None).cast("map<string,string>").alias("manual_override"),
     )
     kept = lineage.drop_chunking(tables, docs.select("doc_id"))
-    return {
-        "chunking_runs": kept["chunking_runs"].unionByName(runs, allowMissingColumns=True),
-        "chunks": kept["chunks"].unionByName(chunks, allowMissingColumns=True),
-        "labels": kept["labels"],
-        "human_reviews": kept["human_reviews"],
-    }
+    kept["chunking_runs"] = kept["chunking_runs"].unionByName(runs, allowMissingColumns=True)
+    kept["chunks"] = kept["chunks"].unionByName(chunks, allowMissingColumns=True)
+    return kept
 
 
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
@@ -89,12 +87,12 @@ def token_count_histogram(chunks: DataFrame) -> DataFrame:
 
 
 def find_chunks(chunks: DataFrame, *, chunk_id: int | None = None, doc_id: int | None = None,
-                run_id: int | None = None, ordered: bool = True) -> DataFrame:
-    """Chunks by id, document or run, in text order."""
+                run_id: int | None = None, ordered: bool = False) -> DataFrame:
+    """Chunks by id, document or run; ``ordered`` sorts what was found by place."""
     for column, value in (("chunk_id", chunk_id), ("doc_id", doc_id), ("run_id", run_id)):
         if value is not None:
             chunks = chunks.where(F.col(column) == value)
-    return chunks.orderBy("char_start") if ordered else chunks
+    return chunks.orderBy("doc_id", "run_id", "char_start") if ordered else chunks
 
 
 def delete_runs(runs: DataFrame, chunks: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -33,20 +33,7 @@ def _heading_pieces(full_text: Column, headings: Column, sections: Column,
         )
     )
 
-    def pieces(cuts: Column, length: Column) -> Column:
-        def piece(start: Column, i: Column) -> Column:
-            end = F.coalesce(F.get(cuts, i + 1), length)
-            return F.struct(
-                start.alias("start"),
-                end.alias("end"),
-                F.substring(full_text, start + 1, end - start).alias("raw"),
-            )
-
-        return F.transform(cuts, piece)
-
-    kept = F.filter(
-        arrays.let_all([cuts, F.length(full_text)], pieces), lambda p: ~text.is_blank(p["raw"])
-    )
+    kept = F.filter(arrays.cut(full_text, cuts), lambda p: ~text.is_blank(p["raw"]))
     return F.transform(
         kept,
         lambda p: F.struct(

@@ -97,18 +97,15 @@ def file_stem(path: Column) -> Column:
 def section_at(secs: Column, pos: Column) -> Column:
     """Path of the last section with ``start <= pos < end``, else empty.
 
-    Long lists are searched by halving. That needs ascending starts and
-    sections that do not overlap, which holds for every list B5 builds.
+    Sections are listed by ascending start, as B5 lists them, and may overlap. The
+    last one that starts at or before ``pos`` is found by halving; only where it
+    has ended already are the sections before it looked at.
     """
 
-    def scan(secs: Column, pos: Column) -> Column:
-        hits = F.filter(secs, lambda s: (s["char_start"] <= pos) & (pos < s["char_end"]))
-        return F.try_element_at(hits, F.lit(-1))
-
-    def halve(secs: Column, pos: Column) -> Column:
+    def find(secs: Column, pos: Column) -> Column:
         # Largest index whose start is <= pos, built from the top bit down.
         bits = F.array(*[F.lit(1 << b) for b in range(30, -1, -1)])
-        at = F.aggregate(
+        return F.aggregate(
             bits,
             F.lit(-1),
             lambda found, bit: F.when(
@@ -117,13 +114,14 @@ def section_at(secs: Column, pos: Column) -> Column:
                 found + bit,
             ).otherwise(found),
         )
-        hit = F.get(secs, at)
-        return F.when(pos < hit["char_end"], hit)
 
-    def find(secs: Column, pos: Column) -> Column:
-        return F.when(F.size(secs) <= 128, scan(secs, pos)).otherwise(halve(secs, pos))
+    def covering(secs: Column, pos: Column, at: Column) -> Column:
+        earlier = F.filter(F.slice(secs, F.lit(1), F.greatest(at, F.lit(0))), lambda s: pos < s["char_end"])
+        return F.when(pos < F.get(secs, at)["char_end"], F.get(secs, at)).otherwise(
+            F.try_element_at(earlier, F.lit(-1)))
 
-    found = arrays.let_all([secs, pos], find)
+    found = arrays.let_all(
+        [secs, pos], lambda s, p: arrays.let(find(s, p), lambda at: covering(s, p, at)))
     return F.coalesce(found["section_path"], arrays.empty_array("string"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import Embedder
 from corpusloom.operators import labels, requests, runs, scoring
@@ -49,14 +50,18 @@ def label(tables: Mapping[str, DataFrame], responses: DataFrame, *, rubric_id: i
     """The label table with the labels that replies ``(chunk_id, response)`` yield.
 
     Replies to chunks that the rubric has labeled already are left out, so a
-    batch that is delivered twice counts once.
+    batch that is delivered twice counts once. Of several replies to one chunk the
+    smallest text counts, whichever task is repeated.
     """
     todo = labels.unlabeled_chunks(tables["chunks"], tables["chunking_runs"], tables["labels"], rubric_id)
+    others = [c for c in responses.columns if c not in ("chunk_id", "response")]
+    one = responses.groupBy("chunk_id").agg(
+        F.min(F.struct("response", *others)).alias("r")).select("chunk_id", "r.*")
     scored = scoring.score_responses(
-        responses.dropDuplicates(["chunk_id"]), todo, tables.get("chunk_embeddings"), centroids,
+        one, todo, tables.get("chunk_embeddings"), centroids,
         rubric_id=rubric_id,
     )
     new = labels.assemble_labels(
-        scored, rubric_id=rubric_id, llm_model=llm_model, llm_run_id=llm_run_id
+        scored, rubric_id=rubric_id, llm_model=llm_model, llm_run_id=llm_run_id, existing=tables["labels"]
     )
     return tables["labels"].unionByName(new, allowMissingColumns=True)

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 # Fixed values.
 DNB = "DNB (does not belong)"
 SUPPORTED_EXTENSIONS = (".docx", ".markdown", ".md", ".pdf", ".text", ".txt")
-REVIEW_ACTIONS = ("accept", "correct", "skip", "flag", "bypassed")
 DEFAULT_CONFIDENCE_THRESHOLD = 0.85
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,6 @@ from corpusloom.schemas import table_schema
 # Rows of a document land in one bucket folder, so a job on some documents
 # rewrites only their buckets.
 DEFAULT_BUCKETS = 256
-# A single JSON document is written by one task and read whole by its consumer.
-MAX_SINGLE_FILE_RECORDS = 100_000
 
 
 def doc_bucket(buckets: int):
@@ -81,34 +79,17 @@ def touched_buckets(doc_ids: DataFrame, *, buckets: int = DEFAULT_BUCKETS) -> li
 
 def write_corpus_json(records: DataFrame, manifest: DataFrame, rubric: DataFrame, path: str) -> None:
     """The labeled corpus: JSON lines of records, manifest and rubric beside them."""
-    records.drop("label_id").write.mode("errorifexists").json(f"{path}/chunks")
+    records.write.mode("errorifexists").json(f"{path}/chunks")
     manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
     rubric.coalesce(1).write.mode("errorifexists").json(f"{path}/rubric")
 
 
-def write_corpus_document(records: DataFrame, manifest: DataFrame, rubric: DataFrame, path: str) -> None:
-    """The corpus as one JSON document, for consumers that want one.
-
-    One task writes it, so it is offered only up to a checked number of records.
-    """
-    if records.limit(MAX_SINGLE_FILE_RECORDS + 1).count() > MAX_SINGLE_FILE_RECORDS:
-        raise ValueError("corpus too large for a single document; use write_corpus_json")
-    body = records.drop("label_id")
-    chunks = body.agg(F.collect_list(F.struct(*body.columns)).alias("chunks"))
-    one = manifest.select(F.struct("*").alias("manifest")).select(
-        "manifest",
-        rubric.select(F.struct("*").alias("r")).scalar().alias("rubric"),
-        chunks.scalar().alias("chunks"),
-    )
-    one.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(
-        1
-    ).write.mode("errorifexists").text(path)
-
-
-def write_sidecar(rows: DataFrame, path: str) -> None:
+def write_sidecar(rows: DataFrame, path: str, about: Mapping[str, object] | None = None) -> None:
     """The embedding sidecar: snappy Parquet, float32 vectors.
 
-    Spark sets no custom file metadata; dimension, models and project are in
-    the manifest.
+    ``about`` (such as dimension, models and project) goes into the files: it is
+    the metadata of the vector column in the schema that Spark stores in them.
     """
+    if about:
+        rows = rows.withColumn("embedding", F.col("embedding").alias("embedding", metadata=dict(about)))
     rows.write.mode("errorifexists").option("compression", "snappy").parquet(path)

@@ -418,22 +418,34 @@ def edited(chunks: DataFrame, action: str = "manual_override") -> DataFrame:
 
 
 def merge_edits(t: Tables) -> DataFrame:
-    """Second and first line of every text; the first line of Spanish texts with that of the next."""
+    """Second and first line of every text; of Spanish texts the first line with that of the next.
+
+    German texts with an even number have chains (2, 1), (2, 3); French ones that
+    divide by three merge their first line with itself.
+    """
     d = t.given("documents").select("doc_id", "lang")
-    first = F.col("doc_id") * 1_000_000 + 1
-    return d.select(
-        F.when(F.col("lang") == "es", first).otherwise(first + 1).alias("chunk_id_a"),
-        F.when(F.col("lang") == "es", first + 1_000_000).otherwise(first).alias("chunk_id_b"),
-    )
+    first, even = F.col("doc_id") * 1_000_000 + 1, F.col("doc_id") % 2 == 0
+    a = F.when(F.col("lang") == "es", first).when(
+        (F.col("lang") == "fr") & (F.col("doc_id") % 3 == 0), first).otherwise(first + 1)
+    b = F.when(F.col("lang") == "es", first + 1_000_000).otherwise(first)
+    one = d.select(a.alias("chunk_id_a"), b.alias("chunk_id_b"))
+    chain = d.where((F.col("lang") == "de") & even).select((first + 1).alias("chunk_id_a"), (first + 2).alias("chunk_id_b"))
+    return one.unionByName(chain)
 
 
 MERGES = [
-    ("me", """SELECT CASE WHEN lang = 'es' THEN doc_id * 1000000 + 1 ELSE doc_id * 1000000 + 2 END AS a,
-        CASE WHEN lang = 'es' THEN (doc_id + 1) * 1000000 + 1 ELSE doc_id * 1000000 + 1 END AS b FROM documents"""),
-    ("mj", """SELECT me.a, me.b, x.text AS xt, y.text AS yt, x.char_start AS xs, y.char_start AS ys, x.char_end AS xe, y.char_end AS ye,
+    ("me", """SELECT CASE WHEN lang = 'es' OR (lang = 'fr' AND doc_id % 3 = 0) THEN doc_id * 1000000 + 1 ELSE doc_id * 1000000 + 2 END AS a,
+        CASE WHEN lang = 'es' THEN (doc_id + 1) * 1000000 + 1 ELSE doc_id * 1000000 + 1 END AS b FROM documents
+        UNION ALL SELECT doc_id * 1000000 + 2, doc_id * 1000000 + 3 FROM documents WHERE lang = 'de' AND doc_id % 2 = 0"""),
+    ("mb", """SELECT me.a, me.b, x.text AS xt, y.text AS yt, x.char_start AS xs, y.char_start AS ys, x.char_end AS xe, y.char_end AS ye,
         CASE WHEN x.chunk_id IS NULL OR y.chunk_id IS NULL THEN 'chunk not found'
-             WHEN x.doc_id <> y.doc_id THEN 'chunks from different documents' END AS reason
+             WHEN a = b THEN 'chunk merged with itself'
+             WHEN x.doc_id <> y.doc_id THEN 'chunks from different documents' END AS alone
         FROM me LEFT JOIN chunks x ON x.chunk_id = a LEFT JOIN chunks y ON y.chunk_id = b"""),
+    ("mu", """SELECT id FROM (SELECT a AS id FROM mb WHERE alone IS NULL UNION ALL SELECT b FROM mb WHERE alone IS NULL)
+        GROUP BY id HAVING count(*) > 1"""),
+    ("mj", """SELECT *, coalesce(alone, CASE WHEN a IN (SELECT id FROM mu) OR b IN (SELECT id FROM mu) THEN 'chunk in several edits' END) AS reason
+        FROM mb"""),
     ("mm", """SELECT CASE WHEN xs <= ys THEN a ELSE b END AS keep, CASE WHEN xs <= ys THEN b ELSE a END AS gone,
         CASE WHEN xs <= ys THEN xt || chr(10) || chr(10) || yt ELSE yt || chr(10) || chr(10) || xt END AS body,
         CASE WHEN xs <= ys THEN ye ELSE xe END AS e FROM mj WHERE reason IS NULL"""),
@@ -456,11 +468,13 @@ def c16_rejects(t: Tables) -> DataFrame:
 
 
 def split_edits(t: Tables) -> DataFrame:
-    """The whole-text chunks at their default place, every other one at its number of tokens."""
-    return t.chunks().select(
+    """The whole-text chunks at their default place, every other one at its number of tokens; some twice."""
+    c = t.chunks()
+    one = c.select(
         "chunk_id",
         F.when(F.col("chunk_id") % 1_000_000 == 0, F.lit(None)).otherwise(F.col("token_count") - 1).cast("int").alias("offset"),
     )
+    return one.unionByName(c.where("chunk_id % 7 = 0").select("chunk_id", F.lit(2).alias("offset")))
 
 
 SPLITS = [
@@ -471,7 +485,7 @@ SPLITS = [
            WHEN ahead >= 0 AND (behind < 0 OR ahead <= behind) THEN mid + ahead + 1
            WHEN behind >= 0 THEN mid - behind + 1 ELSE mid END AS cut FROM chunks c LEFT JOIN mid2 m USING (chunk_id)"""),
     ("sh", f"""SELECT c.*, cut, trim(substring(text, 1, cut), {SPACE}) AS a, trim(substring(text, cut + 1), {SPACE}) AS b,
-        CASE WHEN cut <= 0 OR cut >= length(text) THEN 'invalid split offset'
+        CASE WHEN chunk_id % 7 = 0 THEN 'chunk in several edits' WHEN cut <= 0 OR cut >= length(text) THEN 'invalid split offset'
              WHEN trim(substring(text, 1, cut), {SPACE}) = '' OR trim(substring(text, cut + 1), {SPACE}) = '' THEN 'split would leave an empty chunk' END AS reason
         FROM chunks c JOIN se USING (chunk_id)"""),
 ]
@@ -489,7 +503,7 @@ def c17(t: Tables) -> DataFrame:
 
 
 @query("c17_split_rejects", needs=["chunks"], extra=SPLITS,
-       sql="SELECT chunk_id, reason FROM sh WHERE reason IS NOT NULL")
+       sql="SELECT chunk_id, reason FROM sh WHERE reason IS NOT NULL UNION ALL SELECT chunk_id, 'chunk in several edits' FROM sh WHERE chunk_id % 7 = 0")
 def c17_rejects(t: Tables) -> DataFrame:
     return edits.split_chunks(t.chunks(), split_edits(t)).rejects.select("chunk_id", "reason")
 
@@ -507,9 +521,25 @@ def c18_counts(t: Tables) -> DataFrame:
     return runs.token_count_histogram(t.chunks())
 
 
-@query("c19_chunks_in_order", needs=["chunks"], sql="SELECT chunk_id, doc_id, run_id, char_start, char_end FROM chunks")
+@query("c19_chunk_by_id", needs=["chunks"], sql="SELECT chunk_id, doc_id, char_end FROM chunks WHERE chunk_id = (SELECT max(chunk_id) FROM chunks)")
 def c19(t: Tables) -> DataFrame:
-    return runs.find_chunks(t.chunks()).select("chunk_id", "doc_id", "run_id", "char_start", "char_end")
+    last = t.chunks().agg(F.max("chunk_id").alias("c")).first().c
+    return runs.find_chunks(t.chunks(), chunk_id=last).select("chunk_id", "doc_id", "char_end")
+
+
+@query("c19_chunks_of_document", needs=["chunks"], sql="""
+    SELECT chunk_id, doc_id, run_id, char_start FROM chunks WHERE doc_id = (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1)""")
+def c19_document(t: Tables) -> DataFrame:
+    """All chunks of the longest document, in the order of the text."""
+    longest = t.given("documents").orderBy(F.desc("n_chars"), "doc_id").select("doc_id").first()
+    found = runs.find_chunks(t.chunks(), doc_id=longest.doc_id if longest else -1, ordered=True)
+    return found.select("chunk_id", "doc_id", "run_id", "char_start")
+
+
+@query("c19_chunks_of_run", needs=["chunks"], sql="SELECT chunk_id, char_start FROM chunks WHERE run_id = (SELECT max(run_id) FROM chunks)")
+def c19_run(t: Tables) -> DataFrame:
+    newest = t.runs().agg(F.max("run_id").alias("r")).first().r
+    return runs.find_chunks(t.chunks(), run_id=newest).select("chunk_id", "char_start")
 
 
 @query("c20_chunks_after_delete", needs=["live"], sql="SELECT chunk_id, run_id FROM live")

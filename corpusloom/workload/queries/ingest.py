@@ -298,6 +298,24 @@ def b7(t: Tables) -> DataFrame:
     )
 
 
+@query("b7_overlapping_sections", needs=["md", "sections"], extra=[("p", """
+    SELECT doc_id, unnest(generate_series(0, length(full_text) + 50, 70)) AS pos FROM md""")], sql="""
+    SELECT p.doc_id, p.pos, coalesce(array_to_string(arg_max(s.path, s.k), ' > '), '') AS path
+    FROM p LEFT JOIN sections s ON p.doc_id = s.doc_id AND s.char_start <= p.pos
+      AND p.pos < CASE WHEN s.k % 3 = 1 THEN s.char_end + 900 WHEN s.k % 3 = 2 THEN s.char_start + 9 ELSE s.char_end END
+    GROUP BY p.doc_id, p.pos""")
+def b7_overlapping(t: Tables) -> DataFrame:
+    """Every third section reaches far into the next ones, every third one ends early."""
+    reach = lambda s, i: s.withField("char_end", F.when(i % 3 == 0, s["char_end"] + 900).when(
+        i % 3 == 1, s["char_start"] + 9).otherwise(s["char_end"]))
+    probes = F.sequence(F.lit(0), F.length("full_text") + 50, F.lit(70))
+    return structure.markdown_structure(t.markdown()).select(
+        "doc_id", F.transform("sections", reach).alias("sections"), F.explode(probes).alias("pos")
+    ).select(
+        "doc_id", "pos", F.array_join(structure.section_at(F.col("sections"), F.col("pos")), " > ").alias("path"),
+    )
+
+
 @query("b8_stripped_markdown", needs=["md"], extra=[
     ("r1", r"SELECT doc_id, regexp_replace(full_text, '(?m)^#{1,6}\s+', '', 'g') AS x FROM md"),
     ("r2", r"SELECT doc_id, regexp_replace(x, '\*{1,3}(.+?)\*{1,3}', '\1', 'g') AS x FROM r1"),

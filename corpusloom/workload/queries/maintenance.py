@@ -15,7 +15,7 @@ from corpusloom.workload.tables import Tables
 def survivors(tables: dict[str, DataFrame]) -> DataFrame:
     """The keys of every surviving row of every table."""
     keys = {"documents": "doc_id", "chunking_runs": "run_id", "chunks": "chunk_id", "labels": "label_id",
-            "human_reviews": "review_id"}
+            "human_reviews": "review_id", "chunk_embeddings": "chunk_id"}
     parts = [
         tables[n].select(F.lit(n).alias("table_name"), F.col(k).cast("long").alias("id"))
         for n, k in keys.items() if n in tables
@@ -32,8 +32,9 @@ SURVIVORS = """
     UNION ALL SELECT 'chunks', chunk_id FROM chunks WHERE doc_id NOT IN {gone}
     UNION ALL SELECT 'labels', label_id FROM labels_e WHERE doc_id NOT IN {gone}
     UNION ALL SELECT 'human_reviews', review_id FROM reviews WHERE label_id NOT IN (SELECT label_id FROM labels_e WHERE doc_id IN {gone})
+    UNION ALL SELECT 'chunk_embeddings', chunk_id FROM embs WHERE doc_id NOT IN {gone}
     UNION ALL SELECT 'documents', doc_id FROM docs"""
-NEEDS = ["docs", "runs", "chunks", "labels_e", "reviews"]
+NEEDS = ["docs", "runs", "chunks", "labels_e", "reviews", "embs"]
 
 
 @query("h1_deleted_documents", needs=NEEDS, sql=SURVIVORS.replace("{gone}", GONE.format(where="lang = 'fr'"))
@@ -73,6 +74,15 @@ def h3_rows(t: Tables) -> DataFrame:
     return survivors(lineage.replace_content(t.tables(), changed))
 
 
+@query("h3_rows_after_edits", needs=["chunks", "labels_e", "reviews", "embs"], sql="""
+    SELECT 'labels' AS table_name, label_id AS id FROM labels_e WHERE chunk_id % 5 <> 0
+    UNION ALL SELECT 'human_reviews', review_id FROM reviews WHERE label_id IN (SELECT label_id FROM labels_e WHERE chunk_id % 5 <> 0)
+    UNION ALL SELECT 'chunk_embeddings', chunk_id FROM embs WHERE chunk_id % 5 <> 0""")
+def h3_edits(t: Tables) -> DataFrame:
+    """Every fifth chunk was edited: its vector, labels and their reviews go."""
+    return survivors(lineage.drop_of_chunks(t.tables(), t.chunks().where("chunk_id % 5 = 0").select("chunk_id")))
+
+
 @query("h4_moved_documents", needs=["docs"], sql="""
     SELECT doc_id, CASE WHEN lang = 'de' THEN doc_id || '.text' ELSE filename END AS filename,
            CASE WHEN lang = 'de' THEN '/moved/' || doc_id || '.text' ELSE '/in/' || filename END AS source, lang AS backend FROM docs""")

@@ -160,9 +160,9 @@ def records(t: Tables, project: str = PROJECT_UUID, limit: int | None = None) ->
     )
 
 
-def flat_records(df: DataFrame) -> DataFrame:
+def flat_records(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
-        "chunk_id", "chunk_uuid", sha("text").alias("text_hash"),
+        *more, "label_id", "chunk_id", "chunk_uuid", sha("text").alias("text_hash"),
         F.col("source.document").alias("document"), F.col("source.document_id").alias("document_id"),
         joined("source.section_path").alias("section_path"), "source.char_start", "source.char_end",
         "token_count", "chunk_type", "boundary_confidence", "embedding_model",
@@ -176,7 +176,7 @@ def flat_records(df: DataFrame) -> DataFrame:
     )
 
 
-RECORD_COLUMNS = f"""l.chunk_id, {uuid_sql(PROJECT_UUID, 'l.chunk_id')} AS chunk_uuid, sha256(c.text) AS text_hash, d.filename AS document,
+RECORD_COLUMNS = f"""l.label_id, l.chunk_id, {uuid_sql(PROJECT_UUID, 'l.chunk_id')} AS chunk_uuid, sha256(c.text) AS text_hash, d.filename AS document,
     c.doc_id AS document_id, array_to_string(c.section_path, '|') AS section_path, c.char_start, c.char_end, c.token_count, c.chunk_type,
     c.boundary_confidence, e.embedding_model, array_to_string(l.predicted_categories, '|') AS categories, l.rationale, l.composite_confidence,
     l.logprob_signal, 'm1' AS llm_model, 1 AS rubric_version, r.action AS review_action, array_to_string(r.final_categories, '|') AS review_categories,
@@ -238,7 +238,7 @@ def flat_sidecar(df: DataFrame) -> DataFrame:
     )
 
 
-SIDECAR = f"""SELECT {uuid_sql(PROJECT_UUID, 'l.chunk_id')} AS chunk_uuid, '{PROJECT_UUID}' AS project_uuid, l.chunk_id, l.doc_id AS document_id,
+SIDECAR = f"""SELECT DISTINCT {uuid_sql(PROJECT_UUID, 'l.chunk_id')} AS chunk_uuid, '{PROJECT_UUID}' AS project_uuid, l.chunk_id, l.doc_id AS document_id,
     d.filename AS document_filename, {len(LETTERS)} AS dim, list_sum(e.embedding) AS total, e.embedding_model
     FROM labels_e l JOIN embs e ON e.chunk_id = l.chunk_id JOIN docs d ON d.doc_id = l.doc_id WHERE l.rubric_id = 1"""
 SIDECAR_NEEDS = ["labels_e", "embs", "docs"]
@@ -260,32 +260,51 @@ def g5_manifest(t: Tables) -> DataFrame:
 
 @query("g6_export_preview", needs=RECORD_NEEDS, sql=f"""
     SELECT * FROM (SELECT {RECORD_COLUMNS}, (SELECT count(*) FROM labels_e WHERE rubric_id = 1) AS total_chunks,
-      (SELECT count(*) FROM labels_e WHERE rubric_id = 1 AND chunk_id IN (SELECT chunk_id FROM embs)) AS sidecar_rows
+      (SELECT count(DISTINCT chunk_id) FROM labels_e WHERE rubric_id = 1 AND chunk_id IN (SELECT chunk_id FROM embs)) AS sidecar_rows
       {RECORD_JOIN} ORDER BY l.label_id LIMIT 5)""")
 def g6(t: Tables) -> DataFrame:
     p = export.preview(
         t.labels(), t.chunks(), t.documents(), t.reviews(), t.chunk_embeddings(), rubric_id=1,
         rubric_version=1, project_uuid=PROJECT_UUID, max_chunks=5,
     )
-    totals = p.select("label_id", "total_chunks", "sidecar_rows", "chunk_id")
-    return flat_records(p).join(totals.drop("label_id"), "chunk_id")
+    return flat_records(p, "total_chunks", "sidecar_rows")
+
+
+@query("g6_preview_manifest", needs=RECORD_NEEDS, sql=f"""
+    SELECT '{PROJECT_UUID}' AS project_uuid, 'labels' AS rubric_name, (SELECT count(*) {RECORD_JOIN}) AS total_records,
+      (SELECT count(*) FROM labels_e WHERE rubric_id = 1) AS total_chunks, 3 AS rendered_chunks,
+      (SELECT count(DISTINCT chunk_id) FROM labels_e WHERE rubric_id = 1 AND chunk_id IN (SELECT chunk_id FROM embs)) AS sidecar_rows,
+      {len(LETTERS)} AS dim, 'preview_embeddings.parquet' AS path, true AS preview_only""")
+def g6_manifest(t: Tables) -> DataFrame:
+    head = export.preview_manifest(
+        t.labels(), t.reviews(), t.chunks(), t.chunk_embeddings(), rubric_id=1, rubric_name="labels",
+        rubric_version=1, project_uuid=PROJECT_UUID, max_chunks=3,
+    )
+    side = "embeddings.sidecar"
+    return head.select(
+        "project_uuid", "rubric_name", F.col("total_chunks").alias("total_records"), "preview.total_chunks",
+        F.col("preview.rendered_chunks").cast("int").alias("rendered_chunks"), F.col(f"{side}.rows").alias("sidecar_rows"),
+        F.col(f"{side}.dim").alias("dim"), F.col(f"{side}.path").alias("path"), F.col(f"{side}.preview_only").alias("preview_only"),
+    )
 
 
 @query("g7_records_with_vectors", needs=RECORD_NEEDS, sql=f"""
-    SELECT DISTINCT l.chunk_id, {uuid_sql(PROJECT_UUID, 'l.chunk_id')} AS chunk_uuid, e.chunk_id IS NOT NULL AS has_vector {RECORD_JOIN}""")
+    SELECT {RECORD_COLUMNS}, CASE WHEN e.chunk_id IS NOT NULL THEN '{PROJECT_UUID}' END AS project_uuid,
+           list_sum(e.embedding) AS vector_total {RECORD_JOIN}""")
 def g7(t: Tables) -> DataFrame:
-    joined_rows = export.join_sidecar(records(t).dropDuplicates(["chunk_uuid"]), sidecar(t).dropDuplicates(["chunk_uuid"]))
-    return joined_rows.select("chunk_id", "chunk_uuid", F.col("embedding").isNotNull().alias("has_vector"))
+    """Every label of a chunk gets the chunk's vector; the sidecar is read twice over."""
+    rows = export.join_sidecar(records(t), sidecar(t).unionByName(sidecar(t)))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return flat_records(rows.withColumn("vector_total", total), "project_uuid", "vector_total")
 
 
 @query("g7_merged_exports", needs=RECORD_NEEDS, sql=f"""
-    SELECT DISTINCT chunk_id, chunk_uuid FROM (
-      SELECT l.chunk_id, {uuid_sql(PROJECT_UUID, 'l.chunk_id')} AS chunk_uuid {RECORD_JOIN}
-      UNION ALL SELECT l.chunk_id, {uuid_sql(OTHER_PROJECT_UUID, 'l.chunk_id')} {RECORD_JOIN})""")
+    SELECT {RECORD_COLUMNS} {RECORD_JOIN}
+    UNION ALL SELECT {RECORD_COLUMNS.replace(uuid_sql(PROJECT_UUID, 'l.chunk_id'), uuid_sql(OTHER_PROJECT_UUID, 'l.chunk_id'))} {RECORD_JOIN}""")
 def g7_merged(t: Tables) -> DataFrame:
     """Two projects with the same chunk numbers, one of them exported twice."""
     one, other = records(t), records(t, OTHER_PROJECT_UUID)
-    return export.merge_exports([one, other, one]).select("chunk_id", "chunk_uuid")
+    return flat_records(export.merge_exports([one, other, one]))
 
 
 @query("a12_exported_corpus", needs=RECORD_NEEDS, sql=f"SELECT {RECORD_COLUMNS} {RECORD_JOIN}")
@@ -294,7 +313,7 @@ def a12(t: Tables) -> DataFrame:
     path = shared_folder(t.spark, "corpus")
     rows = records(t)
     store.write_corpus_json(rows, manifest(t), rubrics.rubric_payload(t.label_rubrics()), path)
-    return flat_records(t.spark.read.schema(rows.drop("label_id").schema).json(f"{path}/chunks"))
+    return flat_records(t.spark.read.schema(rows.schema).json(f"{path}/chunks"))
 
 
 @query("a13_embedding_sidecar", needs=SIDECAR_NEEDS, sql=SIDECAR)

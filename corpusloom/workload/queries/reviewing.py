@@ -155,8 +155,10 @@ def e10(t: Tables) -> DataFrame:
     )
 
 
-@query("e11_reviews_of_labels", needs=["review_log"],
-       sql=f"SELECT review_id, label_id, reviewer, action, {FINAL} AS final, notes FROM review_log")
+@query("e11_reviews_of_label", needs=["review_log"], extra=[
+    ("most", "SELECT label_id FROM review_log GROUP BY label_id ORDER BY count(*) DESC, label_id LIMIT 1")],
+       sql=f"SELECT review_id, label_id, reviewer, action, {FINAL} AS final, notes FROM review_log WHERE label_id = (SELECT label_id FROM most)")
 def e11(t: Tables) -> DataFrame:
-    """The whole review history, as looked up by label."""
-    return review_rows(t.review_log())
+    """The whole history of the label that was reviewed most."""
+    most = t.review_log().groupBy("label_id").count().orderBy(F.desc("count"), "label_id").first()
+    return review_rows(reviews.find_reviews(t.review_log(), most.label_id if most else -1))

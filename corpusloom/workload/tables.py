@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from corpusloom.functions import arrays
 from corpusloom.operators.reviews import current_reviews
 from corpusloom.schemas import DNB
-from corpusloom.session import spread_small_scan
 
 PROJECT_UUID = "6f1c2f0a-51d1-4c43-9f0e-2f2b9a3d7c11"
 OTHER_PROJECT_UUID = "0b8a4b52-7f7f-4a0e-8f57-6c3f2f1f9d10"
@@ -28,8 +27,7 @@ class Tables:
         self.dir = sf_dir.rstrip("/")
 
     def given(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        return spread_small_scan(df, "doc_id") if name == "documents" else df
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def documents(self) -> DataFrame:
         """One row per text; ids, names and status follow from its columns."""
@@ -301,6 +299,7 @@ class Tables:
             "chunks": self.chunks(),
             "labels": self.labels(),
             "human_reviews": self.reviews(),
+            "chunk_embeddings": self.chunk_embeddings(),
         }
 
 

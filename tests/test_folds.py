@@ -188,3 +188,21 @@ def test_long_document_is_linear(spark):
     want = models.structural(text, 50, 70, (1, 2, 3), True)
     got = out.select("text", "char_start", "char_end", "token_count").orderBy("ord").collect()
     assert [tuple(g) for g in got] == [(w[0], w[1], w[2], w[4]) for w in want]
+
+
+def test_many_headings_are_linear(spark):
+    text = "".join(f"# Heading {i}\n\nsome body text of it {i}\n\n" for i in range(20_000))
+    df = structure.markdown_structure(
+        spark.createDataFrame([(0, "f.md", text)], "doc_id long, filename string, full_text string"))
+    got = structural_chunks.structural_chunks(df, min_tokens=1, max_tokens=50).collect()
+    assert len(got) == 20_000 and all(text[r.char_start:r.char_end].strip() == r.text for r in got)
+
+
+def test_overlapping_sections_of_any_number(spark):
+    for n in (3, 128, 129, 400):
+        secs = [(["root"], 0, 10**6)] + [([f"s{i}"], 10 * i, 10 * i + (3 if i % 2 else 25)) for i in range(1, n)]
+        df = spark.createDataFrame([(secs,)], "s array<struct<section_path:array<string>,char_start:int,char_end:int>>")
+        probes = df.select("s", F.explode(F.sequence(F.lit(-1), F.lit(10 * n + 40), F.lit(7))).alias("p"))
+        for r in probes.select("p", structure.section_at(F.col("s"), F.col("p")).alias("at")).collect():
+            want = [path for path, a, b in secs if a <= r.p < b]
+            assert r.at == (want[-1] if want else [])

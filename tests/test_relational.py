@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import random
 import uuid
 
@@ -76,6 +75,21 @@ def test_merge(spark):
     assert sorted(r.reason for r in out.rejects.collect()) == ["chunk not found", "chunks from different documents"]
 
 
+def test_edits_that_share_a_chunk_are_rejected(spark):
+    c = spark.createDataFrame([chunk(i, 1, f"t{i} and more", 20 * i) for i in range(1, 7)], CHUNK)
+    pairs = [(1, 2), (1, 3), (4, 4), (5, 6)]
+    out = edits.merge_chunks(c, spark.createDataFrame(pairs, "chunk_id_a long, chunk_id_b long"))
+    got = {r.chunk_id: r.text for r in out.chunks.collect()}
+    assert got == {**{i: f"t{i} and more" for i in range(1, 5)}, 5: "t5 and more\n\nt6 and more"}
+    assert sorted(r.reason for r in out.rejects.collect()) == [
+        "chunk in several edits", "chunk in several edits", "chunk merged with itself"]
+    cuts = edits.split_chunks(c, spark.createDataFrame([(1, 3), (1, 4), (2, 3), (3, 3)], "chunk_id long, offset int"))
+    rows = sorted((r.char_start, r.text, r.chunk_id) for r in cuts.chunks.collect())
+    assert "".join(t for _, t, _ in rows).replace(" ", "") == "".join(f"t{i}andmore" for i in range(1, 7))
+    assert len({i for *_, i in rows}) == 8 and {i for *_, i in rows} == set(range(1, 9))
+    assert cuts.rejects.count() == 2
+
+
 def test_split(spark):
     body = "x" * 60 + "\n" + "y" * 20
     c = spark.createDataFrame([chunk(1, 1, "head  tail", 5), chunk(2, 1, body, 20), chunk(3, 1, "ab   ", 0), chunk(4, 1, "z", 0)], CHUNK)
@@ -252,14 +266,13 @@ def test_export_files(spark, project, tmp_path):
     head = export.manifest(project["labels"], current, project["chunks"], rubric_id=1, rubric_name="r", rubric_version=4,
                            project_uuid=project_id, sidecar=info)
     rubric = rubrics.rubric_payload(spark.createDataFrame([(1, "r", 4, [])], "rubric_id long, name string, version int, categories array<struct<name:string,definition:string,exemplars:array<string>,boundary_cases:array<string>,confidence_threshold:double,parent:string>>"))
-    store.write_corpus_document(recs, head, rubric, str(tmp_path / "doc"))
-    whole = json.loads("".join(r.value for r in spark.read.text(str(tmp_path / "doc")).collect()))
-    assert set(whole) == {"manifest", "rubric", "chunks"} and len(whole["chunks"]) == 3
-    assert whole["manifest"]["total_chunks"] == 3 and whole["manifest"]["labeled_chunks"] == 5
-    assert whole["manifest"]["embeddings"]["sidecar"]["dim"] == 3 and whole["manifest"]["reviewed_chunks"] == 1
     store.write_corpus_json(recs, head, rubric, str(tmp_path / "lines"))
-    assert spark.read.json(str(tmp_path / "lines/chunks")).count() == 3
-    store.write_sidecar(side, str(tmp_path / "e.parquet"))
+    whole = spark.read.json(str(tmp_path / "lines/manifest")).first()
+    assert whole.total_chunks == 3 and whole.labeled_chunks == 5
+    assert whole.embeddings.sidecar.dim == 3 and whole.reviewed_chunks == 1
+    assert {r.label_id for r in spark.read.json(str(tmp_path / "lines/chunks")).collect()} == {r.label_id for r in recs.collect()}
+    store.write_sidecar(side, str(tmp_path / "e.parquet"), {"dim": 3, "models": ["m1"]})
+    assert spark.read.parquet(str(tmp_path / "e.parquet")).schema["embedding"].metadata == {"dim": 3, "models": ["m1"]}
     assert dict(spark.read.parquet(str(tmp_path / "e.parquet")).dtypes)["embedding"] == "array<float>"
     shown = export.preview(*args, rubric_id=1, rubric_version=4, project_uuid=project_id, max_chunks=1).collect()
     assert len(shown) == 1 and shown[0].total_chunks == 5 and shown[0].sidecar_rows == 1
