@@ -33,7 +33,8 @@ def udf_embedder(make_encoder: Callable[[], Callable[[list[str]], list[list[floa
     """An Arrow-batched embedder that loads its model once per worker task.
 
     ``make_encoder`` runs on the worker and returns a function that encodes a
-    list of texts; it is called with at most ``batch_size`` texts.
+    list of texts; it is called with at most ``batch_size`` texts. Rows of a numpy
+    array are passed on as they are.
     """
     import pandas as pd
 
@@ -46,7 +47,7 @@ def udf_embedder(make_encoder: Callable[[], Callable[[list[str]], list[list[floa
                 vectors.extend(encoder(texts[i : i + batch_size]))
             out, at = [], 0
             for row in rows:
-                out.append([[float(x) for x in v] for v in vectors[at : at + len(row)]])
+                out.append(list(vectors[at : at + len(row)]))
                 at += len(row)
             yield pd.Series(out)
 

@@ -66,7 +66,7 @@ def confidence_histogram(labels: DataFrame, rubric_id: int, bins: int = 20) -> D
 
 
 def document_label_status(docs: DataFrame, chunks: DataFrame, labels: DataFrame,
-                          reviews: DataFrame, *, ordered: bool = True) -> DataFrame:
+                          reviews: DataFrame, *, ordered: bool = False) -> DataFrame:
     """chunks, labels and reviewed labels per document, zeros included."""
     reviewed = reviews.select("label_id").distinct().withColumn("_r", F.lit(1))
     per_chunk = (
@@ -101,7 +101,7 @@ def corpus_totals(status: DataFrame) -> DataFrame:
 
 
 def category_coverage(labels: DataFrame, chunks: DataFrame | None, current: DataFrame | None,
-                      categories: DataFrame, rubric_id: int, *, ordered: bool = True) -> DataFrame:
+                      categories: DataFrame, rubric_id: int, *, ordered: bool = False) -> DataFrame:
     """use of each rubric category, and of categories outside the rubric.
 
     ``categories`` is the exploded rubric (``rubric_id, pos, name``). Statistics
@@ -223,15 +223,26 @@ def results_table(labels: DataFrame, chunks: DataFrame, docs: DataFrame, current
     )
 
 
+# The statuses a user picks, and the actions they stand for.
+STATUS_NAMES = {"accepted": "accept", "flagged": "flag", "unreviewed": "unreviewed"}
+ACTIONS = ("accept", "correct", "skip", "flag", "bypassed")
+
+
 def filter_results(results: DataFrame, *, doc_id: int | None = None, category: str | None = None,
                    status: str | None = None) -> DataFrame:
-    """filters of the results table; any of them may be left out."""
+    """filters of the results table; any of them may be left out.
+
+    ``status`` is one of ``STATUS_NAMES`` or an action; anything else is an error.
+    """
     if doc_id is not None:
         results = results.where(F.col("doc_id") == doc_id)
     if category is not None:
         results = results.where(F.array_contains("categories", category))
     if status is not None:
-        results = results.where(F.lower("status") == status.lower())
+        action = STATUS_NAMES.get(status.lower(), status.lower())
+        if action not in (*STATUS_NAMES.values(), *ACTIONS):
+            raise ValueError(f"unknown status: {status}")
+        results = results.where(F.col("status") == action)
     return results
 
 

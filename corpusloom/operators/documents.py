@@ -164,7 +164,7 @@ def ingest_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def find_documents(docs: DataFrame, *, doc_id: int | None = None, ordered: bool = True) -> DataFrame:
+def find_documents(docs: DataFrame, *, doc_id: int | None = None, ordered: bool = False) -> DataFrame:
     """One document, or all in order of ingest (``ingested_at``, then id)."""
     if doc_id is not None:
         return docs.where(F.col("doc_id") == doc_id)

@@ -129,7 +129,7 @@ def latest_labels(labels: DataFrame, rubric_id: int) -> DataFrame:
 
 
 def find_labels(labels: DataFrame, *, chunk_id: int | None = None, rubric_id: int | None = None,
-                ordered: bool = True) -> DataFrame:
+                ordered: bool = False) -> DataFrame:
     """Labels of a chunk, in order of time, or of a rubric."""
     if rubric_id is not None:
         labels = labels.where(F.col("rubric_id") == rubric_id)

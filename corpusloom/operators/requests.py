@@ -65,18 +65,16 @@ def rubric_prompts(rubrics: DataFrame) -> DataFrame:
 
 
 def classification_requests(chunks: DataFrame, runs: DataFrame, labels: DataFrame,
-                            rubrics: DataFrame, rubric_id: int) -> DataFrame:
+                            rubric_id: int) -> DataFrame:
     """What to send for every chunk the rubric has not labeled yet.
 
-    The system prompt is the same for all rows of a rubric; it comes from a
-    scalar subquery, so the chunks are not joined or shuffled for it.
+    The system prompt is the same for all rows of a rubric. It is one row of
+    ``rubric_prompts``, named by ``rubric_id``, and not repeated for each chunk.
     """
-    prompt = rubric_prompts(rubrics.where(F.col("rubric_id") == rubric_id))
     todo = unlabeled_chunks(chunks, runs, labels, rubric_id)
     text = classification_text(F.col("section_path"), F.col("text"))
     return todo.select(
         "chunk_id",
         F.lit(rubric_id).cast("long").alias("rubric_id"),
-        prompt.select("system_prompt").scalar().alias("system_prompt"),
         F.concat(F.lit(USER_HEAD), text).alias("user_prompt"),
     )

@@ -56,7 +56,7 @@ def submit_reviews(decisions: DataFrame, labels: DataFrame) -> tuple[DataFrame,
 
 def review_queue(chunks: DataFrame, runs: DataFrame, labels: DataFrame, reviews: DataFrame,
                  rubric_id: int, *, threshold: float = 1.0, doc_id: int | None = None,
-                 limit: int | None = None, ordered: bool = True) -> DataFrame:
+                 limit: int | None = None, ordered: bool = False) -> DataFrame:
     """Unreviewed labels at or below a confidence, least confident first.
 
     With ``limit`` the sort becomes a top-k per task.
@@ -183,7 +183,7 @@ def status_runs(chunk_states: DataFrame) -> DataFrame:
     return position_runs(chunk_states, ["doc_id"], "char_start", "status", ties=["chunk_id"])
 
 
-def category_confidences(labels: DataFrame, current: DataFrame, *, ordered: bool = True) -> DataFrame:
+def category_confidences(labels: DataFrame, current: DataFrame, *, ordered: bool = False) -> DataFrame:
     """One row per label and category; chosen categories count as 1.0."""
     finals = F.col("review.final_categories")
     ones = F.map_from_arrays(

@@ -188,7 +188,7 @@ def semantic_chunks(
     max_tokens: int = 800,
     similarity_threshold: float = 0.5,
     counter: TokenCounter = estimate_counts,
-    spread: bool = False,
+    spread: bool = True,
     root_section: bool = False,
     keep: Sequence[str] = (),
 ) -> DataFrame:
@@ -227,7 +227,7 @@ def hybrid_chunks(
     max_tokens: int = 800,
     similarity_threshold: float = 0.5,
     counter: TokenCounter = estimate_counts,
-    spread: bool = False,
+    spread: bool = True,
     keep: Sequence[str] = (),
     **structural_options,
 ) -> DataFrame:

@@ -38,10 +38,10 @@ def rechunk(tables: Mapping[str, DataFrame], docs: DataFrame, *, strategy: str,
     return runs.run_chunking(tables, docs, chunks, strategy=strategy, params=recorded, job_no=job_no)
 
 
-def open_requests(tables: Mapping[str, DataFrame], rubrics: DataFrame, rubric_id: int) -> DataFrame:
-    """What is left to send to a model; after a full round it is empty."""
+def open_requests(tables: Mapping[str, DataFrame], rubric_id: int) -> DataFrame:
+    """What is left to send to a model, beside the rubric's prompt; after a full round it is empty."""
     return requests.classification_requests(
-        tables["chunks"], tables["chunking_runs"], tables["labels"], rubrics, rubric_id
+        tables["chunks"], tables["chunking_runs"], tables["labels"], rubric_id
     )
 
 

@@ -1,8 +1,9 @@
 """Doc maps: include and exclude rules over a file listing (A2-A4).
 
-A rule matches a path in two steps that need no nested loop. Its leading
-literal folders are its anchor; a path meets only rules whose anchor is one of
-its own folders (an equality join), and then the rule's pattern is tested.
+Maps are written by hand, so their compiled rules come to the paths: all rules are
+one array, tested in the path's row. A rule's leading literal folders and the text
+behind its last wildcard are compared first; few rules are left for their pattern.
+Paths are neither exploded nor joined, so no folder can be a hot key.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from corpusloom.functions import arrays, text
 from corpusloom.schemas import SUPPORTED_EXTENSIONS
 from corpusloom.sources.files import extension
 
-# A doc map is written by hand. Past this many variables, pass ``env``.
-MAX_VARIABLES = 1000
 VARIABLE = r"\$(?:\w+|\{[^}]*\})"
 
 
@@ -47,17 +46,12 @@ def parse_doc_map(maps: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
 
 def expand_patterns(rules: DataFrame, base_dir: str | Column, *, home: str | None = None,
                     env: Mapping[str, str] | None = None) -> DataFrame:
-    """A3: expand ``$VAR`` and ``~`` and resolve against the map's folder: ``target``."""
+    """A3: expand ``$VAR`` and ``~`` and resolve against the map's folder: ``target``.
+
+    Variables have the values in ``env``, such as ``os.environ``; others stay as
+    they are written.
+    """
     home = os.path.expanduser("~") if home is None else home
-    if env is None:
-        names = (
-            rules.select(F.explode(F.regexp_extract_all("pattern", F.lit(VARIABLE), F.lit(0))).alias("v"))
-            .distinct().limit(MAX_VARIABLES + 1).collect()
-        )
-        if len(names) > MAX_VARIABLES:
-            raise ValueError("too many variables in the doc map; pass env")
-        wanted = {r.v.strip("${}") for r in names}
-        env = {k: v for k, v in os.environ.items() if k in wanted}
     pattern = F.col("pattern")
     if env:
         table = F.create_map(*[F.lit(x) for kv in sorted(env.items()) for x in kv])
@@ -147,30 +141,38 @@ def compile_patterns(rules: DataFrame) -> DataFrame:
     }).drop("_parts", "_wild")
 
 
-def match_rules(listing: DataFrame, compiled: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
-    """A3: every pair of a listed ``path`` and a rule that matches it."""
-    folders = arrays.let(F.split("path", "/", -1), lambda parts: F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda n: F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, F.lit(1), n), "/")),
-    ))
-    placed = listing.select("path", F.explode(F.array_distinct(folders)).alias("anchor"))
-    # The suffix test spares most pairs the far dearer pattern.
-    return placed.join(
-        compiled.select(*keys, "line_no", "is_exclude", "anchor", "suffix", "regex"), "anchor"
-    ).where(
-        F.endswith("path", F.col("suffix")) & F.rlike("path", F.col("regex"))
-    ).select(*keys, "path", "line_no", "is_exclude")
+def with_matches(listing: DataFrame, compiled: DataFrame, owner: Iterable[str]) -> DataFrame:
+    """A3: each ``path`` with the ``owner`` columns of the rules that match it, in ``hits``.
+
+    Rules of one pattern are tested together.
+    """
+    test = compiled.groupBy("anchor", "suffix", "regex").agg(F.collect_set(F.struct(*owner)).alias("owners"))
+    rules = test.agg(F.collect_list(F.struct("anchor", "suffix", "regex", "owners"))).scalar()
+
+    def inside(path: Column, anchor: Column) -> Column:
+        return (anchor == "/") | (path == anchor) | F.startswith(path, F.concat(anchor, F.lit("/")))
+
+    near = F.filter("_rules", lambda r: F.endswith("path", r["suffix"]) & inside(F.col("path"), r["anchor"]))
+    hits = F.filter(near, lambda r: F.rlike("path", r["regex"]))
+    return listing.select("path", rules.alias("_rules")).select(
+        "path", F.flatten(F.transform(hits, lambda r: r["owners"])).alias("hits"))
 
 
 def resolve_doc_map(listing: DataFrame, compiled: DataFrame, *, keys: Iterable[str] = (),
-                    extensions: Iterable[str] = SUPPORTED_EXTENSIONS, ordered: bool = True) -> DataFrame:
+                    extensions: Iterable[str] = SUPPORTED_EXTENSIONS, ordered: bool = False) -> DataFrame:
     """A3: included and not excluded files, each once; excludes always win."""
     keys = list(keys)
     files = listing.where(extension(F.col("path")).isin(sorted(extensions)))
-    hits = match_rules(files, compiled, keys).groupBy(*keys, "path").agg(
-        F.bool_or(~F.col("is_exclude")).alias("_in"), F.bool_or("is_exclude").alias("_out")
-    )
-    chosen = hits.where("_in and not _out").select(*keys, "path")
+    # A map's own key, or the same one for all rules if there is one map.
+    key = lambda r: F.struct(*([r[k].alias(k) for k in keys] or [F.lit(1).alias("one")]))
+
+    def maps(hits: Column) -> Column:
+        given = lambda keep: F.transform(F.filter(hits, keep), key)
+        return F.array_except(given(lambda r: ~r["is_exclude"]), given(lambda r: r["is_exclude"]))
+
+    chosen = with_matches(files, compiled, [*keys, "is_exclude"]).select(
+        "path", F.explode(arrays.let(F.col("hits"), maps)).alias("map")
+    ).select(*[f"map.{k}" for k in keys], "path").distinct()
     return chosen.orderBy(*keys, "path") if ordered else chosen
 
 
@@ -178,7 +180,9 @@ def unmatched_rules(listing: DataFrame, compiled: DataFrame, *, keys: Iterable[s
     """A4: include rules that match no file of any extension."""
     keys = list(keys)
     includes = compiled.where("not is_exclude")
-    seen = match_rules(listing, includes, keys).select(*keys, "line_no").distinct()
+    seen = with_matches(listing, includes, [*keys, "line_no"]).select(
+        F.explode(arrays.rows_of("hits")).alias("r")
+    ).select(*[f"r.{k}" for k in keys], "r.line_no").distinct()
     return includes.join(seen, [*keys, "line_no"], "left_anti").select(*keys, "line_no", "pattern")
 
 

@@ -42,13 +42,13 @@ def local_path(uri: Column) -> Column:
 
 
 def supported_files(listing: DataFrame, extensions: Iterable[str] = SUPPORTED_EXTENSIONS, *,
-                    ordered: bool = True) -> DataFrame:
+                    ordered: bool = False) -> DataFrame:
     """A1: the files of a listing that have a supported extension, by path."""
     hits = listing.where(extension(F.col("path")).isin(sorted(extensions)))
     return hits.orderBy("path") if ordered else hits
 
 
-def scan_folder(spark: SparkSession, folder: str, *, ordered: bool = True) -> DataFrame:
+def scan_folder(spark: SparkSession, folder: str, *, ordered: bool = False) -> DataFrame:
     """A1: supported files below a folder."""
     return supported_files(list_folder(spark, folder), ordered=ordered)
 

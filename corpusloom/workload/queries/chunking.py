@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.vectors import udf_embedder
 from corpusloom.operators import (
     analytics, clauses, edits, runs, semantic_chunks, structural_chunks, structure,
 )
@@ -12,7 +13,7 @@ from corpusloom.schemas import DNB
 from corpusloom.workload.queries.ingest import joined, sha
 from corpusloom.workload.registry import query
 from corpusloom.workload.sql import cosine, letters
-from corpusloom.workload.tables import Tables, letter_embedder
+from corpusloom.workload.tables import LETTERS, Tables, letter_embedder
 
 # Sizes that make every branch of the chunkers occur in the given texts.
 MIN_TOKENS, MAX_TOKENS = 40, 90
@@ -229,7 +230,25 @@ def semantic_sql(key: str, join: str, low: int = SEMANTIC_MIN) -> list[tuple[str
            tokens AS token_count, conf AS boundary_confidence FROM parts""")
 def c7(t: Tables) -> DataFrame:
     return flat(semantic_chunks.semantic_chunks(
-        structure.with_structure(t.documents()), letter_embedder, min_tokens=SEMANTIC_MIN,
+        structure.with_structure(t.documents()), letter_embedder, spread=False, min_tokens=SEMANTIC_MIN,
+        max_tokens=SEMANTIC_MAX, similarity_threshold=THRESHOLD,
+    ))
+
+
+def letter_encoder():
+    """A model hook of the kind ``udf_embedder`` takes: texts to numpy vectors."""
+    import numpy as np
+
+    return lambda texts: np.array([[t.count(x) for x in LETTERS] for t in texts], float).reshape(-1, len(LETTERS))
+
+
+@query("c7_model_chunks", extra=DOC_SENTENCES + semantic_sql("doc_id", "m.doc_id = f.doc_id"), sql="""
+    SELECT doc_id, part AS ord, sha256(body) AS text_hash, s AS char_start, e AS char_end, doc_id::VARCHAR AS section_path,
+           tokens AS token_count, conf AS boundary_confidence FROM parts""")
+def c7_model(t: Tables) -> DataFrame:
+    """As c7, with vectors from a vectorized hook, spread over all tasks."""
+    return flat(semantic_chunks.semantic_chunks(
+        structure.with_structure(t.documents()), udf_embedder(letter_encoder), min_tokens=SEMANTIC_MIN,
         max_tokens=SEMANTIC_MAX, similarity_threshold=THRESHOLD,
     ))
 
@@ -249,7 +268,7 @@ HYBRID_PACKED = [(n, s.replace(f"> {MAX_TOKENS}", f"> {HYBRID_MAX}").replace(f"<
     FROM parts p JOIN (SELECT doc_id, ord, base, path FROM src) x USING (doc_id, ord)""")
 def c8(t: Tables) -> DataFrame:
     return flat(semantic_chunks.hybrid_chunks(
-        md_docs(t), letter_embedder, min_tokens=MIN_TOKENS, max_tokens=HYBRID_MAX,
+        md_docs(t), letter_embedder, spread=False, min_tokens=MIN_TOKENS, max_tokens=HYBRID_MAX,
         similarity_threshold=THRESHOLD,
     ), "sub_ord")
 

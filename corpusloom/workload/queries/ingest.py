@@ -353,6 +353,57 @@ def b11(t: Tables) -> DataFrame:
     return documents.first_by(t.documents(), "source_hash")
 
 
+@query("b11_document_by_id", needs=["docs"], sql="SELECT doc_id, filename, source_hash FROM docs WHERE doc_id = (SELECT max(doc_id) FROM docs)")
+def b11_id(t: Tables) -> DataFrame:
+    last = t.given("documents").agg(F.max("doc_id").alias("d")).first().d
+    return documents.find_documents(t.documents(), doc_id=last).select("doc_id", "filename", "source_hash")
+
+
+@query("b11_first_document_by_name", needs=["docs"], sql="SELECT filename, min(doc_id) AS doc_id, count(*) AS n_documents FROM docs GROUP BY filename")
+def b11_name(t: Tables) -> DataFrame:
+    return documents.first_by(t.documents(), "filename")
+
+
+@query("a10_stored_tables", needs=["docs", "runs", "chunks", "labels_e", "reviews", "embs"], sql="""
+    SELECT 'documents' AS table_name, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM docs
+    UNION ALL SELECT 'chunking_runs', count(*), sum(run_id)::BIGINT FROM runs
+    UNION ALL SELECT 'chunks', count(*), sum(chunk_id)::BIGINT FROM chunks
+    UNION ALL SELECT 'labels', count(*), sum(label_id)::BIGINT FROM labels_e
+    UNION ALL SELECT 'human_reviews', count(*), sum(review_id)::BIGINT FROM reviews
+    UNION ALL SELECT 'chunk_embeddings', count(*), sum(chunk_id)::BIGINT FROM embs
+    UNION ALL SELECT 'audit_events', count(*), sum(event_id)::BIGINT FROM events
+    UNION ALL SELECT 'rubric_versions', count(*), sum(ascii(lang) * 256 + ascii(substring(lang, 2, 1)))::BIGINT
+      FROM (SELECT DISTINCT lang FROM documents)""")
+def a10_tables(t: Tables) -> DataFrame:
+    """All eight tables written to the shared folder and read back."""
+    keys = {"documents": "doc_id", "chunking_runs": "run_id", "chunks": "chunk_id", "labels": "label_id",
+            "human_reviews": "review_id", "chunk_embeddings": "chunk_id", "audit_events": "event_id",
+            "rubric_versions": "rubric_id"}
+    every = {**t.tables(), "audit_events": t.audit(), "rubric_versions": t.rubrics()}
+    out = None
+    for name, key in keys.items():
+        path = shared_folder(t.spark, name)
+        store.append_table(every[name], path, name, buckets=8)
+        one = store.read_table(t.spark, path, name).agg(
+            F.lit(name).alias("table_name"), F.count("*").alias("n"), F.sum(key).alias("ids"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("a10_replaced_buckets", needs=["chunks"], sql="""
+    SELECT chunk_id, CASE WHEN doc_id % 5 = 0 THEN reverse(text) ELSE text END AS text FROM chunks""")
+def a10_replaced(t: Tables) -> DataFrame:
+    """Every fifth document's chunks rewritten: only the buckets that hold them are read and replaced."""
+    path = shared_folder(t.spark, "chunks")
+    store.append_table(t.chunks(), path, "chunks", buckets=16)
+    hit = store.touched_buckets(t.given("documents").where("doc_id % 5 = 0"), buckets=16)
+    change = F.when(F.col("doc_id") % 5 == 0, F.reverse("text")).otherwise(F.col("text"))
+    # Derived from the source, not from the buckets that it replaces.
+    fresh = t.chunks().withColumn("text", change).where(store.doc_bucket(16).isin(hit))
+    store.replace_buckets(fresh, path, "chunks", buckets=16)
+    return store.read_table(t.spark, path, "chunks").select("chunk_id", "text")
+
+
 @query("b12_document_status", needs=["docs"], sql="""
     SELECT d.doc_id, d.filename, coalesce(e.status, d.status) AS status FROM docs d LEFT JOIN
       (SELECT user_id AS doc_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1) e ON d.doc_id = e.doc_id""")

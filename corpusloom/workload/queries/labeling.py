@@ -87,18 +87,13 @@ def d4(t: Tables) -> DataFrame:
 UNLABELED = "SELECT * FROM live WHERE NOT EXISTS (SELECT 1 FROM labels_e l WHERE l.chunk_id = live.chunk_id AND l.rubric_id = {r})"
 
 
-@query("d5_classification_requests", needs=["live", "labels_e", "cats"], extra=[
-    ("todo", UNLABELED.format(r=2)),
-    ("p", f"""SELECT {prompt_sql("string_agg(" + entry_sql(
-        "name", "'Chunks about ' || name", "['one ' || name, 'two ' || name, 'three ' || name, 'four ' || name]",
-        "CASE WHEN pos > 0 THEN ['not ' || name, 'never ' || name, 'rarely ' || name] ELSE []::VARCHAR[] END")
-        + ", chr(10) || chr(10) ORDER BY pos)")} AS sp FROM cats WHERE rubric_id = 2""")], sql=f"""
-    SELECT chunk_id, 2 AS rubric_id, sha256(sp) AS system_hash,
+@query("d5_classification_requests", needs=["live", "labels_e"], extra=[("todo", UNLABELED.format(r=2))], sql=f"""
+    SELECT chunk_id, 2 AS rubric_id,
       sha256({sql_text(requests.USER_HEAD)} || '[Section: ' || array_to_string(section_path, ' > ') || ']' || chr(10) || chr(10) || text) AS user_hash
-    FROM todo, p""")
+    FROM todo""")
 def d5(t: Tables) -> DataFrame:
-    r = requests.classification_requests(t.chunks(), t.runs(), t.labels(), t.label_rubrics(), 2)
-    return r.select("chunk_id", "rubric_id", sha("system_prompt").alias("system_hash"), sha("user_prompt").alias("user_hash"))
+    r = requests.classification_requests(t.chunks(), t.runs(), t.labels(), 2)
+    return r.select("chunk_id", "rubric_id", sha("user_prompt").alias("user_hash"))
 
 
 # ------------------------------------------------------------------- replies
@@ -326,6 +321,29 @@ def d17(t: Tables) -> DataFrame:
     )
 
 
+@query("d18_labels_of_chunk", needs=["labels_e"], extra=[("c", "SELECT max(chunk_id) AS c FROM labels_e WHERE rubric_id = 2")],
+       sql="SELECT label_id, rubric_id, rationale FROM labels_e WHERE chunk_id = (SELECT c FROM c)")
+def d18_chunk(t: Tables) -> DataFrame:
+    last = t.labels().where("rubric_id = 2").agg(F.max("chunk_id").alias("c")).first().c
+    return labels.find_labels(t.labels(), chunk_id=last if last is not None else -1, ordered=True).select(
+        "label_id", "rubric_id", "rationale")
+
+
+@query("d15_labels_of_edited_chunks", needs=["labels_e"], sql="SELECT label_id, chunk_id FROM labels_e WHERE chunk_id % 9 = 0")
+def d15_chunks(t: Tables) -> DataFrame:
+    edited = t.chunks().where("chunk_id % 9 = 0").select("chunk_id")
+    return labels.labels_of_chunks(t.labels(), edited).select("label_id", "chunk_id")
+
+
+@query("d1_versions_of_rubric", sql="""
+    SELECT event_id AS rubric_id, row_number() OVER (ORDER BY event_id) AS version FROM events WHERE user_id = (SELECT max(user_id) FROM events)""")
+def d1_list(t: Tables) -> DataFrame:
+    """All versions of one user's rubric, oldest first."""
+    name = t.rubric_edits().orderBy(F.desc(F.substring("name", 2, 20).cast("long"))).first().name
+    versions = rubrics.version_rubrics(t.rubric_edits().where(F.col("name") == name))
+    return rubrics.list_versions(versions).select("rubric_id", "version")
+
+
 @query("d18_labels_of_rubric", needs=["labels_e"],
        sql="SELECT label_id, chunk_id, rationale, llm_run_id FROM labels_e WHERE rubric_id = 2")
 def d18(t: Tables) -> DataFrame:

@@ -119,7 +119,7 @@ def f7(t: Tables) -> DataFrame:
 @query("f7_filtered_results", needs=["labels_e", "docs", "reviews"], extra=RESULTS,
        sql=f"SELECT {RESULT_COLUMNS} FROM results WHERE list_contains(cats, 'quality') AND status = 'accept'")
 def f7_filtered(t: Tables) -> DataFrame:
-    return shown(analytics.filter_results(results(t), category="quality", status="Accept"))
+    return shown(analytics.filter_results(results(t), category="quality", status="Accepted"))
 
 
 @query("f8_dashboard", needs=["labels_e", "reviews"], sql="""

@@ -77,7 +77,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN action IN ('accept', 'bypassed') THEN l.predicted_categories
                     WHEN action = 'correct' THEN CASE WHEN value >= 20 THEN ['quality'] ELSE ['toxic', 'quality'] END
                     ELSE []::VARCHAR[] END AS final_categories, notes, reviewed_at
-        FROM (SELECT event_id AS review_id, user_id * 1000000 + event_id % 40 + 1 AS label_id, 'u' || user_id AS reviewer,
+        FROM (SELECT event_id AS review_id, event_id % (SELECT count(*) FROM documents) * 1000000 + 1 + (event_id // (SELECT count(*) FROM documents)) % 3 AS label_id, 'u' || user_id AS reviewer,
                      CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'click' THEN 'correct' WHEN 'view' THEN 'skip'
                           WHEN 'error' THEN 'flag' ELSE 'bypassed' END AS action,
                      value, props AS notes, ts AS reviewed_at FROM events) e

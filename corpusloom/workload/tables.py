@@ -147,10 +147,12 @@ class Tables:
         )
 
     def review_log(self) -> DataFrame:
-        """User events as reviews of labels; several for the same label."""
+        """User events as reviews of labels, dealt over the first lines of all texts; several for a label."""
+        n = self.given("documents").agg(F.count("*")).scalar()
+        event = F.col("event_id")
         e = self.given("events").select(
-            F.col("event_id").alias("review_id"),
-            (F.col("user_id") * 1_000_000 + F.col("event_id") % 40 + 1).alias("label_id"),
+            event.alias("review_id"),
+            (event % n * 1_000_000 + 1 + F.floor(event / n) % 3).cast("long").alias("label_id"),
             F.concat(F.lit("u"), "user_id").alias("reviewer"),
             F.when(F.col("event_type") == "purchase", "accept")
             .when(F.col("event_type") == "click", "correct")

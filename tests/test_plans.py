@@ -48,7 +48,7 @@ def test_files_to_corpus(spark, tmp_path):
 
     rubric_text = json.dumps({"categories": [{"name": "procedure", "definition": "Steps.", "exemplars": ["part one"]}, {"name": "fact"}]})
     rubrics = rubric_json.parse_rubrics(spark.createDataFrame([(1, "r", 1, rubric_text)], "rubric_id long, name string, version int, json string")).rubrics
-    todo = labeling.open_requests(tables, rubrics, 1)
+    todo = labeling.open_requests(tables, 1)
     assert todo.count() == 3 and "[Section: Top > Next]" in "".join(r.user_prompt for r in todo.collect())
     reply = json.dumps({"predicted_categories": ["procedure"], "confidence_per_category": {"procedure": 0.9}, "rationale": "x"})
     replies = todo.select("chunk_id", F.lit(reply).alias("response"), F.array(F.lit(-0.1)).alias("logprobs"))
@@ -62,7 +62,7 @@ def test_files_to_corpus(spark, tmp_path):
     tables["labels"] = store.read_table(spark, str(tmp_path / "labels"), "labels")
     assert tables["labels"].count() == 3
     assert {round(r.composite_confidence, 6) for r in tables["labels"].collect()} == {round(min(1, 0.9 * 1.05 * 1.03), 6)}
-    assert labeling.open_requests(tables, rubrics, 1).count() == 0
+    assert labeling.open_requests(tables, 1).count() == 0
 
     tables["human_reviews"] = reviews.bypass_unreviewed(tables["labels"], tables["human_reviews"], 1)
     project = str(uuid.uuid4())

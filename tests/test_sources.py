@@ -27,7 +27,7 @@ def chosen(spark, root, rules, **kw):
     (root / "m.docmap").write_text(rules, encoding="utf-8")
     compiled = docmap.load_doc_map(spark, str(root / "m.docmap"), **kw)
     listing = files.list_folder(spark, str(root))
-    got = [os.path.relpath(r.path, root) for r in docmap.resolve_doc_map(listing, compiled).collect()]
+    got = [os.path.relpath(r.path, root) for r in docmap.resolve_doc_map(listing, compiled, ordered=True).collect()]
     missed = [r.pattern for r in docmap.unmatched_rules(listing, compiled).orderBy("line_no").collect()]
     return got, missed
 
