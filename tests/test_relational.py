@@ -176,7 +176,7 @@ def test_review_rules(project):
 
 def test_coverage_and_flags(spark, project):
     cats = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "rubric_id long, pos int, name string")
-    cov = analytics.category_coverage(project["labels"], project["chunks"], reviews.current_reviews(project["human_reviews"]), cats, 1)
+    cov = analytics.category_coverage(project["labels"], project["chunks"], reviews.current_reviews(project["human_reviews"]), cats, 1, ordered=True)
     rows = cov.collect()
     assert [(r.name, r.in_rubric, r["count"], r.doc_count, r.review_count, r.disagree_pct) for r in rows] == [
         ("a", True, 1, 1, 1, 1.0), ("b", True, 0, 0, 0, 0.0), (DNB, False, 1, 1, 0, 0.0)]
