@@ -6,7 +6,7 @@ import hashlib
 import zlib
 
 import pytest
-from conftest import ODD, prose
+from samples import ODD, prose
 from pyspark.sql import functions as F
 
 from corpusloom.llm import fingerprints, shards

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import ODD, prose
+from samples import ODD, prose
 
 from corpusloom.llm import decontamination, html_text, neardup, substring_dedup, tables
 from corpusloom.llm.words import hash_words, shingles

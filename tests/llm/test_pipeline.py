@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from conftest import ODD, prose
+from samples import ODD, prose
 
 from corpusloom.llm.queries import QUERIES
 

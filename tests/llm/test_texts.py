@@ -13,7 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import ODD, prose
+from samples import ODD, prose
 from pyspark.sql import functions as F
 
 from corpusloom.llm import language, packing, secret_scan, toxicity
