@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, language, neardup, packing, secret_scan
 from corpusloom.llm.shipping import ship
-from corpusloom.llm.tables import kept
+from corpusloom.llm.tables import kept, maybe_among
 
 # SQL has no context trees, sketches or tokenizers; tests hold each stage against plain Python.
 ORACLE_SQL = None
@@ -36,14 +36,18 @@ def in_a_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links connect, the smallest id stays, once."""
     ship(spark)
-    others = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    near = kept(neardup.near_duplicates(docs).where(F.col("doc_id").isNotNull()).select("doc_id", "kept"), "near")
+    others = near.where(~F.col("kept")).select("doc_id").distinct()
+    again = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    # Documents that surely stay are not shuffled: only the others are joined.
+    doubtful = F.col("doc_id").isNotNull() & maybe_among(others.union(again))(F.col("doc_id"))
     place = "place"
     while place in docs.columns:
         place += "_"
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    named = docs.where(F.col("doc_id").isNotNull()).join(others, "doc_id", "left_anti").withColumn(
+    judged = docs.where(doubtful).join(others, "doc_id", "left_anti").withColumn(
         place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
-    return named.select(docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    return judged.select(docs.columns).union(docs.where(~doubtful))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

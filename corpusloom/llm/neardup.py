@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.tables import components, kept
+from corpusloom.llm.tables import components, kept, maybe_among
 from corpusloom.llm.words import U, column_bytes, constants, groups_of, hash_words, mix, shingles
 
 SHINGLE = 4
@@ -124,7 +124,10 @@ def confirmed_links(docs: DataFrame, members: DataFrame, words: int = SHINGLE,
     dealt = members.withColumn("own", own).withColumn("other", F.explode(
         F.sequence(F.lit(0), blocks - 1))).select(
         "id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "bucket")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("text").isNotNull())
+    # Texts of documents that are in no bucket are not shuffled.
+    member = maybe_among(members.select("id").distinct())
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where(
+        F.col("text").isNotNull() & member(F.col("id")))
     group = ["bucket", "x", "y"]
     shipped = dealt.join(texts, "id").select(*group, "own", "id", "text")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -221,7 +224,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     classes = named.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     nodes = named.join(classes, key).where("doc_id = rep").select(
         F.col("rep").alias("id"), "bands").dropDuplicates(["id", "bands"])
-    links = confirmed_links(docs, buckets(nodes), words, percent)
+    links = confirmed_links(docs, kept(buckets(nodes), "buckets"), words, percent)
     # An id with several texts belongs to the class of each.
     member = named.select("doc_id", *key).join(classes, key).select("doc_id", "rep")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import shared_folder
@@ -54,3 +57,31 @@ def components(links: DataFrame) -> DataFrame:
             break
         edges = kept(_small_star(_large_star(edges)), "links")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+# Bits of an id filter: 8 MB, whatever the number of ids.
+FILTER_BITS = 26
+
+
+def maybe_among(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test that is true for every id of the one-column table ``ids``, and for few others.
+
+    A bitmap of fixed size goes to the tasks; with very many ids it tells less and
+    less apart, but never misses one. It spares joins the rows that cannot match.
+    """
+    import numpy as np
+
+    place = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(1 << FILTER_BITS))
+    bits = ids.select(place.alias("p")).select(
+        F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit")
+    ).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bitmap[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def inside(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda key: inside(F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)))
