@@ -137,17 +137,27 @@ def window_rows(docs: DataFrame, asked: DataFrame, length: int = LENGTH) -> Data
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, tag, first, last): runs of windows that start anywhere else, too."""
     every = kept(anchors(docs, length, gram), "anchors")
-    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # The key tables of the joins are written: both sides of a join are then plain
+    # shuffles, which lets Spark split a hot anchor over several tasks.
+    again = kept(every.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
     shared = kept(every.join(again, "anchor", "left_semi"), "shared-anchors")
     span = ["anchor", "s1", "s2"]
-    spans = shared.groupBy(*span).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "first", "last")).alias("one"))
-    whole = shared.join(spans.where("n > 1").select(*span), span, "left_semi").select(
-        "doc_id", "tag", "first", "last")
-    mixed = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
-    asked = spans.join(mixed, "anchor", "left_semi").select("one.*")
+    spans = kept(shared.groupBy(*span).agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").select(*span), "repeated-spans")
+    whole = shared.join(spans, span, "left_semi").select("doc_id", "tag", "first", "last")
+    extension = F.struct("s1", "s2")
+    mixed = kept(shared.groupBy("anchor").agg(
+        F.min(extension).alias("least"), F.max(extension).alias("most")).where("least <> most").select("anchor"),
+        "mixed-anchors")
+    # The new name of the anchor makes the grouping a shuffle of its own, so that a
+    # hot anchor is split in the join before it.
+    asked = shared.join(mixed, "anchor", "left_semi").withColumn(
+        "part", F.col("anchor").bitwiseXOR(F.col("s1"))).groupBy("part", "s1", "s2").agg(
+        F.min(F.struct("doc_id", "tag", "first", "last")).alias("one")).select("one.*")
     seen = kept(window_rows(docs, _by_document(asked, "entries"), length), "windows")
-    twice = seen.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    twice = kept(seen.groupBy("w1", "w2").agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "repeated-windows")
     single = seen.join(twice, ["w1", "w2"], "left_semi").select(
         "doc_id", "tag", "first", F.col("first").alias("last"))
     return whole.union(single)
