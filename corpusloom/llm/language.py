@@ -21,7 +21,7 @@ from corpusloom.llm.tables import kept
 from corpusloom.llm.words import groups_of
 
 ORDER = 3
-MAX_CONTEXTS = 20_000
+MAX_CONTEXTS = 12_000
 CHUNK = 1024
 UNDETERMINED = "und"
 PIECE = 1 << 20

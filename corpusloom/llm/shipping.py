@@ -1,4 +1,4 @@
-"""Sends this package to the executors, whose Python workers import it."""
+"""Readies a session for Python workers: this package on the executors, batches bounded by bytes."""
 
 from __future__ import annotations
 
@@ -9,13 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+# Rows come in batches of many thousands; long texts would make them large.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package to the application's Python files, once for each application.
 
-    Spark's own file server hands it out, so executors need no copy installed.
+    Spark's own file server hands it out, so executors need no copy installed. Each
+    session also gets a bound on the bytes of a batch that a Python worker holds.
     """
+    spark.conf.set(*BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

@@ -174,7 +174,7 @@ def column_bytes(batch, name: str) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def groups_of(texts: list[bytes | None], limit: int = 8 << 20) -> Iterator[range]:
+def groups_of(texts: list[bytes | None], limit: int = 2 << 20) -> Iterator[range]:
     """Runs of texts of about ``limit`` bytes, at least one text each."""
     first, size = 0, 0
     for i, t in enumerate(texts):
