@@ -5,6 +5,8 @@ Each language has a context tree: how often a byte followed the last 3, 2, 1 and
 a byte is coded in its longest known context, and where that context has never
 seen it, an escape is coded and the next shorter context asked, without the bytes
 the longer one has seen (escape method C with exclusion). The shortest code wins.
+Every counted context is kept: the tables are sparse, one entry for each byte that
+followed a context in a language.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from corpusloom.llm.tables import kept
 from corpusloom.llm.words import groups_of
 
 ORDER = 3
-MAX_CONTEXTS = 12_000
-CHUNK = 1024
+# Priced 4-byte runs that a task remembers; what it forgets is priced again.
+PRICED = 1 << 20
 UNDETERMINED = "und"
 PIECE = 1 << 20
 _TABLES: dict[int, Tables] = {}
@@ -31,18 +33,57 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 class Counts(NamedTuple):
-    """Per order 0 to 3: codes ``context * 256 + byte``, language numbers, counts."""
+    """Per language, sorted: all 4-byte runs ``context * 256 + byte``, and how often they occur."""
 
     languages: list[str]
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    grams: list[np.ndarray]
+    n: list[np.ndarray]
 
 
-class Tables(NamedTuple):
-    """Code lengths in bits: ``bits[node * symbols + symbol]`` has one per language."""
+class Level(NamedTuple):
+    """The contexts of one order in one language, sparsely.
 
-    symbol: np.ndarray
-    node: np.ndarray
-    bits: np.ndarray
+    ``codes`` are ``context * 256 + byte``, ``n`` their counts. Of each of ``contexts``:
+    the sum and number of its own bytes, and what the next shorter context has
+    besides those bytes.
+    """
+
+    codes: np.ndarray
+    n: np.ndarray
+    contexts: np.ndarray
+    total: np.ndarray
+    distinct: np.ndarray
+    rest_total: np.ndarray
+    rest_distinct: np.ndarray
+
+
+class Tables:
+    """Levels 0 to 3 of each language, and the code lengths in bits asked for so far."""
+
+    def __init__(self, levels: list[list[Level]]):
+        self.levels = levels
+        self.forget()
+
+    def forget(self) -> None:
+        self.grams = np.zeros(0, np.uint32)
+        self.bits = np.zeros((0, len(self.levels)), np.float32)
+
+    def priced(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each of some sorted distinct 4-byte runs, per language."""
+        at, known = found(self.grams, grams)
+        out = np.empty((grams.size, len(self.levels)), np.float32)
+        out[known] = self.bits[at[known]]
+        new = grams[~known]
+        if new.size:
+            bits = np.column_stack([price(new, own) for own in self.levels])
+            out[~known] = bits
+            if self.grams.size + new.size > PRICED:
+                self.forget()
+            if new.size <= PRICED:
+                place = np.searchsorted(self.grams, new)
+                self.grams = np.insert(self.grams, place, new)
+                self.bits = np.insert(self.bits, place, bits, axis=0)
+        return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -101,128 +142,114 @@ def gram_counts(texts: DataFrame, lang: str = "lang", text: str = "text") -> Dat
     return per_task.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(texts: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Counts:
-    """Counts over all of ``texts`` (lang, text), for the commonest contexts of each order.
+def train(texts: DataFrame) -> Counts:
+    """Counts over all of ``texts`` (lang, text), of every context.
 
-    What reaches the driver is bounded by ``max_contexts`` contexts of at most 256
-    bytes for each order and language, whatever the size of the corpus.
+    The distinct 4-byte runs of each language reach the driver and the tasks, 12
+    bytes each: they grow with the variety of the texts, not with their amount.
     """
     grams = kept(gram_counts(texts), "grams")
     languages = sorted(r[0] for r in grams.select("lang").distinct().collect())
-    number = F.array_position(F.array(*[F.lit(x) for x in languages]).cast("array<string>"),
-                              F.col("lang")) - 1
-    grams = grams.select(number.cast("int").alias("lang"), "gram", "n")
-    levels = []
+    own, n = [], []
+    for lang in languages:
+        rows = grams.where(F.col("lang") == lang).select("gram", "n").toArrow()
+        codes = rows["gram"].to_numpy().astype(np.uint32)
+        order = np.argsort(codes)
+        own.append(codes[order])
+        n.append(rows["n"].to_numpy()[order])
+    return Counts(languages, own, n)
+
+
+def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``asked`` in the sorted ``keys``, and whether they are there."""
+    if not keys.size:
+        return np.zeros(asked.size, np.int64), np.zeros(asked.size, bool)
+    at = np.minimum(np.searchsorted(keys, asked), keys.size - 1)
+    return at, keys[at] == asked
+
+
+def sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of the sorted ``keys`` with the sums of ``values``."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(values, first)
+
+
+def levels_of(grams: np.ndarray, n: np.ndarray) -> list[Level]:
+    """All levels of a language from its 4-byte runs.
+
+    A byte that followed a context followed the shorter ones, too, at least as often.
+    """
+    out: list[Level] = []
     for order in range(ORDER + 1):
-        level = grams.groupBy(
-            "lang", F.col("gram").bitwiseAND(F.lit(256 ** (order + 1) - 1)).alias("code")
-        ).agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("code", 8))
-        if order >= 2:
-            common = level.groupBy("context").agg(F.sum("n").alias("total")).orderBy(
-                F.desc("total"), "context").limit(max_contexts).select("context")
-            level = level.join(common, "context", "left_semi")
-        found = level.select("lang", "code", "n").toArrow()
-        levels.append((found["code"].to_numpy(), found["lang"].to_numpy().astype(np.int64),
-                       found["n"].to_numpy().astype(np.float64)))
-    return Counts(languages, levels)
+        codes, counts = grams, n
+        if order < ORDER:
+            codes = grams & np.uint32(256 ** (order + 1) - 1)
+            by_code = np.argsort(codes, kind="stable")
+            codes, counts = sums(codes[by_code], n[by_code])
+        context = codes >> np.uint32(8)
+        contexts, total = sums(context, counts)
+        distinct = sums(context, np.ones(codes.size, np.int64))[1]
+        rest_total, rest_distinct = np.zeros_like(total), np.zeros_like(distinct)
+        if order:
+            up = out[-1]
+            at = np.searchsorted(up.codes, codes & np.uint32(256 ** order - 1))
+            shorter = np.searchsorted(up.contexts, contexts & np.uint32(256 ** (order - 1) - 1))
+            rest_total = up.total[shorter] - sums(context, up.n[at])[1]
+            rest_distinct = up.distinct[shorter] - distinct
+        out.append(Level(codes, counts, contexts, total, distinct, rest_total, rest_distinct))
+    return out
 
 
 def build_tables(counts: Counts) -> Tables:
-    """All code lengths, context by context, from the shortest contexts up."""
-    n_lang = len(counts.languages)
-    seen = np.unique(np.concatenate([[0], counts.levels[0][0]]))
-    symbol = np.full(256, seen.size, np.int64)  # the last symbol: any byte never seen
-    symbol[seen] = np.arange(seen.size)
-    size = seen.size + 1
-    weight = np.ones(size)
-    weight[-1] = max(1, 256 - seen.size)  # so many bytes share the last symbol
-
-    def narrow(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        context = np.zeros(codes.size, np.int64)
-        for back in range(order, 0, -1):
-            context = context * size + symbol[(codes >> (8 * back)) & 255]
-        return context, symbol[codes & 255]
-
-    # Of the contexts of one order: p, their distribution when asked first; q, the
-    # next shorter one's when asked by an escape; c, their counts.
-    parent = (np.full((1, size, n_lang), 1 / 256, np.float32),) * 2 + (
-        np.zeros((1, size, n_lang), np.float32),)
-    names_parent = np.zeros(1, np.int64)
-    bits, node_of, first = [], np.zeros(1, np.int64), 0
-    for order, (codes, langs, n) in enumerate(counts.levels):
-        context, last = narrow(codes, order)
-        names = np.unique(context) if order else np.zeros(1, np.int64)
-        up = np.searchsorted(names_parent, names % size ** max(order - 1, 0))
-        up %= max(1, names_parent.size)
-        known = names_parent[up] == names % size ** max(order - 1, 0)
-        names, up = names[known], up[known]  # longer contexts need their suffix
-        by_context = np.argsort(context, kind="stable")
-        context, last, langs, n = (x[by_context] for x in (context, last, langs, n))
-        own = tuple(np.zeros((names.size, size, n_lang), np.float32) for _ in parent
-                    ) if order < ORDER else None
-        for a in range(0, names.size, CHUNK):  # bounds the scratch arrays
-            part = names[a:a + CHUNK]
-            lo, hi = np.searchsorted(context, [part[0], part[-1] + 1])
-            row = np.searchsorted(part, context[lo:hi])
-            fits = part[np.minimum(row, part.size - 1)] == context[lo:hi]
-            c = np.zeros((part.size, size, n_lang))
-            np.add.at(c, (row[fits], last[lo:hi][fits], langs[lo:hi][fits]), n[lo:hi][fits])
-            p, q = distributions(c, *(x[up[a:a + CHUNK]] for x in parent),
-                                 weight if order == 0 else None)
-            bits.append(-np.log2(np.maximum(p, 2.0**-60)).astype(np.float32))
-            if own:
-                for x, value in zip(own, (p, q, c)):
-                    x[a:a + CHUNK] = value
-        if order:
-            node_of = np.tile(node_of, size)
-            node_of[names] = first + np.arange(names.size)
-        first += names.size
-        parent, names_parent = own, names
-    return Tables(symbol, node_of.astype(np.int32), np.concatenate(bits).reshape(-1, n_lang))
+    return Tables([levels_of(g, n) for g, n in zip(counts.grams, counts.n)])
 
 
-def distributions(c: np.ndarray, p_up: np.ndarray, q_up: np.ndarray, c_up: np.ndarray,
-                  weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """p and q of contexts with counts ``c``, from those of the contexts one byte shorter.
+def price(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """Bits of the last byte of each 4-byte run in one language.
 
-    ``weight`` is given for the empty context: bytes that a symbol stands for.
+    From the shortest context up: p, the byte's probability when a context is asked
+    first; q, when it is asked by an escape of the next longer one.
     """
-    own = c > 0
-    total, distinct = c.sum(1, keepdims=True), own.sum(1, keepdims=True)
-    if weight is not None:
-        unseen = (~own * weight[None, :, None]).sum(1, keepdims=True)
-        q = np.where(own, 0, 1 / np.maximum(unseen, 1))
-    else:
-        rest = (c_up > 0) & ~own
-        cp = c_up * ~own
-        tp, dp = cp.sum(1, keepdims=True), rest.sum(1, keepdims=True)
-        base = np.maximum(tp + dp, 1)
-        q = np.where(rest, cp / base, np.where(tp + dp > 0, dp / base, 1) * q_up)
-    base = np.maximum(total + distinct, 1)
-    p = np.where(own, c / base, distinct / base * q)
-    return np.where(total > 0, p, p_up), np.where(total > 0, q, q_up)
+    p = q = above = np.zeros(grams.size)
+    for order, level in enumerate(levels):
+        code = grams & np.uint32(256 ** (order + 1) - 1)
+        at, own = found(level.codes, code)
+        n = np.where(own, level.n[at], 0)
+        at, known = found(level.contexts, code >> np.uint32(8))
+        total, distinct = level.total[at], level.distinct[at]
+        if order:
+            rest, kinds = level.rest_total[at], level.rest_distinct[at]
+            base = np.maximum(rest + kinds, 1)
+            escaped = np.where((above > 0) & ~own, above / base,
+                               np.where(rest + kinds > 0, kinds / base, 1) * q)
+        else:
+            escaped = 1 / np.maximum(256 - distinct, 1)
+        base = total + distinct
+        p = np.where(known, np.where(own, n / base, distinct / base * escaped), p)
+        q = np.where(known, escaped, q)
+        above = n
+    return -np.log2(np.maximum(p, 2.0**-60))
 
 
 def code_lengths(texts: list[bytes], tables: Tables) -> np.ndarray:
     """Bits of each text in each language."""
-    size = int(tables.symbol.max()) + 1
-    out = np.zeros((len(texts), tables.bits.shape[1]))
+    out = np.zeros((len(texts), len(tables.levels)))
     pad = b"\0" * ORDER
 
     def add(owners: list[int], pieces: list[bytes]) -> None:
-        s = tables.symbol[np.frombuffer(b"".join(pieces), np.uint8)]
-        context = (s[:-3] * size + s[1:-2]) * size + s[2:-1]
-        row = tables.node[context].astype(np.int64) * size + s[3:]
+        s = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint32)
+        codes = (s[:-3] << 24) | (s[1:-2] << 16) | (s[2:-1] << 8) | s[3:]
+        grams, row = np.unique(codes, return_inverse=True)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         starts = np.cumsum(sizes) - sizes
-        costs = tables.bits[row]
+        costs = tables.priced(grams)[row]
         edges = np.column_stack([starts, starts + sizes - ORDER]).ravel()
         edges[-1] = min(edges[-1], len(row))
         # Even slices are texts; odd ones run over the pad of the next text.
         if edges[-1] == len(row):
             edges = edges[:-1]
-        sums = np.add.reduceat(costs, edges, axis=0, dtype=np.float64)[::2]
-        np.add.at(out, owners, sums)
+        bits = np.add.reduceat(costs, edges, axis=0, dtype=np.float64)[::2]
+        np.add.at(out, owners, bits)
 
     owners, pieces, held = [], [], 0
     for i, text in enumerate(texts):
@@ -275,7 +302,7 @@ def predictor(docs: DataFrame, counts: Counts):
     return lambda text: guess(text.cast("binary"))
 
 
-def predicted_documents(docs: DataFrame, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def predicted_documents(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text, lang) → doc_id, held_out, lang_pred, score, bits_per_byte.
 
     Trained on the texts with a language that ``held_out`` does not keep back;
@@ -284,7 +311,7 @@ def predicted_documents(docs: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Da
     nothing was learned, are ``und`` with score 0 and no rate. Repeated rows count
     each; equal code lengths go to the name that sorts first.
     """
-    counts = train(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"), max_contexts)
+    counts = train(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
     guess = predictor(docs, counts)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
                        guess(F.col("text")).alias("g")).select("doc_id", "held_out", "g.*")

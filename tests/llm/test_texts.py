@@ -186,6 +186,30 @@ def test_code_lengths_equal_plain_ppm(make, monkeypatch):
     assert np.allclose(language.code_lengths(texts, tables), want, rtol=1e-5)
 
 
+def test_every_context_is_kept(make):
+    rng = random.Random(8)
+    big = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=30000))
+    small = "".join(rng.choices("stuvwxyz", k=600))
+    df = make([(2, big), (1, small)])
+    counts = language.train(df.select("lang", "text"))
+    contexts = {t[i:i + 3] for t in (big, small) for i in range(len(t) - 3)}
+    assert len(contexts) > 12000
+    texts = [big[500:560].encode(), small[-60:].encode(), b"stuv 07"]
+    want = [[brute_bits([x.encode()], text) for x in (big, small)] for text in texts]
+    assert np.allclose(language.code_lengths(texts, language.build_tables(counts)), want, rtol=1e-5)
+
+
+def test_forgotten_prices_are_found_again(make, monkeypatch):
+    df = make([(1, "tul rem sok van"), (2, "kan lor mist. kan")])
+    tables = language.build_tables(language.train(df.select("lang", "text")))
+    texts = [b"kan tul", b"rem mist sok", b"kan tul"]
+    want = language.code_lengths(texts, tables)
+    monkeypatch.setattr(language, "PRICED", 5)
+    tables.forget()
+    assert (language.code_lengths(texts, tables) == want).all()
+    assert (np.concatenate([language.code_lengths([t], tables) for t in texts]) == want).all()
+
+
 def test_languages_are_told_apart(make):
     rows = [(2 * i, " ".join(w + "ing" for w in prose(i, 30))) for i in range(40)]
     rows += [(2 * i + 1, " ".join("sch" + w for w in prose(90 + i, 30))) for i in range(40)]
