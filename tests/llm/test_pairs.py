@@ -178,6 +178,16 @@ def test_markup_decides_inside_articles():
     assert html_text.main_texts([PAGE.format(body=body)]) == ["Title & more\nFirst part here.\nSecond line <x>\none\ntwo"]
 
 
+@pytest.mark.parametrize("attributes,kept", [
+    ('style="overflow-x:hidden"', True), ('aria-hidden="false"', True), ('data-role="navigation"', True),
+    ("title='the hidden role'", True), ('data-id="nav" data-class="ad"', True), ("title='a' role=main", True),
+    ("hidden", False), ('aria-hidden="true"', False), ("ID = x ROLE=navigation", False), ('class="ad"', False),
+])
+def test_attributes_are_compared_by_whole_names(attributes, kept):
+    page = f"<body><div {attributes}><p>kan lor mist</p></div></body>"
+    assert html_text.main_texts([page]) == ["kan lor mist" if kept else ""]
+
+
 def test_repeats_decide_where_markup_does_not():
     pages = [f"<body><div>Welcome to our site dear reader of all things</div><div><p>{' '.join(prose(i, 40))}</p></div>"
              f"<div>Read all the rules before you write to us</div></body>" for i in range(6)]
