@@ -223,6 +223,28 @@ def test_pages_of_all_kinds(spark, make):
     assert html_text.extracted_pages(df.limit(0)).count() == 0
 
 
+def test_the_size_of_a_host_changes_no_text(spark, make):
+    make([])
+    notice = "This part of the site is closed until further notice by us"
+    plain = "<body>{}<div><p>{}</p></div></body>"
+    rows = []
+    for i in range(60):
+        own = " ".join(prose(i, 30))
+        first = f"<div>{notice}</div>" if i in (7, 28, 51) else f"<div>Seen on {i % 30} of two pages {' '.join(prose(900 + i % 30, 9))}</div>"
+        if i in (3, 4):  # with markup, repeats of a menu on a page without
+            rows.append((i, "https://h.example/a", f"<body><div>menu of all our old things and places</div><article>{own} x</article>"
+                         f"<p>{i}</p></body>"))
+        else:
+            rows.append((i, "https://h.example/a", plain.format(first, own)))
+    rows.append((90, "https://h.example/a", plain.format("<div>menu of all our old things and places</div>", "kan lor")))
+    rows += [(100 + i, "https://small.example/", plain.format(f"<div>{notice}</div>", " ".join(prose(i, 20)))) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = [{r.page_id: r.text for r in html_text.extracted_pages(df, group_pages=g).collect()} for g in (5, 1000)]
+    assert texts[0] == texts[1] and len(texts[0]) == len(rows)
+    assert not any(notice in t for t in texts[0].values()) and "two pages" in texts[0][40]
+    assert texts[0][90] == "kan lor"
+
+
 def test_shingle_sets_match_the_words():
     h = hash_words([b"a b c d e a b c d"], fold=True).of(0)
     assert shingles(h, 4).size == 5
