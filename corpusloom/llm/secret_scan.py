@@ -2,8 +2,9 @@
 
 Base kinds are matched by pattern alone. A base64 or hexadecimal run is reported
 only if its decoded bytes parse as a private key (nested DER lengths, or the
-length-prefixed fields of an OpenSSH key), and a dotted token only if its header
-and claims are JSON objects and the header names a signature algorithm.
+length-prefixed fields of an OpenSSH key) or hold one in PEM, and a dotted token only
+if its header and claims are JSON objects and the header names a signature algorithm.
+Runs may be wrapped over lines; line ends may be written as escapes.
 """
 
 from __future__ import annotations
@@ -27,9 +28,18 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # All runs of 32 or more: a run is maximal, so shorter ones need not be matched.
 HEX = re.compile(r"[0-9a-f]{32,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[^-]|-(?!----))*+)-----END \1-----")
+ESCAPED_END = re.compile(r"\\+[rn]")
+HEADER = re.compile(r"\s*([A-Za-z][A-Za-z0-9-]*):(.*)")
 ENCODED = re.compile(r"[A-Za-z0-9+/_.-]{24,}={0,2}")
-HEX_RUN = re.compile(r"[0-9a-fA-F]+")
+HEX_RUN = re.compile(r"(?:0[xX])?([0-9a-fA-F]+)")
+TOKENS = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
+# Base64 lines that follow each other; only the last may be short or padded.
+LINE_END = r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*"
+WRAPPED = re.compile(
+    rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{24,}}+(?:{LINE_END}[A-Za-z0-9+/_-]{{24,}}+)*+"
+    rf"(?:{LINE_END}[A-Za-z0-9+/_-]++)?+={{0,2}}")
+LINE = re.compile(r"(?<![A-Za-z0-9+/_\\-])[A-Za-z0-9+/_-]++={0,2}|(?<=\\[rn])[A-Za-z0-9+/_-]++={0,2}")
 MASK = "[SECRET]"
 
 Span = tuple[int, int, str]
@@ -126,12 +136,82 @@ def is_openssh_private(data: bytes) -> bool:
         field() is not None and at == len(data))
 
 
+def pem_spans(text: str) -> Iterator[tuple[int, int]]:
+    """PEM blocks whose body is a private key, or is encrypted as the block's headers say."""
+    for m in PEM.finditer(text) if "PRIVATE KEY-----" in text else ():
+        headers, body = {}, []
+        for line in ESCAPED_END.sub("\n", m[2]).replace("\\/", "/").splitlines():
+            header = HEADER.match(line)
+            if header:
+                headers[header[1].lower()] = header[2]
+            else:
+                body += line.split()
+        data = decoded("".join(body))
+        encrypted = "ENCRYPTED" in headers.get("proc-type", "") and "dek-info" in headers
+        if key_kind(data) or (encrypted and data and len(data) >= 32 and len(data) % 8 == 0):
+            yield m.span()
+
+
 def key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
     return "ssh" if is_openssh_private(data) else "der" if is_private_der(data) else None
 
 
+def content_kind(data: bytes | None) -> str | None:
+    """The kind of a key, or ``pem`` for bytes that hold one in PEM."""
+    kind = key_kind(data)
+    if not kind and data and b"PRIVATE KEY-----" in data:
+        kind = "pem" if any(True for _ in pem_spans(data.decode("latin-1"))) else None
+    return kind
+
+
+def run_kind(run: str) -> str | None:
+    digits = HEX_RUN.fullmatch(run)
+    if digits and len(digits[1]) % 2 == 0:
+        kind = content_kind(bytes.fromhex(digits[1]))
+        if kind:
+            return kind
+    return content_kind(decoded(run))
+
+
+def der_size(start: bytes) -> int | None:
+    """Size of the DER sequence that begins with ``start``, header included."""
+    if len(start) < 6 or start[0] != 0x30:
+        return None
+    octets = start[1] & 0x7F
+    if start[1] < 0x80:
+        return 2 + octets
+    return 2 + octets + int.from_bytes(start[2:2 + octets], "big") if 1 <= octets <= 4 else None
+
+
+def wrapped_spans(text: str) -> Iterator[Span]:
+    """Keys in base64 that is wrapped over lines without armour."""
+    for m in WRAPPED.finditer(text):
+        lines = [line.span() for line in LINE.finditer(text, *m.span())]
+        i = 0
+        while i < len(lines) - 1:
+            start = decoded(text[lines[i][0]:lines[i][0] + 20]) or b""
+            size = der_size(start)
+            ends, kind = [], None
+            if size:  # its size says where it ends
+                ends, have = [], 0
+                for k in range(i, len(lines)):
+                    have += len(text[lines[k][0]:lines[k][1]].rstrip("="))
+                    if have >= -(-size * 4 // 3):
+                        ends = [k] if have == -(-size * 4 // 3) else []
+                        break
+            elif start.startswith((b"openssh-key-v", b"-----BEGIN ", b"{")):
+                ends = [len(lines) - 1, len(lines) - 2]  # the last may be a word of the text
+            for k in ends:
+                kind = content_kind(decoded("".join(text[a:b] for a, b in lines[i:k + 1])))
+                if kind and k > i:
+                    yield (lines[i][0], lines[k][1], kind)
+                    i = k
+                    break
+            i += 1
+
+
 def is_signed_token(run: str) -> bool:
     parts = run.split(".")
     if len(parts) != 3 or not all(parts):
@@ -145,27 +225,48 @@ def is_signed_token(run: str) -> bool:
             and bool(decoded(parts[2])))
 
 
+def token_spans(run: str) -> Iterator[tuple[int, int]]:
+    """Signed tokens in a run: all of it, or three parts that follow each other inside it."""
+    if run.count(".") == 2 and is_signed_token(run):
+        yield (0, len(run))
+        return
+    for m in TOKENS.finditer(run):
+        parts = list(re.finditer(r"[^.]+", m[0]))
+        i = 0
+        while i + 2 < len(parts):
+            start, end = parts[i].start(), parts[i + 2].end()
+            if is_signed_token(m[0][start:end]):
+                yield (m.start() + start, m.start() + end)
+                i += 2
+            i += 1
+
+
 def structural_spans(text: str) -> Iterator[Span]:
     blocks = []
-    for m in PEM.finditer(text) if "PRIVATE KEY-----" in text else ():
-        if key_kind(decoded("".join(m[2].split()))):
-            blocks.append(m.span())
-            yield (*m.span(), "pem")
+    for span in pem_spans(text):
+        blocks.append(span)
+        yield (*span, "pem")
+    for start, end, kind in list(wrapped_spans(text)):
+        if not any(a < end and start < b for a, b in blocks):
+            blocks.append((start, end))
+            yield (start, end, kind)
     for m in ENCODED.finditer(text):
         start, end = m.span()
         if any(a <= start and end <= b for a, b in blocks):
             continue
-        if m[0].count(".") == 2 and is_signed_token(m[0]):
-            yield (start, end, "jwt")
-            continue
+        tokens = list(token_spans(m[0]))
+        for a, b in tokens:
+            yield (start + a, start + b, "jwt")
         for part in re.finditer(r"[^.]{24,}", m[0]):
+            if any(a < part.end() and part.start() < b for a, b in tokens):
+                continue
             run = part[0]
-            if HEX_RUN.fullmatch(run) and len(run) % 2 == 0:
-                kind = key_kind(bytes.fromhex(run))
-            else:
-                kind = key_kind(decoded(run))
+            first, kind = part.start(), run_kind(run)
+            if not kind and (run[0] == "/" or run[-1] == "/"):
+                first, run = first + len(run) - len(run.lstrip("/")), run.strip("/")
+                kind = run_kind(run)
             if kind:
-                yield (start + part.start(), start + part.end(), kind)
+                yield (start + first, start + first + len(run), kind)
 
 
 def find(text: str | None) -> list[Span]:

@@ -133,6 +133,43 @@ def test_pem_block_is_one_span_and_keys_parse():
     assert secret_scan.masked("x password: abcdefghij y") == "x [SECRET] y"
 
 
+def armoured(data, end="\n", headers=""):
+    lines = [b64(data)[i:i + 64] for i in range(0, len(b64(data)), 64)]
+    name = "RSA PRIVATE KEY"
+    return end.join([f"-----BEGIN {name}-----", *([headers, ""] if headers else []), *lines, f"-----END {name}-----"])
+
+
+def wrapped(data, end="\n", width=64):
+    return end.join(b64(data)[i:i + width] for i in range(0, len(b64(data)), width))
+
+
+DEK = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF"
+
+
+@pytest.mark.parametrize("secret,kind", [
+    (TOKEN, "jwt"), (armoured(bytes(range(64)), headers=DEK), "pem"), (armoured(RSA, "\\n"), "pem"),
+    (wrapped(RSA), "der"), (wrapped(PKCS8, "\r\n  ", 76), "der"), (wrapped(SSH), "ssh"), (wrapped(RSA, "\\n"), "der"),
+    (b64(armoured(RSA).encode()), "pem"), (wrapped(armoured(RSA).encode(), width=76), "pem"), ("0x" + RSA.hex(), "der"),
+])
+@pytest.mark.parametrize("before,after", [
+    ("see ", " end"), ("at ", "."), ("a word\n", "\nthen more words"), ("x.", "..."), ("the \n\n", "\n\nend"),
+    ("https://h.example/", "/x"),
+])
+def test_secrets_in_other_forms(secret, kind, before, after):
+    if before.startswith("http") and kind != "jwt":
+        return
+    found = [s for s in secret_scan.find(before + secret + after) if s[2] not in secret_scan.BASE_KINDS]
+    assert found == [(len(before), len(before + secret), kind)]
+
+
+@pytest.mark.parametrize("text", [
+    armoured(bytes(range(64))), armoured(b"no key" * 9, "\\n"), wrapped(bytes(range(200))), b64(armoured(b"x" * 90).encode()),
+    TOKEN.replace(".", "..."), "a.b.c.d." * 20, "0x" + "12" * 40, wrapped(RSA[:-3]),
+])
+def test_what_does_not_parse_is_no_secret(text):
+    assert not [s for s in secret_scan.find(text) if s[2] not in secret_scan.BASE_KINDS]
+
+
 def test_scan_of_odd_rows(make):
     rows = ODD + [(50, "token=abcdefgh12 and 0123456789abcdef0123456789abcdef")]
     got = {r.doc_id: r for r in secret_scan.scanned_documents(make(rows)).collect()}
