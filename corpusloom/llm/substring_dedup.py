@@ -29,11 +29,9 @@ LENGTH = 35
 GRAM = 10
 
 
-def text_tag(h: np.ndarray) -> int:
-    """Tells apart texts that share an id."""
-    with np.errstate(over="ignore"):
-        value = range_hashes(h, np.array([0]), np.array([h.size]))[0]
-    return int((value >> U(33)).astype(np.int64))
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, text: the tag tells apart texts that share an id, or have none."""
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
 
 
 def reaches(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,6 +56,7 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
         for batch in batches:
             texts, ids = column_bytes(batch, "text"), batch.column("doc_id").to_pylist()
+            tags = batch.column("tag").to_pylist()
             for part in groups_of(texts):
                 found = hash_words([texts[i] for i in part], lanes=2)
                 out = []
@@ -68,7 +67,7 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                     anchor, first, last = reaches(h, length, gram)
                     s1 = range_hashes(h, first, last + length)
                     s2 = range_hashes(h2, first, last + length, 1) >> U(33)
-                    out.append((ids[row], text_tag(h), anchor, s1, s2, first, last))
+                    out.append((ids[row], tags[row], anchor, s1, s2, first, last))
                 if not out:
                     continue
                 n = [len(x[2]) for x in out]
@@ -81,23 +80,25 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                      *(pa.array(c.astype(np.int32)) for c in join[2:])],
                     names=[f.split()[0] for f in ANCHORS.split(", ")])
 
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, ANCHORS)
+    return tagged(docs).where(F.col("text").isNotNull()).mapInArrow(run, ANCHORS)
 
 
-def _by_document(rows: DataFrame, name: str) -> DataFrame:
-    """One row a document, with its (tag, first, last) entries."""
-    return rows.groupBy("doc_id").agg(
-        F.collect_list(F.struct("tag", "first", "last")).alias(name))
+def _with_entries(docs: DataFrame, rows: DataFrame, name: str, how: str) -> DataFrame:
+    """``docs``, tagged, with the distinct (first, last) entries that ``rows`` has for each text."""
+    own = rows.groupBy(F.col("doc_id").alias("own_id"), F.col("tag").alias("own_tag")).agg(
+        F.collect_set(F.struct("first", "last")).alias(name))
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("tag") == F.col("own_tag"))
+    return tagged(docs).join(own, same, how).drop("own_id", "own_tag")
 
 
 def _entries(batch, name: str) -> list[np.ndarray]:
-    """A column of entry lists as integer arrays (n, 3)."""
+    """A column of entry lists as integer arrays (n, 2)."""
     column = batch.column(name)
     out = []
     for i in range(len(column)):
         values = column[i].values
-        out.append(np.zeros((0, 3), np.int64) if values is None else np.column_stack(
-            [np.asarray(values.field(c)).astype(np.int64) for c in range(3)]))
+        out.append(np.zeros((0, 2), np.int64) if values is None else np.column_stack(
+            [np.asarray(values.field(c)).astype(np.int64) for c in range(2)]))
     return out
 
 
@@ -105,33 +106,28 @@ WINDOWS = "w1 long, w2 long, doc_id long, tag long, first int"
 
 
 def window_rows(docs: DataFrame, asked: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Hashes of the windows that ``asked`` (doc_id, entries) names, 128 bits each."""
+    """Hashes of the windows that ``asked`` (doc_id, tag, first, last) names, 128 bits each."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             texts, ids = column_bytes(batch, "text"), batch.column("doc_id").to_pylist()
-            entries = _entries(batch, "entries")
+            tags, entries = batch.column("tag").to_pylist(), _entries(batch, "entries")
             for part in groups_of(texts):
                 found = hash_words([texts[i] for i in part], lanes=2)
                 for i, row in enumerate(part):
-                    h = found.of(i)
                     own = entries[row]
-                    tag = text_tag(h) if h.size >= length else -1
-                    own = own[own[:, 0] == tag]
-                    if not len(own):
-                        continue
-                    n = own[:, 2] - own[:, 1] + 1
-                    at = np.repeat(own[:, 1] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                    n = own[:, 1] - own[:, 0] + 1
+                    at = np.repeat(own[:, 0] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                     w = [range_hashes(found.of(i, lane), at, at + length, lane).view(np.int64)
                          for lane in range(2)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(w[0]), pa.array(w[1]), pa.array([ids[row]] * at.size, pa.int64()),
-                         pa.array([tag] * at.size, pa.int64()), pa.array(at.astype(np.int32))],
+                         pa.array([tags[row]] * at.size, pa.int64()), pa.array(at.astype(np.int32))],
                         names=[f.split()[0] for f in WINDOWS.split(", ")])
 
-    return docs.select("doc_id", "text").join(asked, "doc_id").mapInArrow(run, WINDOWS)
+    return _with_entries(docs, asked, "entries", "inner").mapInArrow(run, WINDOWS)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -155,7 +151,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     asked = shared.join(mixed, "anchor", "left_semi").withColumn(
         "part", F.col("anchor").bitwiseXOR(F.col("s1"))).groupBy("part", "s1", "s2").agg(
         F.min(F.struct("doc_id", "tag", "first", "last")).alias("one")).select("one.*")
-    seen = kept(window_rows(docs, _by_document(asked, "entries"), length), "windows")
+    seen = kept(window_rows(docs, asked, length), "windows")
     twice = kept(seen.groupBy("w1", "w2").agg(
         F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "repeated-windows")
     single = seen.join(twice, ["w1", "w2"], "left_semi").select(
@@ -174,10 +170,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     joins all other words by one space. Null and empty texts have no words. A
     document with fewer words than a window is left alone. A repeated row is
     another document, so both lose every window. Rows without an id are cleaned
-    like others of one id.
+    like others.
     """
-    covers = _by_document(repeats(docs, length, gram), "covers")
-
     def run(batches) -> Iterator:
         import pyarrow as pa
 
@@ -189,12 +183,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 words = (text or b"").split()
                 spans: list[dict] = []
                 keep = words
-                if len(own):
-                    own = own[own[:, 0] == text_tag(hash_words([text]).of(0))]
                 if len(own):
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, own[:, 1], 1)
-                    np.add.at(edge, own[:, 2] + length, -1)
+                    np.add.at(edge, own[:, 0], 1)
+                    np.add.at(edge, own[:, 1] + length, -1)
                     covered = np.cumsum(edge[:-1]) > 0
                     keep = [words[i] for i in np.flatnonzero(~covered)]
                     turn = np.flatnonzero(np.diff(np.r_[0, covered.astype(np.int8), 0]))
@@ -207,7 +199,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                     names=["doc_id", "n_words", "n_removed", "kept_text", "repeats"])
 
-    wide = docs.select("doc_id", "text").join(
-        covers.withColumnRenamed("doc_id", "cover_id"),
-        F.col("doc_id").eqNullSafe(F.col("cover_id")), "left").drop("cover_id")
+    wide = _with_entries(docs, repeats(docs, length, gram), "covers", "left").drop("tag")
     return wide.mapInArrow(run, CLEANED)

@@ -112,6 +112,17 @@ def test_repeats_equal_brute_force(make, corpus, extra):
         assert all(s.end - s.start >= 35 for s in r.repeats)
 
 
+def test_rows_without_an_id_lose_parts_of_an_extension(make):
+    base = prose(31, 90)
+    rows = [(None, " ".join(prose(100, 20) + base[:60])), (None, " ".join(base[20:80] + prose(101, 9))),
+            (7, " ".join(prose(102, 5) + base[30:90])), (None, " ".join(prose(103, 50))),
+            (None, " ".join(prose(104, 70) + base[:36])), (None, "kan lor"), (None, " ".join(prose(105, 40))),
+            (None, " ".join(prose(105, 40)))]
+    got = substring_dedup.without_repeats(make(rows)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == brute_repeats(rows)
+    assert sum(r.n_removed > 0 for r in got) == 6
+
+
 def test_repeats_of_an_empty_table(make):
     assert substring_dedup.without_repeats(make([])).count() == 0
 
