@@ -6,7 +6,8 @@ document is searched for each partition in windows of twice the partition's uppe
 size, which overlap by half. Inside such a window an item that is contained has a
 Jaccard similarity of at least 0.19, whatever the length of the document. Window
 and item are sketched by the minimum of each of ``BINS`` bins of one hash; a pair
-that agrees in any coordinate is a candidate. Then the share of the item's distinct
+that agrees in any coordinate is a candidate. Items of few shingles are also looked up
+by so many of their shingles that no document with enough of them has none. Then the share of the item's distinct
 shingles that the whole document has is computed exactly.
 """
 
@@ -34,6 +35,8 @@ SHINGLE = 5
 PERCENT = 80
 BINS = 96
 SMALLEST = 8
+# Items of so many shingles or fewer are found by their shingles, too.
+FEW = 16
 # Bits of the filter that tasks get: 8 MB whatever the number of items.
 FILTER_BITS = 26
 _NONE = U(2**64 - 1)
@@ -107,9 +110,17 @@ def sketched_items(benchmark: DataFrame, words: int = SHINGLE) -> DataFrame:
         F.first("keys").alias("keys"))
 
 
-def filter_of(items: DataFrame) -> np.ndarray:
-    """A bitmap of all item shingles and coordinate keys, of fixed size."""
-    value = F.explode(F.concat("shingles", "keys")).alias("v")
+def with_direct_keys(items: DataFrame, percent: int) -> DataFrame:
+    """``direct``: shingles of a small item of which every document that contains it has one."""
+    enough = F.floor((F.col("n") * percent + 99) / 100).cast("int")
+    return items.withColumn("direct", F.when(
+        F.col("n") <= FEW, F.slice("shingles", 1, F.col("n") - enough + 1)).otherwise(
+        F.array().cast("array<long>")))
+
+
+def filter_of(items: DataFrame, *columns: str) -> np.ndarray:
+    """A bitmap of all values of some array columns, of fixed size."""
+    value = F.explode(F.concat(*columns)).alias("v")
     bit = F.shiftrightunsigned("v", 64 - FILTER_BITS)
     words = items.select(value).select(
         F.shiftright(bit, 6).alias("word"),
@@ -123,10 +134,12 @@ def filter_of(items: DataFrame) -> np.ndarray:
 FOUND = "doc_id long, keys array<long>, hits array<long>"
 
 
-def searched_documents(docs: DataFrame, bitmap: np.ndarray, uppers: list[int],
+def searched_documents(docs: DataFrame, bitmap: np.ndarray, direct: np.ndarray, uppers: list[int],
                        words: int = SHINGLE) -> DataFrame:
-    """Documents with a coordinate in the filter: those keys, and all shingles in the filter."""
+    """Documents with a coordinate in the filter, or a shingle in the filter of direct keys:
+    those keys, and all shingles in the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    few = docs.sparkSession.sparkContext.broadcast(direct)
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -143,6 +156,7 @@ def searched_documents(docs: DataFrame, bitmap: np.ndarray, uppers: list[int],
                         continue
                     keys = np.unique(np.concatenate([window_keys(s, u).ravel() for u in uppers]))
                     keys = keys[in_filter(shared.value, keys) & (keys != _NONE)]
+                    keys = np.union1d(keys, s[in_filter(few.value, s)])
                     if keys.size:
                         out.append((ids[row], keys.view(np.int64),
                                     np.unique(s[inside]).view(np.int64)))
@@ -168,13 +182,14 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, words: int = SHINGLE,
     contain nothing. Rows that repeat a doc_id count as one document, with the best
     of them; a null doc_id is one id. An empty table gives no pairs.
     """
-    items = kept(sketched_items(benchmark, words), "items")
+    items = kept(with_direct_keys(sketched_items(benchmark, words), percent), "items")
     # At most one partition for each power of two.
     uppers = sorted(r[0] for r in items.select("upper").distinct().collect())
     if not uppers:
         return docs.sparkSession.createDataFrame([], LEAKS)
-    found = kept(searched_documents(docs, filter_of(items), uppers, words), "searched")
-    by_key = items.select("item_id", F.explode("keys").alias("key"))
+    found = kept(searched_documents(docs, filter_of(items, "shingles", "keys"), filter_of(items, "direct"),
+                                    uppers, words), "searched")
+    by_key = items.select("item_id", F.explode(F.concat("keys", "direct")).alias("key"))
     candidates = found.select("doc_id", F.explode("keys").alias("key")).join(by_key, "key").select(
         F.col("doc_id").alias("d"), "item_id").distinct()
     verified = candidates.join(found.select("doc_id", "hits"), F.col("d").eqNullSafe(F.col("doc_id"))).join(

@@ -167,6 +167,18 @@ def test_containment_equals_brute_force(make, spark):
     assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_items_of_few_shingles_are_always_found(make, spark):
+    items = [(1, "kan lor mist tul rem"), (2, "sok van bel dor fin gal"), (3, " ".join(prose(800, 20)))]
+    rows = []
+    for i in range(900):
+        own = [f"{w}{i}" for w in prose(i, 40)]
+        text = items[i % 3][1].split()
+        rows.append((i, " ".join(own[:20] + (text[:-3] if i % 3 == 2 else text) + own[20:])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contained_items(make(rows), bench).collect()}
+    assert got == {(i, i % 3 + 1) for i in range(900)}
+
+
 def test_containment_of_odd_and_empty_tables(make, spark):
     bench = spark.createDataFrame([(1, "same text twice over and over again")], "item_id long, text string")
     got = decontamination.contained_items(make(ODD), bench).collect()
