@@ -38,11 +38,12 @@ BLANK, END = b" ", b"\n"
 # Lower-cases A-Z; every separator becomes a blank.
 NORMAL = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 # Counts that each bit has before any is seen; logits come in steps of 1 / LOGIT.
-PRIOR, LOGIT = 0.4, 16
-RATE, MAP_RATE, MAP_CELLS, MAP_EDGE = 0.02, 0.02, 33, 12.0
+PRIOR, LOGIT = 0.1, 16
+RATE, MAP_RATE, MAP_CELLS, MAP_EDGE = 0.0005, 0.02, 33, 12.0
 INPUTS = ORDER + 1
 # What the rows of the count tables and requests are about.
 WORD, CONTEXT = 0, 1
+UNKNOWN = -128
 
 
 def first_weights() -> np.ndarray:
@@ -50,7 +51,7 @@ def first_weights() -> np.ndarray:
     out = np.zeros((ORDER + 1, INPUTS), np.float32)
     for gate in range(1, ORDER + 1):
         for k in range(1, gate + 1):
-            out[gate, k - 1] = (0.7, 0.25, 0.05)[min(gate - k, 2)]
+            out[gate, k - 1] = (0.8, 0.3, 0.05)[min(gate - k, 2)]
     return out
 
 
@@ -219,9 +220,6 @@ def order_logits(pairs: np.ndarray, order: int, table: dict, code: Code) -> np.n
     return out
 
 
-UNKNOWN = -128
-
-
 def inputs_of(codes: np.ndarray, table: dict, code: Code) -> tuple[np.ndarray, np.ndarray]:
     """Eight small numbers of each bit of distinct ``codes``: all orders' logits, the constant
     input, the gate, the bit. They come as one 64-bit number each, with the first of each code.
@@ -314,16 +312,17 @@ def grouped(docs: DataFrame, group_bytes: int) -> DataFrame:
 
     def run(batches) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         # At most 2**40 groups in a task.
         group, size = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            sizes = np.asarray(batch.column("text").cast(pa.large_binary()).fill_null(b"").buffers()[1])
-            ends = np.frombuffer(sizes, np.int64)[batch.column("text").offset:][:batch.num_rows + 1]
-            own = size + ends[1:] - ends[0]
+            if not batch.num_rows:
+                continue
+            own = size + np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64))
             number = group + np.r_[size, own[:-1]] // group_bytes
-            size = int(own[-1]) if own.size else size
+            size = int(own[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], names=[*batch.schema.names, "grp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"),

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
+    context_mixing,
     decontamination,
     fingerprints,
+    hard_negatives,
     html_text,
     language,
     neardup,
     packing,
+    periodic,
     secret_scan,
     shards,
     substring_dedup,
@@ -96,3 +99,48 @@ def op10_anchored_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring_dedup.without_repeats(documents(spark, sf_dir))
     return cleaned.select("doc_id", "n_words", "n_removed",
                           F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+@query
+def op11_context_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored_documents(documents(spark, sf_dir))
+
+
+@query
+def op12_residue_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    shifted = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(
+        spark.read.parquet(f"{sf_dir}/embeddings.parquet"), anchor=vec_id % 100 == 0, label=shifted)
+
+
+ORACLES["op12_residue_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), n AS (
+  SELECT anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+              AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    planted = docs.withColumn("text", periodic.with_planted_periods(F.col("doc_id"), F.col("text")))
+    return periodic.summary(periodic.periodic_runs(planted))
