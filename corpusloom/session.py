@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the jobs rely on: runtime re-planning, skewed-partition splitting, and
 # broadcasts that happen only when a side's size has been measured.
@@ -50,3 +50,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="spark-corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/corpusloom/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str, *, partition_by: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read again: a point that retries start from."""
+    path = shared_folder(df.sparkSession, purpose)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

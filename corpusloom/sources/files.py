@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +67,51 @@ def read_files(spark: SparkSession, paths: list[str] | str,
     return files.select(local_path(F.col("path")).alias("path"), "content")
 
 
+def open_path(path: str) -> bytes:
+    """The bytes of one file: a local path, or a URI of a store that Arrow knows."""
+    from pyarrow import fs
+
+    store, inner = (fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path))
+    with store.open_input_stream(inner, compression=None) as stream:
+        return stream.read()
+
+
+# Bytes that a task holds before it hands rows on; a larger file goes alone.
+BATCH_BYTES = 8 << 20
+
+
+def open_files(paths: DataFrame, opener: Callable[[str], bytes] = open_path) -> DataFrame:
+    """``path, content, open_error``: exactly these files, each opened once, by the tasks.
+
+    Where the list of paths lies decides how many tasks open files. A file that
+    cannot be read has no content but the reason.
+    """
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.string()))],
+                names=["path", "content", "open_error"])
+
+        held, size = [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    held.append((path, opener(path), None))
+                except OSError as why:
+                    held.append((path, None, f"cannot be read: {why.strerror or why}"))
+                size += len(held[-1][1] or b"")
+                if size >= BATCH_BYTES:
+                    yield batch_of(held)
+                    held, size = [], 0
+        if held:
+            yield batch_of(held)
+
+    return paths.select("path").mapInArrow(run, "path string, content binary, open_error string")
+
+
 def content_hash(content: Column) -> Column:
     """Lowercase hex SHA-256 of the source bytes."""
     return F.sha2(content, 256)
@@ -94,27 +139,35 @@ class Conversion(NamedTuple):
     rejects: DataFrame    # path, error
 
 
-def convert_files(files: DataFrame) -> Conversion:
-    """Convert ``path, content`` by extension.
+def judged_files(files: DataFrame) -> DataFrame:
+    """``path, source_hash, format, full_text, error`` in one pass over ``path, content``.
 
     Markdown must be UTF-8. Formats without a converter are rejected with the
-    reason, as are files that do not decode.
+    reason, as are files that do not decode, or could not be opened (``open_error``).
     """
     ext = extension(F.col("path"))
     is_md, is_txt = ext.isin(*MARKDOWN), ext.isin(*PLAIN_TEXT)
-    tagged = files.withColumn(
-        "format", F.when(is_md, "md").when(is_txt, "txt")
-    ).withColumn(
-        "full_text", F.when(is_md | is_txt, decode_text(F.col("content"), is_txt))
+    kind = F.when(is_md, "md").when(is_txt, "txt")
+    unread = F.col("open_error") if "open_error" in files.columns else F.lit(None).cast("string")
+    return files.select(
+        "path", content_hash(F.col("content")).alias("source_hash"), kind.alias("format"),
+        F.when(kind.isNotNull(), decode_text(F.col("content"), is_txt)).alias("full_text"), unread.alias("_unread"),
+    ).select(
+        "path", "source_hash", "format", "full_text",
+        F.coalesce("_unread", F.when(F.col("format").isNull(), F.concat(F.lit("unsupported format: "), ext)).when(
+            F.col("full_text").isNull(), F.lit("not valid UTF-8"))).alias("error"),
     )
-    error = F.when(
-        F.col("format").isNull(), F.concat(F.lit("unsupported format: "), ext)
-    ).when(F.col("full_text").isNull(), F.lit("not valid UTF-8"))
-    judged = tagged.withColumn("error", error)
+
+
+def convert_files(files: DataFrame) -> Conversion:
+    """Convert ``path, content`` by extension."""
+    return structured_files(judged_files(files))
+
+
+def structured_files(judged: DataFrame) -> Conversion:
+    """The good and the rejected rows of ``judged_files``; a caller who needs both writes it first."""
     good = judged.where("error is null").select(
-        "path", basename(F.col("path")).alias("filename"), "format", "full_text",
-        content_hash(F.col("content")).alias("source_hash"),
-    )
+        "path", basename(F.col("path")).alias("filename"), "format", "full_text", "source_hash")
     structured = with_structure(good)
     documents = structured.select(
         "path", "filename", "format", "full_text", "headings",

@@ -9,8 +9,8 @@ from corpusloom.functions import arrays, text
 from corpusloom.functions.identity import uuid5
 from corpusloom.operators import documents, lineage, structure
 from corpusloom.schemas import DNB
-from corpusloom.session import shared_folder
-from corpusloom.sources import docmap, files, rubric_json
+from corpusloom.session import shared_folder, written
+from corpusloom.sources import docmap, files, ledger, rubric_json
 from corpusloom.sources import tables as store
 from corpusloom.workload.registry import query
 from corpusloom.workload.sql import cosine
@@ -112,6 +112,30 @@ def a6(t: Tables) -> DataFrame:
     ))
 
 
+LEDGER_SQL = """
+    SELECT DISTINCT ON (path) path, source_hash, length, modified_at FROM (
+      SELECT '/in/' || doc_id AS path, sha256(text) AS source_hash, epoch_ms(doc_id * 1000) AS modified_at,
+             strlen(text) + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS length FROM documents WHERE doc_id % 4 <> 0
+      UNION ALL SELECT '/in/' || doc_id, sha256(source), epoch_ms(doc_id * 1000 - CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1000 END), strlen(text)
+      FROM documents WHERE doc_id % 5 = 0) ORDER BY path, modified_at DESC"""
+
+
+@query("a6_ledger_hashes", extra=[("last", LEDGER_SQL)], sql="""
+    SELECT '/in/' || doc_id AS path, l.source_hash FROM documents LEFT JOIN last l
+      ON l.path = '/in/' || doc_id AND l.length = strlen(text) AND l.modified_at = epoch_ms(doc_id * 1000)""")
+def a6_ledger(t: Tables) -> DataFrame:
+    """Listed files beside a ledger of two batches: unknown, changed and unchanged ones."""
+    d, n = t.given("documents"), F.col("doc_id")
+    path, size = F.concat(F.lit("/in/"), n).alias("path"), F.octet_length("text").cast("long")
+    at = lambda s: F.timestamp_seconds(s).alias("modified_at")
+    second = d.where(n % 4 != 0).select(
+        path, (size + F.when(n % 3 == 0, 1).otherwise(0)).alias("length"), at(n), sha("text").alias("source_hash"))
+    first = d.where(n % 5 == 0).select(
+        path, size.alias("length"), at(n - F.when(n % 4 == 0, 0).otherwise(1)), sha("source").alias("source_hash"))
+    listing = d.select(path, size.alias("length"), at(n))
+    return ledger.with_known_hashes(listing, first.union(second)).select("path", "source_hash")
+
+
 @query("a7_decoded_text", sql="SELECT doc_id, length(text) AS n_chars, sha256(text) AS text_hash FROM documents")
 def a7(t: Tables) -> DataFrame:
     """French texts as Latin-1 bytes where that can hold them; Windows line ends."""
@@ -167,25 +191,29 @@ def a10(t: Tables) -> DataFrame:
 # ----------------------------------------------------------------- identity
 
 
-def existing_documents(t: Tables) -> DataFrame:
+def hashed_texts(t: Tables) -> DataFrame:
+    """doc_id, lang, n_chars, hash: identity is decided on these, so texts are hashed once."""
+    d = t.given("documents")
+    return written(d.select("doc_id", "lang", "n_chars", sha("text").alias("hash")), "hashes")
+
+
+def existing_documents(hashed: DataFrame) -> DataFrame:
     """English and French texts already in a project; some moved, some without a hash."""
     n = F.col("n_chars")
     old = F.concat(F.lit("/old/"), "doc_id", F.lit(".txt"))
     here = F.concat(F.lit("/in/"), "lang", F.lit("/"), "doc_id", F.lit(".txt"))
-    return t.given("documents").where(F.col("lang").isin("en", "fr")).select(
+    return hashed.where(F.col("lang").isin("en", "fr")).select(
         "doc_id",
         F.concat("doc_id", F.lit(".txt")).alias("filename"),
-        F.col("text").alias("full_text"),
         F.create_map(F.lit("source"), F.when(n > 2000, old).otherwise(here)).alias("metadata"),
-        F.when(~n.between(300, 600), sha("text")).alias("source_hash"),
+        F.when(~n.between(300, 600), F.col("hash")).alias("source_hash"),
     )
 
 
-def incoming_files(t: Tables) -> DataFrame:
-    return t.given("documents").select(
+def incoming_files(hashed: DataFrame) -> DataFrame:
+    return hashed.select(
         F.concat(F.lit("/in/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"),
-        F.col("text").alias("full_text"),
-        sha("text").alias("source_hash"),
+        F.col("hash").alias("source_hash"),
     )
 
 
@@ -216,7 +244,8 @@ IDENTITY = [
 @query("b1_content_identity", extra=IDENTITY,
        sql="SELECT source_hash, first_path, path, action, doc_id FROM outcome")
 def b1(t: Tables) -> DataFrame:
-    return documents.identify_documents(existing_documents(t), incoming_files(t)).select(
+    hashed = hashed_texts(t)
+    return documents.identify_documents(existing_documents(hashed), incoming_files(hashed)).select(
         "source_hash", "first_path", "path", "action", "doc_id"
     )
 
@@ -228,7 +257,8 @@ def b1(t: Tables) -> DataFrame:
     FROM ex e LEFT JOIN outcome o ON e.doc_id = o.doc_id AND o.action <> 'inserted'
     UNION ALL SELECT doc_id, regexp_replace(path, '.*/', ''), source_hash, path FROM outcome WHERE action = 'inserted'""")
 def b2(t: Tables) -> DataFrame:
-    existing, incoming = existing_documents(t), incoming_files(t)
+    hashed = hashed_texts(t)
+    existing, incoming = existing_documents(hashed), incoming_files(hashed)
     outcome = documents.identify_documents(existing, incoming)
     return documents.upsert_documents(existing, outcome, incoming).select(
         "doc_id", "filename", "source_hash", F.col("metadata")["source"].alias("path")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +76,54 @@ def test_files_to_corpus(spark, tmp_path):
     assert records.join(side, "chunk_uuid").count() == 3
 
 
+def test_ingest_opens_only_what_it_must(spark, tmp_path):
+    """Unchanged and unwanted files are never opened, new and changed ones once."""
+    src, log = tmp_path / "in", tmp_path / "log"
+    src.mkdir()
+
+    def opener(path):
+        with open(log, "a") as f:
+            f.write(path + "\n")
+        with open(path, "rb") as f:
+            return f.read()
+
+    def opened():
+        names = Counter(os.path.basename(p) for p in log.read_text().split("\n") if p) if log.exists() else Counter()
+        log.unlink(missing_ok=True)
+        return names
+
+    for name, body in {"a.md": "# A\n\nText.", "b.txt": "Plain.", "c.txt": "Plain.", "no.png": "x", "skip.txt": "s", "bad.pdf": "%"}.items():
+        (src / name).write_text(body)
+    (src / "m.docmap").write_text("*\n!skip.txt\n")
+    run = lambda table, ledger: ingest.ingest(
+        spark, table, str(src), doc_map=str(src / "m.docmap"), ledger=ledger, opener=opener)
+
+    def stored(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    first = run(empty(spark, "documents"), None)
+    table, ledger = stored(first.documents, "d1"), stored(first.ledger, "l1")
+    assert opened() == {"a.md": 1, "b.txt": 1, "c.txt": 1, "bad.pdf": 1}
+    assert {r.filename: r.status for r in table.collect()} == {"a.md": "parsed", "c.txt": "parsed", "bad.pdf": "failed"}
+    assert [(r.path[-7:], r.error) for r in first.failures.collect()] == [("bad.pdf", "unsupported format: .pdf")]
+
+    again = run(table, ledger)
+    assert again.documents.count() == 3 and opened() == {}
+
+    (src / "b.txt").write_text("Another text.")
+    (src / "d.txt").write_text("New.")
+    second = run(table, ledger)
+    table2, ledger2 = stored(second.documents, "d2"), stored(second.ledger, "l2")
+    assert opened() == {"b.txt": 1, "d.txt": 1}
+    assert {r.full_text for r in table2.collect()} == {"# A\n\nText.", "Plain.", "Another text.", "New.", None}
+    assert ledger2.count() == 5 and len({r.doc_id for r in table2.collect()}) == 5
+
+    # The ledger knows a content that the table has lost: it is opened again.
+    lost = run(table2.where("filename <> 'a.md'"), ledger2)
+    assert {r.filename for r in lost.documents.collect()} >= {"a.md", "d.txt"} and opened() == {"a.md": 1}
+
+
 def test_vectorized_embedder_matches_spread(spark):
     text = " ".join(f"Sentence {i} about things." for i in range(600))
     docs = structure.with_structure(spark.createDataFrame(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text
 from corpusloom.operators import documents
 from corpusloom.schemas import TABLES
-from corpusloom.sources import docmap, files, rubric_json
+from corpusloom.sources import docmap, files, ledger, rubric_json
 from corpusloom.sources import tables as store
 
 
@@ -187,3 +187,30 @@ def test_text_functions(spark):
     assert out["no end"].f == "no end" and out["x" * 300].f == "x" * 200
     assert out["```json\n{}\n```"].u == "{}"
     json.loads(out["```json\n{}\n```"].u)
+
+
+def test_opened_files(spark, tmp_path):
+    make(tmp_path, ["c d/é (1).txt", "b.MD", "x.pdf"], "é\r\nz")
+    (tmp_path / "l.txt").write_bytes(b"caf\xe9")
+    (tmp_path / "l.md").write_bytes(b"caf\xe9")
+    names = ["c d/é (1).txt", "b.MD", "x.pdf", "l.txt", "l.md", "none.txt"]
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in names], "path string")
+    got = {os.path.relpath(r.path, tmp_path): r for r in files.judged_files(files.open_files(paths)).collect()}
+    assert [got[n].full_text for n in names] == ["é\nz", "é\nz", None, "café", None, None]
+    assert [got[n].error for n in names[:5]] == [None, None, "unsupported format: .pdf", None, "not valid UTF-8"]
+    assert "cannot be read" in got["none.txt"].error and got["none.txt"].source_hash is None
+    assert got["x.pdf"].source_hash == hashlib.sha256("é\r\nz".encode()).hexdigest()
+
+
+def test_ledger_knows_unchanged_files(spark):
+    at = lambda s: f"2024-01-01 00:00:{s:02d}"
+    rows = lambda r, c: spark.createDataFrame(r, c).withColumn("modified_at", F.to_timestamp("modified_at"))
+    old = rows([("/a", 1, at(1), "ha"), ("/a", 1, at(0), "older"), ("/b", 1, at(1), "hb"), ("/c", 1, at(1), "hc")],
+               "path string, length long, modified_at string, source_hash string")
+    listing = rows([("/a", 1, at(1)), ("/b", 2, at(1)), ("/c", 1, at(2)), ("/d", 1, at(1))],
+                   "path string, length long, modified_at string")
+    known = {r.path: r.source_hash for r in ledger.with_known_hashes(listing, old).collect()}
+    assert known == {"/a": "ha", "/b": None, "/c": None, "/d": None}
+    opened = spark.createDataFrame([("/b", "h2"), ("/d", None)], "path string, source_hash string")
+    after = {(r.path, r.length, r.source_hash) for r in ledger.ledger_after(old, listing, opened).collect()}
+    assert after == {("/a", 1, "ha"), ("/a", 1, "older"), ("/c", 1, "hc"), ("/b", 2, "h2")}
