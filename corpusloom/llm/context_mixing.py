@@ -31,9 +31,11 @@ from corpusloom.llm.words import U, column_bytes, groups_of, hash_words, mix
 
 ORDER = 5
 # Bytes of text in a group, in the arrays of one step, and until weights start anew.
-GROUP_BYTES = 32 << 20
-CHUNK_BYTES = 2 << 20
+GROUP_BYTES = 16 << 20
+CHUNK_BYTES = 1 << 20
 PIECE = 1024
+# Bytes of text that one task counts before its counts are shuffled.
+TASK_BYTES = 128 << 20
 BLANK, END = b" ", b"\n"
 # Lower-cases A-Z; every separator becomes a blank.
 NORMAL = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -44,6 +46,8 @@ INPUTS = ORDER + 1
 # What the rows of the count tables and requests are about.
 WORD, CONTEXT = 0, 1
 UNKNOWN = -128
+# Codes whose inputs are worked out at once.
+SLICE = 1 << 16
 
 
 def first_weights() -> np.ndarray:
@@ -98,13 +102,35 @@ def context_keys(pairs: np.ndarray, order: int) -> np.ndarray:
         return mix((pairs >> U(8)) | U(order << 56)).view(np.int64)
 
 
+def distinct(*keys: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted."""
+    key = np.sort(np.concatenate(keys))
+    return key[np.r_[True, key[1:] != key[:-1]]] if key.size else key
+
+
+def places(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each of ``asked`` is in the sorted distinct ``known``, which has them all.
+
+    A table of slots names one place for each; only those of shared slots are searched.
+    """
+    bits = max(known.size, 2).bit_length() + 2
+    with np.errstate(over="ignore"):
+        slot = lambda x: ((x.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - bits)).view(np.int64)
+        table = np.zeros(1 << bits, np.int32)
+        table[slot(known)] = np.arange(known.size, dtype=np.int32)
+        at = table[slot(asked)]
+    wrong = np.flatnonzero(known[at] != asked)
+    at[wrong] = np.searchsorted(known, asked[wrong])
+    return at
+
+
 def tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys with the sums of their counts."""
-    key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return key[first], np.add.reduceat(n, first) if n.size else n
+    own = distinct(*keys)
+    sums = np.zeros(own.size, np.int64)
+    for key, n in zip(keys, counts):
+        sums += np.bincount(places(own, key), weights=n, minlength=own.size).astype(np.int64)
+    return own, sums
 
 
 COUNTS = "kind int, key long, byte int, n long"
@@ -227,17 +253,25 @@ def inputs_of(codes: np.ndarray, table: dict, code: Code) -> tuple[np.ndarray, n
     byte = (codes & U(255)).astype(np.int64)
     n = code.bits[byte]
     first = np.cumsum(n) - n
-    row = np.repeat(np.arange(codes.size), n)
-    d = np.arange(row.size) - first[row]
-    out = np.zeros((row.size, 8), np.int8)
+    out = np.zeros((n.sum(), 8), np.int8)
+    logits, at = [], []
     for order in range(1, ORDER + 1):
-        pairs, at = np.unique(pairs_of(codes, order), return_inverse=True)
-        logit = order_logits(pairs, order, table, code)[at[row], d]
-        seen = logit != UNKNOWN
-        out[:, order - 1] = np.where(seen, logit, 0)
-        out[seen, 6] = order
+        pairs = distinct(pairs_of(codes, order))
+        at.append(places(pairs, pairs_of(codes, order)))
+        logits.append(order_logits(pairs, order, table, code))
+    for a in range(0, codes.size, SLICE):
+        part = slice(a, a + SLICE)
+        row = np.repeat(np.arange(n[part].size), n[part])
+        base = first[a]
+        d = np.arange(row.size) - (first[part] - base)[row]
+        own = out[base:base + row.size]
+        for order in range(ORDER):
+            logit = logits[order][at[order][part][row], d]
+            seen = logit != UNKNOWN
+            own[:, order] = np.where(seen, logit, 0)
+            own[seen, 6] = order + 1
+        own[:, 7] = code.leaf[byte[part]][row] >= code.mid[byte[part]][row, d]
     out[:, 5] = LOGIT
-    out[:, 7] = code.leaf[byte[row]] >= code.mid[byte[row], d]
     return out.view(np.int64).ravel(), first
 
 
@@ -281,8 +315,7 @@ def mixed_cost(steps: np.ndarray, active: np.ndarray) -> np.ndarray:
 def chunk_bits(texts: list[bytes], known: np.ndarray, nodes: np.ndarray, first: np.ndarray, code: Code) -> np.ndarray:
     """Bits of each of some normal texts. ``known`` are the distinct codes of ``inputs_of``."""
     codes, bounds = coded(texts)
-    own, at = np.unique(codes, return_inverse=True)
-    row = np.searchsorted(known, own)[at]
+    row = places(known, codes)
     n = code.bits[(codes & U(255)).astype(np.int64)]
     before = np.r_[0, np.cumsum(n)]
     starts = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(bounds[:-1], bounds[1:])])
@@ -293,11 +326,14 @@ def chunk_bits(texts: list[bytes], known: np.ndarray, nodes: np.ndarray, first:
     place[lane] = np.arange(lane.size)
     active = np.searchsorted(-length[lane], -np.arange(length.max()), side="left")
     offset = np.cumsum(active) - active
+    # A chunk is far from 2**31 bits, unless one text is.
+    small = np.int32 if before[-1] < 2**31 and nodes.size < 2**31 else np.int64
+    every = np.arange(before[-1], dtype=small)
+    target = offset.astype(small)[every - np.repeat(before[starts].astype(small), length)]
+    target += np.repeat(place.astype(small), length)
     steps = np.empty(before[-1], np.int64)
-    piece = np.repeat(np.arange(starts.size), length)
-    step = np.arange(before[-1]) - before[starts][piece]
-    node = np.repeat(first[row] - before[:-1], n) + np.arange(before[-1])
-    steps[offset[step] + place[piece]] = nodes[node]
+    steps[target] = nodes[np.repeat((first[row] - before[:-1]).astype(small), n) + every]
+    del target, every
     cost = mixed_cost(steps, active)[place]
     return np.bincount(np.searchsorted(bounds, starts, side="right") - 1, weights=cost, minlength=len(texts))
 
@@ -308,7 +344,7 @@ def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def grouped(docs: DataFrame, group_bytes: int) -> DataFrame:
-    """doc_id, text, held, grp: neighbouring rows of about ``group_bytes`` have one number."""
+    """doc_id, text, held, n_bytes, grp: neighbouring rows of about ``group_bytes`` have one number."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -320,14 +356,16 @@ def grouped(docs: DataFrame, group_bytes: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = size + np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64))
+            n = pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64)
+            own = size + np.cumsum(n)
             number = group + np.r_[size, own[:-1]] // group_bytes
             size = int(own[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], names=[*batch.schema.names, "grp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(number)],
+                                             names=[*batch.schema.names, "n_bytes", "grp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"),
                        held_out(F.col("doc_id")).alias("held"))
-    return rows.mapInArrow(run, "doc_id long, text binary, held boolean, grp long")
+    return rows.mapInArrow(run, "doc_id long, text binary, held boolean, n_bytes long, grp long")
 
 
 def requests(groups: DataFrame) -> DataFrame:
@@ -343,11 +381,11 @@ def requests(groups: DataFrame) -> DataFrame:
             for kind, keys in held.items():
                 if not keys:
                     continue
-                own = np.unique(np.concatenate(keys))
+                own = distinct(*keys)
                 if kind == WORD:
                     asked = [own.view(np.int64)]
                 else:
-                    asked = [context_keys(np.unique(pairs_of(own, k) >> U(8)) << U(8), k) for k in range(1, ORDER + 1)]
+                    asked = [context_keys(distinct(pairs_of(own, k) >> U(8)) << U(8), k) for k in range(1, ORDER + 1)]
                 for key in asked:
                     for a in range(0, key.size, 50_000):
                         part = key[a:a + 50_000]
@@ -364,11 +402,11 @@ def requests(groups: DataFrame) -> DataFrame:
                     yield from answer()
                     now = int(numbers[a])
                 for own in chunks(values[a:b]):
-                    held[WORD].append(np.unique(hash_words(own).hashes[0]))
-                    held[CONTEXT].append(np.unique(coded(own)[0]))
+                    held[WORD].append(distinct(hash_words(own).hashes[0]))
+                    held[CONTEXT].append(distinct(coded(own)[0]))
                     for kind in held:
-                        if len(held[kind]) > 8:
-                            held[kind] = [np.unique(np.concatenate(held[kind]))]
+                        if len(held[kind]) > 16:
+                            held[kind] = [distinct(*held[kind])]
         yield from answer()
 
     return groups.mapInArrow(run, "grp long, kind int, key long").distinct()
@@ -384,33 +422,31 @@ def scorer(code: Code):
     def score(docs, answers):
         import pyarrow as pa
 
-        answers = answers.combine_chunks()
         kind, key = answers["kind"].to_numpy(), answers["key"].to_numpy()
-        lists = answers["counts"].combine_chunks() if answers.num_rows else None
-        offsets = np.zeros(1, np.int64) if lists is None else np.asarray(lists.offsets).astype(np.int64)
-        byte = np.zeros(0, np.int64) if lists is None else np.asarray(lists.values.field("byte")).astype(np.int64)
-        n = np.zeros(0, np.int64) if lists is None else np.asarray(lists.values.field("n"))
-        owner = np.repeat(np.arange(key.size), np.diff(offsets))
-        byte, n = byte[offsets[0]:offsets[-1]], n[offsets[0]:offsets[-1]]
-        word = kind[owner] == WORD
-        word_keys, word_n = key[owner][word], n[word]
-        by_key = np.argsort(word_keys)
-        word_keys, word_n = word_keys[by_key], word_n[by_key]
-        context = np.flatnonzero(kind == CONTEXT)
+        lists = answers["counts"].combine_chunks() if answers.num_rows else pa.array([], answers.schema.field("counts").type)
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        byte, n = (np.asarray(lists.values.field(c))[offsets[0]:offsets[-1]] for c in ("byte", "n"))
+        size = np.diff(offsets)
+        is_word = kind == WORD
+        # A word has one count; it stands at the first place of its list.
+        by_key = np.flatnonzero(is_word)[np.argsort(key[is_word])]
+        word_keys, word_n = key[by_key], n[(offsets[:-1] - offsets[0])[by_key]]
+        context = np.flatnonzero(~is_word)
         context = context[np.argsort(key[context])]
         rank = np.zeros(key.size, np.int64)
         rank[context] = np.arange(context.size)
-        cell = rank[owner[~word]] * 256 + code.leaf[byte[~word]]
+        counted_byte = np.repeat(~is_word, size)
+        cell = np.repeat(rank[~is_word], size[~is_word]) * 256 + code.leaf[byte[counted_byte]]
         by_cell = np.argsort(cell)
-        table = {"key": key[context], "cell": cell[by_cell], "sums": np.r_[0, np.cumsum(n[~word][by_cell])]}
+        table = {"key": key[context], "cell": cell[by_cell], "sums": np.r_[0, np.cumsum(n[counted_byte][by_cell])]}
+        del kind, key, lists, byte, n, is_word, context, rank, counted_byte, cell, by_cell, answers
 
         texts = [b"" if t is None else t for t in docs["text"].to_pylist()]
-        distinct: list[np.ndarray] = []
+        own_codes = []
         for own in chunks(texts):
-            distinct.append(np.unique(coded(own)[0]))
-            if len(distinct) > 8:
-                distinct = [np.unique(np.concatenate(distinct))]
-        known = np.unique(np.concatenate(distinct))
+            own_codes.append(distinct(coded(own)[0]))
+        known = distinct(*own_codes)
+        del own_codes
         nodes, first = inputs_of(known, table, code)
         out = []
         for own in chunks(texts):
@@ -431,6 +467,10 @@ def scorer(code: Code):
     return score
 
 
+def spark_cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def scored_documents(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Documents (doc_id, text) → doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score, n_bytes, bits_per_byte.
@@ -444,7 +484,9 @@ def scored_documents(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFra
     every bit costs about 1. A text is held whole by one task.
     """
     groups = kept(grouped(docs, group_bytes), "lm-groups")
-    counts = kept(counted(groups.where(~F.col("held"))), "lm-counts")
+    size = groups.agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = max(spark_cores(docs), -(-size // TASK_BYTES))
+    counts = kept(counted(groups.where(~F.col("held")).coalesce(tasks)), "lm-counts")
     words = counts.where(F.col("kind") == WORD).agg(
         F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     ends = groups.where(~F.col("held")).count()
@@ -452,9 +494,11 @@ def scored_documents(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFra
     # A byte after a context of any one order: each coded byte once.
     bytes_seen = counts.where(F.col("kind") == CONTEXT).groupBy("byte").agg(F.sum("n").alias("n"))
     code = prefix_code({r["byte"]: r["n"] // ORDER for r in bytes_seen.collect()})
-    tables = counts.groupBy("kind", "key").agg(F.collect_list(F.struct("byte", "n")).alias("counts"))
+    entry = F.struct("byte", "n")
+    tables = counts.where(F.col("kind") == WORD).select("kind", "key", F.array(entry).alias("counts")).union(
+        counts.where(F.col("kind") == CONTEXT).groupBy("kind", "key").agg(F.collect_list(entry).alias("counts")))
     answers = requests(groups).join(tables, ["kind", "key"]).select("grp", "kind", "key", "counts")
-    scored = groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(scorer(code), SCORED)
+    scored = groups.drop("n_bytes").groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(scorer(code), SCORED)
     base = F.col("words_log10") + F.lit(float(np.log10(ends + 0.5))) - F.col("n_tokens") * F.lit(
         float(np.log10(total + 0.5 * (kinds + 1))))
     return scored.select(
