@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import arrays, text
-from corpusloom.functions.text import WS, TokenCounter, estimate_counts
+from corpusloom.functions import arrays, search, text
+from corpusloom.functions.text import TokenCounter, estimate_counts
 from corpusloom.operators.structural_chunks import PARAGRAPH_BREAK, pack_starts
 from corpusloom.operators.structure import section_at
+from corpusloom.shipping import ship_package
 
 # Fixed value: the request text sent for each window.
 CLAUSE_PROMPT = """Split the following text into atomic clauses. An atomic clause is a self-contained unit of meaning: one rule, one fact, one definition, one procedural step, one parameter description, one specification line, etc.
@@ -95,45 +97,31 @@ def parse_clauses(response: Column) -> Column:
     )
 
 
+LOCATED = "array<struct<clause:string,start:int,end:int>>"
+
+
 def locate_clauses(window_text: Column, clauses: Column) -> Column:
     """Spans of clauses searched in order, each after the one before.
 
     A clause not found verbatim is searched with white space collapsed, which
     gives an approximate place; one still not found is dropped. Every span
     carries its own clause, so a dropped clause cannot shift the others.
-    """
-
-    return arrays.let(window_text, lambda t: _locate_clauses(t, clauses))
-
-
-def _locate_clauses(window_text: Column, clauses: Column) -> Column:
-    def loose(cursor: Column, clause: Column) -> Column:
-        rest = F.regexp_replace(F.substr(window_text, cursor + 1), f"{WS}+", " ")
-        found = F.call_function("locate", text.normalize_whitespace(clause), rest)
-        return arrays.let(found, lambda n: F.when(n > 0, cursor + n))
 
-    def place(cursor: Column, clause: Column) -> Column:
-        exact = F.nullif(F.call_function("locate", clause, window_text, cursor + 1), F.lit(0))
-        return F.coalesce(exact, loose(cursor, clause)) - 1
+    The search keeps a cursor and, where many clauses are missing, an index of
+    the window. Column expressions have neither: they would read the window from
+    its front for each clause. So it runs in Arrow batches.
+    """
+    ship_package(SparkSession.active())
 
-    # The state is the span of the last clause; its end stays when one is not found.
-    def step(span: Column, clause: Column) -> Column:
-        return arrays.let(
-            place(span["cursor"], clause),
-            lambda at: F.struct(
-                F.coalesce(at + F.length(clause), span["cursor"]).alias("cursor"), at.alias("at")
-            ),
-        )
+    @F.arrow_udf(LOCATED)
+    def located(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+        rows = [None if t is None or c is None else
+                [{"clause": clause, "start": start, "end": end} for clause, start, end in search.locate(t, c)]
+                for t, c in zip(texts.to_pylist(), wanted.to_pylist())]
+        return pa.array(rows, pa.list_(pa.struct(
+            [("clause", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
 
-    spans = arrays.scan(
-        clauses, F.struct(F.lit(0).alias("cursor"), F.lit(None).cast("int").alias("at")),
-        "struct<cursor:int,at:int>", step,
-    )
-    placed = F.zip_with(
-        clauses, spans,
-        lambda c, s: F.struct(c.alias("clause"), s["at"].alias("start"), s["cursor"].alias("end")),
-    )
-    return F.filter(placed, lambda p: p["start"].isNotNull())
+    return located(window_text, clauses)
 
 
 def clause_chunks(

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 import models
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import arrays
+from corpusloom.functions import arrays, search
 from corpusloom.operators import clauses, semantic_chunks, structural_chunks, structure
 from corpusloom.workload.tables import LETTERS, letter_embedder
 
@@ -169,6 +170,33 @@ def test_located_clauses(spark):
         assert [(s.clause, s.start, s.end) for s in r.s] == models.locate(t, c)
 
 
+@pytest.mark.parametrize("patience", [8, -1])
+def test_searched_needles_equal_plain_search(monkeypatch, patience):
+    monkeypatch.setattr(search.Haystack, "PATIENCE", patience)
+    rng = random.Random(9)
+    for _ in range(300):
+        t = "".join(rng.choice("ab \n\u2003") for _ in range(rng.randrange(0, 120)))
+        cut = lambda: (lambda a: t[a:a + rng.randrange(1, 25)])(rng.randrange(0, len(t) + 1))
+        needles = [rng.choice([cut(), cut().replace(" ", "  "), cut() + "zz"]) for _ in range(12)]
+        needles = [n for n in needles if n.strip()]
+        assert search.locate(t, needles) == models.locate(t, needles), (t, needles)
+
+
+def test_many_missing_clauses_take_linear_time():
+    """Twice the clauses in twice the window: about twice the time, found or not."""
+    def seconds(n):
+        text = " ".join(f"clause number {i} about\n things." for i in range(n))
+        needles = [f"clause number {i} about{' ' if i % 3 else '  '}things{'.' if i % 2 else '?'}" for i in range(n)]
+        start = time.process_time()
+        found = search.locate(text, needles)
+        assert len(found) == n // 2
+        return time.process_time() - start
+
+    seconds(500)
+    small, large = (min(seconds(n) for _ in range(3)) for n in (4000, 16000))
+    assert large < 8 * small
+
+
 def test_folds_across_blocks(spark):
     n = arrays.BLOCK * 3 + 17
     sizes = [(i * 37) % 11 + 1 for i in range(n)]
