@@ -5,15 +5,16 @@ is coded as the bits of a prefix code. The predictors of a bit know how often ea
 byte followed the last 1 to ``ORDER`` bytes in the training texts: a context is a
 64-bit hash of these bytes, and its frozen counts give a logit for each bit. A mixer
 adds the predictors' logits with weights; the set of weights is gated by the longest
-context that knows the bit. After each bit the weights move down the gradient of its
+context that is known. After each byte the weights move down the gradient of its bits'
 coding cost. A probability map, indexed by the mixed logit, refines the result and is
-moved toward the bit, too. Weights and map start anew every ``PIECE`` bytes of a text;
+moved toward the bits, too. Weights and map start anew every ``PIECE`` bytes of a text;
 contexts go on. Each probability thus depends on training texts and earlier bytes
 alone, so the code lengths belong to one distribution over all texts.
 
-Counts of contexts and words are tables that grow with the training texts. Documents
-are dealt into groups of bounded size; a group asks for its distinct contexts and
-words and meets the answers in one task. No table of counts passes through the driver.
+Counts of contexts and words are a table that grows with the training texts. A bounded
+number of the most frequent ones goes to all tasks. Documents are dealt into groups of
+bounded size; a group asks for all its other contexts and words and meets the answers
+in one task. So the whole table never passes through the driver, and nothing is left out.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ ORDER = 5
 GROUP_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 20
 PIECE = 1024
+# The most frequent words and contexts, sent to all tasks: 16 bytes a word, 12 for each
+# byte after a context, of which there are 256 at most and a few as a rule.
+HOT_WORDS, HOT_CONTEXTS = 1 << 18, 1 << 16
 # Bytes of text that one task counts before its counts are shuffled.
 TASK_BYTES = 128 << 20
 BLANK, END = b" ", b"\n"
@@ -133,11 +137,26 @@ def tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return own, sums
 
 
+def packed(texts: list[bytes | None]):
+    import pyarrow as pa
+
+    return pa.array([None if t is None else pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())
+
+
+def unpacked(column, sizes) -> list[bytes]:
+    import pyarrow as pa
+
+    return [b"" if t is None else pa.decompress(t, n, "zstd", asbytes=True)
+            for t, n in zip(column.to_pylist(), sizes.to_pylist())]
+
+
 COUNTS = "kind int, key long, byte int, n long"
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(text) → kind, key, byte, n: how often each word, and each byte after a context, occurs."""
+def counted(groups: DataFrame) -> DataFrame:
+    """(text, n_bytes) → kind, key, counts, total: how often each word, and each byte after a
+    context, occurs. A word has one count, of byte 0.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -156,13 +175,11 @@ def counted(texts: DataFrame) -> DataFrame:
                     names=[f.split()[0] for f in COUNTS.split(", ")])
 
         for batch in batches:
-            values = column_bytes(batch, "text")
-            for part in groups_of(values, CHUNK_BYTES):
-                own = [normal(values[i]) for i in part]
+            for own in chunks(unpacked(batch.column("text"), batch.column("n_bytes"))):
                 for kind, found in ((WORD, hash_words(own).hashes[0]), (CONTEXT, coded(own)[0])):
                     if found.size:
                         held[kind].append(np.unique(found, return_counts=True))
-                    if len(held[kind]) > 8:
+                    if len(held[kind]) > 16:
                         fold(kind)
         for kind in held:
             fold(kind)
@@ -174,8 +191,10 @@ def counted(texts: DataFrame) -> DataFrame:
                     pairs, sums = tally([pairs_of(key, order)], [n])
                     yield from rows(kind, context_keys(pairs, order), pairs & U(255), sums)
 
-    return texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, COUNTS).groupBy(
-        "kind", "key", "byte").agg(F.sum("n").alias("n"))
+    # A task's rows are distinct, so they are dealt by key at once, which serves both groupings.
+    dealt = groups.select("text", "n_bytes").mapInArrow(run, COUNTS).repartition("kind", "key")
+    return dealt.groupBy("kind", "key", "byte").agg(F.sum("n").alias("n")).groupBy("kind", "key").agg(
+        F.collect_list(F.struct("byte", "n")).alias("counts"), F.sum("n").alias("total"))
 
 
 class Code(NamedTuple):
@@ -270,71 +289,103 @@ def inputs_of(codes: np.ndarray, table: dict, code: Code) -> tuple[np.ndarray, n
             seen = logit != UNKNOWN
             own[:, order] = np.where(seen, logit, 0)
             own[seen, 6] = order + 1
+        own[:, 6] = own[first[part] - base, 6][row]
         own[:, 7] = code.leaf[byte[part]][row] >= code.mid[byte[part]][row, d]
     out[:, 5] = LOGIT
     return out.view(np.int64).ravel(), first
 
 
-def mixed_cost(steps: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Bits that each of many pieces costs, all coded side by side.
+class Steps(NamedTuple):
+    """The bytes of many pieces, side by side: first bytes, then second bytes, and so on.
 
-    ``steps`` holds the inputs of the first bit of all pieces, then of the second of
-    those that have one, and so on: ``active`` says of how many, longest pieces first.
+    A step has a byte of each of ``active`` pieces, those of most bits first:
+    ``piece`` names them. Of its bits, bounded by ``starts`` in ``inputs``, all first
+    ones come first, then all second ones: ``depths[step, d]`` bytes have bit d.
+    ``byte`` is each bit's byte, counted in its step.
     """
-    lanes = int(active[0])
-    weights = np.tile(first_weights() / LOGIT, (lanes, 1))
+
+    inputs: np.ndarray
+    byte: np.ndarray
+    piece: np.ndarray
+    active: np.ndarray
+    starts: np.ndarray
+    depths: np.ndarray
+
+
+def mixed_cost(steps: Steps) -> np.ndarray:
+    """Nats that each piece costs."""
+    lanes = int(steps.active[0])
+    weights = np.tile(first_weights().T / LOGIT, lanes)
     grid = np.linspace(-MAP_EDGE, MAP_EDGE, MAP_CELLS)
     cells = np.tile((1 / (1 + np.exp(-grid))).astype(np.float32), lanes)
-    base, cell_base = np.arange(lanes) * (ORDER + 1), np.arange(lanes) * MAP_CELLS
     cost = np.zeros(lanes)
-    at, rate = 0, np.float32(RATE / LOGIT)
+    rate, map_rate, edge = np.float32(RATE / LOGIT), np.float32(MAP_RATE), np.float32(MAP_EDGE)
     per_cell = np.float32((MAP_CELLS - 1) / (2 * MAP_EDGE))
-    for n in active:
-        v = steps[at:at + n].view(np.int8).reshape(n, 8)
+    middle = np.float32((MAP_CELLS - 1) / 2 + 0.5)
+    at = 0
+    for t, n in enumerate(steps.active.tolist()):
+        a, b = steps.starts[t], steps.starts[t + 1]
+        v = steps.inputs[a:b].view(np.int8).reshape(b - a, 8)
+        byte, piece = steps.byte[a:b], steps.piece[at:at + n]
         at += n
-        x, bit = v[:, :INPUTS].astype(np.float32), v[:, 7].astype(np.float32)
-        own = base[:n] + v[:, 6]
-        w = weights[own]
-        logit = np.einsum("ij,ij->i", x, w)
-        np.clip(logit, 0.01 - MAP_EDGE, MAP_EDGE - 0.01, out=logit)
+        # The last row: what the bit costs, so that one loop adds up all of a byte.
+        x = np.empty((INPUTS + 1, b - a), np.float32)
+        x[:INPUTS] = v.T[:INPUTS]
+        bit = v[:, 7].astype(np.float32)
+        own = piece * (ORDER + 1) + v[:n, 6]
+        sums = np.zeros((INPUTS + 1, n), np.float32)
+        w = weights.take(own, axis=1)
+        logit = (x[:INPUTS] * w.take(byte, axis=1)).sum(0)
+        np.minimum(np.maximum(logit, -edge), edge, out=logit)
         p = 1 / (1 + np.exp(-logit))
-        place = (logit + np.float32(MAP_EDGE)) * per_cell
-        cell = place.astype(np.int64)
-        part = place - cell.astype(np.float32)
-        cell += cell_base[:n]
-        a, b = cells[cell], cells[cell + 1]
-        refined = (p + a + (b - a) * part) / 2
-        cost[:n] -= np.log2(np.abs(1 - bit - refined))
-        weights[own] = w + ((bit - p) * rate)[:, None] * x
-        part *= np.float32(MAP_RATE)
-        cells[cell + 1] = b + part * (bit - b)
-        cells[cell] = a + (np.float32(MAP_RATE) - part) * (bit - a)
+        cell = (logit * per_cell + middle).astype(np.int32)
+        cell += (piece * MAP_CELLS).take(byte)
+        mapped = cells.take(cell)
+        x[:INPUTS] *= (bit - p) * rate
+        np.log(np.abs(1 - bit - (p + mapped) / 2), out=x[INPUTS])
+        cells[cell] = mapped + (bit - mapped) * map_rate
+        first = 0
+        for m in steps.depths[t].tolist():
+            if not m:
+                break
+            sums[:, :m] += x[:, first:first + m]
+            first += m
+        weights[:, own] = w + sums[:INPUTS]
+        cost[piece] -= sums[INPUTS]
     return cost
 
 
+def side_by_side(codes: np.ndarray, starts: np.ndarray, length: np.ndarray, known: np.ndarray,
+                 nodes: np.ndarray, first: np.ndarray, code: Code) -> Steps:
+    """The steps of pieces that start at ``starts`` of ``codes``; longest pieces first."""
+    active = np.searchsorted(-length, -np.arange(length[0]), side="left")
+    step = np.repeat(np.arange(active.size), active)
+    piece = np.arange(step.size) - np.repeat(np.cumsum(active) - active, active)
+    n = code.bits[(codes[starts[piece] + step] & U(255)).astype(np.int64)]
+    # Bytes of most bits first within a step: the three numbers are sorted as one.
+    depth = code.low.shape[1]
+    key = np.sort(((step * (depth + 1) + depth - n) << 32) | piece)
+    piece, n = key & 0xFFFFFFFF, depth - (key >> 32) % (depth + 1)
+    per_step = np.bincount(step * (depth + 1) + n, minlength=active.size * (depth + 1)).reshape(active.size, depth + 1)
+    depths = active[:, None] - np.cumsum(per_step, axis=1)[:, :depth]
+    each = depths.ravel()
+    ends = np.cumsum(each)
+    small = np.int32 if ends[-1] < 2**31 and nodes.size < 2**31 else np.int64
+    row = first[places(known, codes[starts[piece] + step])].astype(small)
+    byte = np.arange(ends[-1], dtype=small) - np.repeat((ends - each).astype(small), each)
+    at = byte + np.repeat(np.repeat((np.cumsum(active) - active).astype(small), depth), each)
+    node = row[at] + np.repeat(np.tile(np.arange(depth, dtype=small), active.size), each)
+    return Steps(nodes[node], byte, piece.astype(small), active, np.r_[0, ends[depth - 1::depth]], depths)
+
+
 def chunk_bits(texts: list[bytes], known: np.ndarray, nodes: np.ndarray, first: np.ndarray, code: Code) -> np.ndarray:
     """Bits of each of some normal texts. ``known`` are the distinct codes of ``inputs_of``."""
     codes, bounds = coded(texts)
-    row = places(known, codes)
-    n = code.bits[(codes & U(255)).astype(np.int64)]
-    before = np.r_[0, np.cumsum(n)]
     starts = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(bounds[:-1], bounds[1:])])
-    ends = np.r_[starts[1:], bounds[-1]]
-    length = before[ends] - before[starts]
+    length = np.diff(np.r_[starts, bounds[-1]])
     lane = np.argsort(-length, kind="stable")
-    place = np.empty_like(lane)
-    place[lane] = np.arange(lane.size)
-    active = np.searchsorted(-length[lane], -np.arange(length.max()), side="left")
-    offset = np.cumsum(active) - active
-    # A chunk is far from 2**31 bits, unless one text is.
-    small = np.int32 if before[-1] < 2**31 and nodes.size < 2**31 else np.int64
-    every = np.arange(before[-1], dtype=small)
-    target = offset.astype(small)[every - np.repeat(before[starts].astype(small), length)]
-    target += np.repeat(place.astype(small), length)
-    steps = np.empty(before[-1], np.int64)
-    steps[target] = nodes[np.repeat((first[row] - before[:-1]).astype(small), n) + every]
-    del target, every
-    cost = mixed_cost(steps, active)[place]
+    cost = np.empty(lane.size)
+    cost[lane] = mixed_cost(side_by_side(codes, starts[lane], length[lane], known, nodes, first, code)) / np.log(2)
     return np.bincount(np.searchsorted(bounds, starts, side="right") - 1, weights=cost, minlength=len(texts))
 
 
@@ -344,32 +395,79 @@ def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def grouped(docs: DataFrame, group_bytes: int) -> DataFrame:
-    """doc_id, text, held, n_bytes, grp: neighbouring rows of about ``group_bytes`` have one number."""
+    """doc_id, text, held, n_bytes, grp: neighbouring rows of about ``group_bytes`` have one number.
+
+    The text is compressed, since it is shuffled; ``n_bytes`` is its own size.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
-        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         # At most 2**40 groups in a task.
         group, size = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64)
-            own = size + np.cumsum(n)
-            number = group + np.r_[size, own[:-1]] // group_bytes
-            size = int(own[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(number)],
-                                             names=[*batch.schema.names, "n_bytes", "grp"])
+            texts = column_bytes(batch, "text")
+            n = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
+            before = size + np.cumsum(n) - n
+            size += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), packed(texts), batch.column("held"), pa.array(n),
+                 pa.array(group + before // group_bytes)], names=[f.split()[0] for f in GROUPS.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"),
                        held_out(F.col("doc_id")).alias("held"))
-    return rows.mapInArrow(run, "doc_id long, text binary, held boolean, n_bytes long, grp long")
+    return rows.mapInArrow(run, GROUPS)
 
 
-def requests(groups: DataFrame) -> DataFrame:
-    """(grp, kind, key): the distinct words and contexts that each group has."""
+GROUPS = "doc_id long, text binary, held boolean, n_bytes long, grp long"
+
+
+class Answers(NamedTuple):
+    """Entries of the count table: of each its ``size`` counts, one entry after the other."""
+
+    kind: np.ndarray
+    key: np.ndarray
+    size: np.ndarray
+    byte: np.ndarray
+    n: np.ndarray
+
+
+def answers_of(table) -> Answers:
+    """From an Arrow table (kind, key, counts)."""
+    import pyarrow as pa
+
+    lists = table["counts"].combine_chunks() if table.num_rows else pa.array([], table.schema.field("counts").type)
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    byte, n = (np.asarray(lists.values.field(c))[offsets[0]:offsets[-1]] for c in ("byte", "n"))
+    return Answers(table["kind"].to_numpy().astype(np.int8), table["key"].to_numpy(),
+                   np.diff(offsets).astype(np.int32), byte.astype(np.uint8), n)
+
+
+def lookup_tables(parts: list[Answers], code: Code) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The context table of ``order_logits``, sorted word keys and their counts. Entries may repeat."""
+    kind, key, size, byte, n = (np.concatenate(x) for x in zip(*parts))
+    at = np.cumsum(size, dtype=np.int64) - size
+    order = np.lexsort((key, kind))
+    new = (key[order][1:] != key[order][:-1]) | (kind[order][1:] != kind[order][:-1])
+    order = order[np.r_[True, new]] if order.size else order
+    cut = int(np.searchsorted(kind[order], CONTEXT))
+    words, contexts = order[:cut], order[cut:]
+    sizes = size[contexts].astype(np.int64)
+    ends = np.cumsum(sizes)
+    rank = np.repeat(np.arange(contexts.size), sizes)
+    place = np.arange(rank.size) + (at[contexts] - (ends - sizes))[rank]
+    cell = rank * 256 + code.leaf[byte[place]]
+    by_cell = np.argsort(cell)
+    table = {"key": key[contexts], "cell": cell[by_cell], "sums": np.r_[0, np.cumsum(n[place][by_cell])]}
+    return table, key[words], n[at[words]]
+
+
+def requests(groups: DataFrame, hot) -> DataFrame:
+    """(grp, kind, key): the words and contexts of each group that the broadcast ``hot`` has not.
+
+    Each once for a group that one task reads, as a rule; a few may repeat.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -386,7 +484,9 @@ def requests(groups: DataFrame) -> DataFrame:
                     asked = [own.view(np.int64)]
                 else:
                     asked = [context_keys(distinct(pairs_of(own, k) >> U(8)) << U(8), k) for k in range(1, ORDER + 1)]
+                common = np.sort(hot.value.key[hot.value.kind == kind])
                 for key in asked:
+                    key = np.setdiff1d(key, common, assume_unique=True)
                     for a in range(0, key.size, 50_000):
                         part = key[a:a + 50_000]
                         yield pa.RecordBatch.from_arrays(
@@ -395,7 +495,8 @@ def requests(groups: DataFrame) -> DataFrame:
                 keys.clear()
 
         for batch in batches:
-            values, numbers = column_bytes(batch, "text"), batch.column("grp").to_numpy()
+            values = unpacked(batch.column("text"), batch.column("n_bytes"))
+            numbers = batch.column("grp").to_numpy()
             turns = np.r_[0, np.flatnonzero(np.diff(numbers)) + 1, numbers.size]
             for a, b in zip(turns[:-1], turns[1:]):
                 if a < b and numbers[a] != now:
@@ -409,39 +510,21 @@ def requests(groups: DataFrame) -> DataFrame:
                             held[kind] = [distinct(*held[kind])]
         yield from answer()
 
-    return groups.mapInArrow(run, "grp long, kind int, key long").distinct()
+    return groups.mapInArrow(run, "grp long, kind int, key long")
 
 
 SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, words_log10 double, n_bytes long, "
           "bits double")
 
 
-def scorer(code: Code):
-    """A function of a group's documents and the answers to its requests."""
+def scorer(code: Code, hot):
+    """A function of a group's documents and the answers to its requests, beside the broadcast ``hot``."""
 
     def score(docs, answers):
         import pyarrow as pa
 
-        kind, key = answers["kind"].to_numpy(), answers["key"].to_numpy()
-        lists = answers["counts"].combine_chunks() if answers.num_rows else pa.array([], answers.schema.field("counts").type)
-        offsets = np.asarray(lists.offsets).astype(np.int64)
-        byte, n = (np.asarray(lists.values.field(c))[offsets[0]:offsets[-1]] for c in ("byte", "n"))
-        size = np.diff(offsets)
-        is_word = kind == WORD
-        # A word has one count; it stands at the first place of its list.
-        by_key = np.flatnonzero(is_word)[np.argsort(key[is_word])]
-        word_keys, word_n = key[by_key], n[(offsets[:-1] - offsets[0])[by_key]]
-        context = np.flatnonzero(~is_word)
-        context = context[np.argsort(key[context])]
-        rank = np.zeros(key.size, np.int64)
-        rank[context] = np.arange(context.size)
-        counted_byte = np.repeat(~is_word, size)
-        cell = np.repeat(rank[~is_word], size[~is_word]) * 256 + code.leaf[byte[counted_byte]]
-        by_cell = np.argsort(cell)
-        table = {"key": key[context], "cell": cell[by_cell], "sums": np.r_[0, np.cumsum(n[counted_byte][by_cell])]}
-        del kind, key, lists, byte, n, is_word, context, rank, counted_byte, cell, by_cell, answers
-
-        texts = [b"" if t is None else t for t in docs["text"].to_pylist()]
+        table, word_keys, word_n = lookup_tables([hot.value, answers_of(answers)], code)
+        texts = unpacked(docs["text"], docs["n_bytes"])
         own_codes = []
         for own in chunks(texts):
             own_codes.append(distinct(coded(own)[0]))
@@ -467,10 +550,6 @@ def scorer(code: Code):
     return score
 
 
-def spark_cores(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
-
-
 def scored_documents(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Documents (doc_id, text) → doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score, n_bytes, bits_per_byte.
@@ -484,21 +563,21 @@ def scored_documents(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFra
     every bit costs about 1. A text is held whole by one task.
     """
     groups = kept(grouped(docs, group_bytes), "lm-groups")
-    size = groups.agg(F.sum("n_bytes")).first()[0] or 0
-    tasks = max(spark_cores(docs), -(-size // TASK_BYTES))
-    counts = kept(counted(groups.where(~F.col("held")).coalesce(tasks)), "lm-counts")
-    words = counts.where(F.col("kind") == WORD).agg(
-        F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    ends = groups.where(~F.col("held")).count()
-    total, kinds = words["n"] + ends, words["kinds"] + (ends > 0)
-    # A byte after a context of any one order: each coded byte once.
-    bytes_seen = counts.where(F.col("kind") == CONTEXT).groupBy("byte").agg(F.sum("n").alias("n"))
-    code = prefix_code({r["byte"]: r["n"] // ORDER for r in bytes_seen.collect()})
-    entry = F.struct("byte", "n")
-    tables = counts.where(F.col("kind") == WORD).select("kind", "key", F.array(entry).alias("counts")).union(
-        counts.where(F.col("kind") == CONTEXT).groupBy("kind", "key").agg(F.collect_list(entry).alias("counts")))
-    answers = requests(groups).join(tables, ["kind", "key"]).select("grp", "kind", "key", "counts")
-    scored = groups.drop("n_bytes").groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(scorer(code), SCORED)
+    train = groups.where(~F.col("held"))
+    size, ends = train.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    table = kept(counted(train.coalesce(max(cores, -(-size // TASK_BYTES)))), "lm-counts")
+    words, contexts = (table.where(F.col("kind") == k) for k in (WORD, CONTEXT))
+    kinds, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    total, kinds = total + ends, kinds + (ends > 0)
+    seen = contexts.select(F.explode("counts").alias("c")).groupBy("c.byte").agg(F.sum("c.n").alias("n"))
+    # Each coded byte was counted once for each order.
+    code = prefix_code({r["byte"]: r["n"] // ORDER for r in seen.collect()})
+    first = lambda df, n: df.orderBy(F.desc("total"), "key").limit(n).select("kind", "key", "counts")
+    hot = docs.sparkSession.sparkContext.broadcast(
+        answers_of(first(words, HOT_WORDS).union(first(contexts, HOT_CONTEXTS)).toArrow()))
+    answers = requests(groups, hot).join(table, ["kind", "key"]).select("grp", "kind", "key", "counts")
+    scored = groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(scorer(code, hot), SCORED)
     base = F.col("words_log10") + F.lit(float(np.log10(ends + 0.5))) - F.col("n_tokens") * F.lit(
         float(np.log10(total + 0.5 * (kinds + 1))))
     return scored.select(

@@ -14,7 +14,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from samples import ODD, prose
+from samples import ODD, WORDS, prose
 
 from corpusloom.llm import context_mixing as lm
 from corpusloom.llm import hard_negatives as hard
@@ -197,29 +197,30 @@ def plain_bits(text, counts, code):
             weights = lm.first_weights().astype(float) / lm.LOGIT
             cells = 1 / (1 + np.exp(-np.linspace(-lm.MAP_EDGE, lm.MAP_EDGE, lm.MAP_CELLS)))
         byte = s[at]
-        inside = set(range(256))
+        gate = max([0, *(k for k in counts if s[at - k:at] in counts[k])])
+        inside, moves, grown = set(range(256)), [], 0
         for d in range(code.bits[byte]):
             inside = {b for b in inside if d < code.bits[b] and (code.low[b, d], code.high[b, d]) == (
                 code.low[byte, d], code.high[byte, d])}
             ones = {b for b in inside if code.leaf[b] >= code.mid[byte, d]}
-            x, gate = [0] * lm.ORDER + [lm.LOGIT], 0
+            x = np.array([0] * lm.ORDER + [lm.LOGIT])
             for k in range(1, lm.ORDER + 1):
                 own = counts[k].get(s[at - k:at], {})
                 n1, n0 = (sum(n for b, n in own.items() if b in group) for group in (ones, inside - ones))
                 if n1 + n0:
-                    gate = k
                     x[k - 1] = int(np.clip(np.rint(math.log((n1 + lm.PRIOR) / (n0 + lm.PRIOR)) * lm.LOGIT), -127, 127))
-            z = float(np.clip(np.dot(x, weights[gate]), 0.01 - lm.MAP_EDGE, lm.MAP_EDGE - 0.01))
+            z = float(np.clip(np.dot(x, weights[gate]), -lm.MAP_EDGE, lm.MAP_EDGE))
             p = 1 / (1 + math.exp(-z))
-            place = (z + lm.MAP_EDGE) * (lm.MAP_CELLS - 1) / (2 * lm.MAP_EDGE)
-            c, part = int(place), place - int(place)
+            c = int((z + lm.MAP_EDGE) * (lm.MAP_CELLS - 1) / (2 * lm.MAP_EDGE) + 0.5)
             bit = byte in ones
-            refined = (p + cells[c] * (1 - part) + cells[c + 1] * part) / 2
+            refined = (p + cells[c]) / 2
             total -= math.log2(refined if bit else 1 - refined)
-            weights[gate] += (bit - p) * lm.RATE / lm.LOGIT * np.array(x)
-            cells[c] += lm.MAP_RATE * (1 - part) * (bit - cells[c])
-            cells[c + 1] += lm.MAP_RATE * part * (bit - cells[c + 1])
+            grown = grown + (bit - p) * lm.RATE / lm.LOGIT * x
+            moves.append((c, cells[c] + lm.MAP_RATE * (bit - cells[c])))
             inside = ones if bit else inside - ones
+        weights[gate] += grown
+        for c, value in moves:  # of two bits of a byte that move one cell, the later one counts
+            cells[c] = value
     return total
 
 
@@ -243,7 +244,10 @@ def plain_scores(rows):
         yield i, crc32(b"" if i is None else str(i).encode()) % 5 == 1, len(w), sum(c[x] > 0 for x in w), total, base, -bits * math.log10(2)
 
 
-def test_scores_equal_a_plain_model(make):
+@pytest.mark.parametrize("hot", [(lm.HOT_WORDS, lm.HOT_CONTEXTS), (5, 70)])
+def test_scores_equal_a_plain_model(make, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT_WORDS", hot[0])
+    monkeypatch.setattr(lm, "HOT_CONTEXTS", hot[1])
     rows = [(i, " ".join(prose(i, 3 + i % 50))) for i in range(40)] + [r for r in ODD if r[0] not in (5, 10)]
     rows += [(77, "MiXeD Case\tand\x0bblanks "), (78, "漢字 unseen ÄÖ"), (79, " ".join(prose(9, 500)))]
     key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[6], 2))
@@ -263,7 +267,7 @@ def test_scores_without_training_texts(make):
 
 
 def test_a_learned_model_beats_word_counts(make):
-    texts = [(i, " ".join(prose(i % 97, 80)[:40 + i % 40])) for i in range(300)]
+    texts = [(i, " ".join(WORDS[(i + k * (1 + i % 5)) % len(WORDS)] for k in range(90))) for i in range(200)]
     got = lm.scored_documents(make(texts)).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
