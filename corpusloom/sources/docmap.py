@@ -1,23 +1,30 @@
 """Doc maps: include and exclude rules over a file listing (A2-A4).
 
-Maps are written by hand, so their compiled rules come to the paths: all rules are
-one array, tested in the path's row. A rule's leading literal folders and the text
-behind its last wildcard are compared first; few rules are left for their pattern.
-Paths are neither exploded nor joined, so no folder can be a hot key.
+The rules of all maps are a trie of their path segments, which comes to the paths: a
+path walks it once and meets only rules that start as it does, however many maps there
+are. Paths are neither exploded nor joined, so no folder can be a hot key. A trie holds
+the rules of some maps, up to a size; beyond it maps are dealt over several walks.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import arrays, text
 from corpusloom.schemas import SUPPORTED_EXTENSIONS
+from corpusloom.shipping import ship_package
 from corpusloom.sources.files import extension
+from corpusloom.sources.rule_trie import DEEP, GLOB, LITERAL, RuleTrie
 
+# Characters of patterns whose trie goes to the tasks at once.
+TRIE_CHARS = 16 << 20
 VARIABLE = r"\$(?:\w+|\{[^}]*\})"
 
 
@@ -104,58 +111,70 @@ def _segment_regex(segment: Column) -> Column:
 
 
 def compile_patterns(rules: DataFrame) -> DataFrame:
-    """A3: adds ``anchor``, the leading literal folders, ``suffix``, the text behind
-    the last wildcard, and ``regex`` over whole paths.
+    """A3: adds ``segments``, an array of ``struct<kind,text>``, and ``whole``.
 
     Without wildcards the target is a file or a folder, and a folder means all
-    files beneath it. ``**`` stands for any number of folders; at the end of a
-    pattern it means all files beneath.
+    files beneath it (``whole``). ``**`` stands for any number of folders; at the
+    end of a pattern it means all files beneath. Segments before the first
+    wildcard are literal.
     """
     parts = F.filter(F.split("target", "/", -1), lambda s: s != "")
     wild = F.transform("_parts", lambda s: s.rlike(r"[*?]"))
     split = rules.withColumn("_parts", parts).withColumn("_wild", F.array_position(wild, True))
     literal = F.col("_wild") == 0
-    head = F.when(literal, F.col("_parts")).otherwise(F.slice("_parts", F.lit(1), F.greatest(F.col("_wild") - 1, F.lit(0)).cast("int")))
-    tail = F.slice("_parts", F.greatest(F.col("_wild"), F.lit(1)).cast("int"), F.size("_parts"))
-    ends_deep = F.element_at(tail, -1) == "**"
-    full = F.when(ends_deep, F.concat(tail, F.array(F.lit("*")))).otherwise(tail)
-    body = arrays.let(full, lambda segs: F.array_join(
-        F.transform(
-            segs,
-            lambda s, i: F.when(s == "**", F.lit("(?:[^/]+/)*")).otherwise(
-                F.concat(_segment_regex(s), F.when(i < F.size(segs) - 1, F.lit("/")).otherwise(F.lit("")))
-            ),
-        ),
-        "",
-    ))
-    anchor = F.concat(F.lit("/"), F.array_join(head, "/"))
-    lead = F.when(F.size(head) == 0, F.lit("/")).otherwise(F.concat(_quote(anchor), F.lit("/")))
-    regex = F.when(literal, F.concat(_quote(anchor), F.lit("(?:/.*)?"))).otherwise(F.concat(lead, body))
-    suffix = F.when(literal, F.lit("")).otherwise(
-        F.regexp_extract(F.col("target"), r"(?s)(?:\A|[*?\]/])([^*?\]/]*)\z", 1)
-    )
-    return split.withColumns({
-        "anchor": anchor,
-        "suffix": suffix,
-        "regex": F.concat(F.lit(r"(?s)\A"), regex, F.lit(r"\z")),
-    }).drop("_parts", "_wild")
+    full = F.when(F.element_at("_parts", -1) == "**", F.concat("_parts", F.array(F.lit("*")))).otherwise(F.col("_parts"))
 
+    def segment(s: Column, i: Column) -> Column:
+        deep, plain = s == "**", literal | (i < F.col("_wild") - 1) | ~s.rlike(r"[*?\[]")
+        return F.struct(
+            F.when(plain, LITERAL).when(deep, DEEP).otherwise(GLOB).alias("kind"),
+            F.when(plain, s).when(deep, "").otherwise(_segment_regex(s)).alias("text"))
 
-def with_matches(listing: DataFrame, compiled: DataFrame, owner: Iterable[str]) -> DataFrame:
-    """A3: each ``path`` with the ``owner`` columns of the rules that match it, in ``hits``.
+    return split.withColumn("segments", F.transform(full, segment)).withColumn("whole", literal).drop("_parts", "_wild")
 
-    Rules of one pattern are tested together.
-    """
-    test = compiled.groupBy("anchor", "suffix", "regex").agg(F.collect_set(F.struct(*owner)).alias("owners"))
-    rules = test.agg(F.collect_list(F.struct("anchor", "suffix", "regex", "owners"))).scalar()
 
-    def inside(path: Column, anchor: Column) -> Column:
-        return (anchor == "/") | (path == anchor) | F.startswith(path, F.concat(anchor, F.lit("/")))
+def walked(files: DataFrame, rules: DataFrame, keys: list[str], decided: bool) -> DataFrame:
+    """``path, rule`` rows beside the rules' ``keys``, or what a map decides.
 
-    near = F.filter("_rules", lambda r: F.endswith("path", r["suffix"]) & inside(F.col("path"), r["anchor"]))
-    hits = F.filter(near, lambda r: F.rlike("path", r["regex"]))
-    return listing.select("path", rules.alias("_rules")).select(
-        "path", F.flatten(F.transform(hits, lambda r: r["owners"])).alias("hits"))
+    ``decided``: a row for each map that includes the path and does not exclude it.
+    Otherwise a row for each rule that matches.
+    """
+    ship_package(files.sparkSession)
+    rows = rules.select(*keys, "segments", "whole", "is_exclude").toArrow().to_pylist()
+    owners = sorted({tuple(r[k] for k in keys) for r in rows}, key=repr)
+    number = {o: i for i, o in enumerate(owners)}
+    trie = RuleTrie()
+    mine, excludes = [], []
+    for i, r in enumerate(rows):
+        trie.add(i, [(s["kind"], s["text"]) for s in r["segments"]], r["whole"])
+        mine.append(number[tuple(r[k] for k in keys)])
+        excludes.append(r["is_exclude"])
+    shared = files.sparkSession.sparkContext.broadcast((trie, mine, excludes))
+
+    @F.arrow_udf("array<int>")
+    def owners_of(paths: pa.Array) -> pa.Array:
+        trie, mine, excludes = shared.value
+        out = []
+        for path in paths.to_pylist():
+            hits = trie.matches(path)
+            out.append(sorted({mine[i] for i in hits if not (decided and excludes[i])}
+                              - {mine[i] for i in hits if decided and excludes[i]}))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    named = files.sparkSession.createDataFrame(
+        [(i, *o) for i, o in enumerate(owners)],
+        T.StructType([T.StructField("owner", T.IntegerType()), *rules.select(*keys).schema.fields]))
+    hits = files.select("path", F.explode(owners_of("path")).alias("owner"))
+    return hits.join(F.broadcast(named), "owner").drop("owner")
+
+
+def with_matches(files: DataFrame, compiled: DataFrame, keys: list[str], maps: list[str], decided: bool) -> DataFrame:
+    """``walked``, with whole maps (``maps``: their key columns) dealt over as many tries as they need."""
+    size = compiled.agg(F.coalesce(F.sum(F.length("target")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // TRIE_CHARS))
+    share = F.pmod(F.xxhash64(*maps), F.lit(parts)) if maps else F.lit(0)
+    walks = [walked(files, compiled.where(share == i), keys, decided) for i in range(parts)]
+    return reduce(DataFrame.unionByName, walks)
 
 
 def resolve_doc_map(listing: DataFrame, compiled: DataFrame, *, keys: Iterable[str] = (),
@@ -163,16 +182,8 @@ def resolve_doc_map(listing: DataFrame, compiled: DataFrame, *, keys: Iterable[s
     """A3: included and not excluded files, each once; excludes always win."""
     keys = list(keys)
     files = listing.where(extension(F.col("path")).isin(sorted(extensions)))
-    # A map's own key, or the same one for all rules if there is one map.
-    key = lambda r: F.struct(*([r[k].alias(k) for k in keys] or [F.lit(1).alias("one")]))
-
-    def maps(hits: Column) -> Column:
-        given = lambda keep: F.transform(F.filter(hits, keep), key)
-        return F.array_except(given(lambda r: ~r["is_exclude"]), given(lambda r: r["is_exclude"]))
-
-    chosen = with_matches(files, compiled, [*keys, "is_exclude"]).select(
-        "path", F.explode(arrays.let(F.col("hits"), maps)).alias("map")
-    ).select(*[f"map.{k}" for k in keys], "path").distinct()
+    one = compiled if keys else compiled.withColumn("_map", F.lit(1))
+    chosen = with_matches(files, one, keys or ["_map"], keys, decided=True).select(*keys, "path").distinct()
     return chosen.orderBy(*keys, "path") if ordered else chosen
 
 
@@ -180,9 +191,7 @@ def unmatched_rules(listing: DataFrame, compiled: DataFrame, *, keys: Iterable[s
     """A4: include rules that match no file of any extension."""
     keys = list(keys)
     includes = compiled.where("not is_exclude")
-    seen = with_matches(listing, includes, [*keys, "line_no"]).select(
-        F.explode(arrays.rows_of("hits")).alias("r")
-    ).select(*[f"r.{k}" for k in keys], "r.line_no").distinct()
+    seen = with_matches(listing, includes, [*keys, "line_no"], keys, decided=False).select(*keys, "line_no").distinct()
     return includes.join(seen, [*keys, "line_no"], "left_anti").select(*keys, "line_no", "pattern")
 
 

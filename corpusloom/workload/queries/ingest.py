@@ -88,6 +88,21 @@ def a3(t: Tables) -> DataFrame:
     return docmap.resolve_doc_map(t.listing(), language_maps(t), keys=["lang"])
 
 
+@query("a3_map_of_each_text", needs=["listing"], sql="""
+    SELECT doc_id, path FROM documents d, (SELECT path, string_split(path, '/') AS p FROM listing
+      WHERE lower(regexp_extract(path, '\.[^./]+$')) IN ('.docx', '.markdown', '.md', '.pdf', '.text', '.txt')) l
+    WHERE (starts_with(path, '/share/' || d.lang || '/' || d.source || '/' || d.doc_id) OR starts_with(path, '/share/chat/' || d.doc_id || '/'))
+      AND NOT (len(p) = 5 AND p[4] = d.source AND p[5] LIKE d.doc_id || '_.%')""")
+def a3_each(t: Tables) -> DataFrame:
+    """As many maps as texts: prefixes, a folder of a conversation, and an exclude that starts with a wildcard."""
+    line = lambda *parts: F.concat(*[F.lit(x) if not x.isidentifier() else F.col(x) for x in parts])
+    maps = t.given("documents").select("doc_id", F.concat_ws(
+        "\n", line("lang", "/", "source", "/", "doc_id", "*"), line("chat/", "doc_id", "/"),
+        line("!*/", "source", "/", "doc_id", "?.*")).alias("value"))
+    rules = docmap.expand_patterns(docmap.parse_doc_map(maps, ["doc_id"]), "/share", home="/home/u")
+    return docmap.resolve_doc_map(t.listing(), docmap.compile_patterns(rules), keys=["doc_id"])
+
+
 @query("a4_unmatched_rules", needs=["listing"], extra=RULES_SQL, sql=r"""
     SELECT p.lang, p.pattern FROM (
       SELECT lang, lang || '/' || source || '/*.md' AS pattern, '^/share/' || lang || '/' || source || '/[^/]*\.md$' AS re FROM pairs

@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from corpusloom.operators import documents
 from corpusloom.schemas import TABLES
 from corpusloom.sources import docmap, files, ledger, rubric_json
 from corpusloom.sources import tables as store
+from corpusloom.sources.rule_trie import RuleTrie
 
 
 def make(root, names, body="x"):
@@ -62,6 +66,52 @@ def test_doc_map_rules(spark, tmp_path, rules, want, missed):
     assert chosen(spark, tmp_path, rules) == (want, missed)
 
 
+def test_rule_trie_equals_patterns_of_whole_paths():
+    """Random rules and paths, against one regular expression for each rule."""
+    rng = random.Random(4)
+    seg = lambda: rng.choice(["a", "b", "ab", "*", "a*", "?", "[!b]", "**"])
+    as_regex = {"*": "[^/]*", "a*": "a[^/]*", "?": "[^/]", "[!b]": "[^b/]"}
+    for _ in range(60):
+        rules = [[seg() for _ in range(rng.randrange(1, 5))] for _ in range(12)]
+        trie, tests = RuleTrie(), []
+        for i, rule in enumerate(rules):
+            whole = not any(c in s for s in rule for c in "*?[")
+            full = rule + ["*"] * (rule[-1] == "**")
+            trie.add(i, [("deep", "") if s == "**" else ("glob", as_regex[s]) if s in as_regex else ("literal", s)
+                         for s in full], whole)
+            body = "".join("(?:[^/]+/)*" if s == "**" else as_regex.get(s, s) + "/" * (k < len(full) - 1)
+                           for k, s in enumerate(full))
+            tests.append(re.compile("/" + body + "(?:/.*)?" * whole))
+        for _ in range(40):
+            path = "/" + "/".join(rng.choice(["a", "b", "ab", "ba", "c"]) for _ in range(rng.randrange(1, 6)))
+            assert trie.matches(path) == {i for i, t in enumerate(tests) if t.fullmatch(path)}, (path, rules)
+
+
+def test_walk_does_not_grow_with_the_number_of_maps():
+    def seconds(maps):
+        trie = RuleTrie()
+        for i in range(maps):
+            trie.add(2 * i, [("literal", "share"), ("literal", f"m{i}"), ("glob", r"[^/]*\.md")], False)
+            trie.add(2 * i + 1, [("literal", "share"), ("glob", "[^/]*"), ("literal", f"m{i}")], True)
+        start = time.process_time()
+        for i in range(4000):
+            assert trie.matches(f"/share/m{i % 1000}/x.md") == {i % 1000 * 2}
+        return time.process_time() - start
+
+    seconds(1000)
+    assert min(seconds(50_000) for _ in range(2)) < 5 * min(seconds(1000) for _ in range(2))
+
+
+def test_maps_dealt_over_several_walks(spark, monkeypatch):
+    monkeypatch.setattr(docmap, "TRIE_CHARS", 20)
+    maps = spark.createDataFrame([(i, f"d{i % 3}/*.md\n!d{i % 3}/{i}.md") for i in range(9)], "m int, value string")
+    rules = docmap.compile_patterns(docmap.expand_patterns(docmap.parse_doc_map(maps, ["m"]), "/s", home="/h"))
+    listing = spark.createDataFrame([(f"/s/d{i % 3}/{i}.md",) for i in range(9)], "path string")
+    got = {(r.m, r.path) for r in docmap.resolve_doc_map(listing, rules, keys=["m"]).collect()}
+    assert got == {(m, f"/s/d{i % 3}/{i}.md") for m in range(9) for i in range(9) if m % 3 == i % 3 and m != i}
+    assert docmap.unmatched_rules(listing.limit(0), rules, keys=["m"]).count() == 9
+
+
 def test_doc_map_variables_home_and_absolute(spark, tmp_path):
     make(tmp_path, ["v/x.pdf", "home/P/y.pdf", "abs/z.pdf"])
     rules = f"$ROOT/*.pdf\n${{ROOT}}x/*.pdf\n$UNSET/*.pdf\n~/P/*.pdf\n{tmp_path}/abs/*.pdf\n"
