@@ -1,8 +1,8 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 A text is its lower-cased words, each followed by a blank, then an end mark. Each byte
-is coded as the bits of a prefix code. The predictors of a bit know how often each
-byte followed the last 1 to ``ORDER`` bytes in the training texts: a context is a
+is coded as the bits of a prefix code, one for each byte before it. The predictors of a
+bit know how often each byte followed the last ``LEAST`` to ``ORDER`` bytes in the training texts: a context is a
 64-bit hash of these bytes, and its frozen counts give a logit for each bit. A mixer
 adds the predictors' logits with weights; the set of weights is gated by the longest
 context that is known. After each byte the weights move down the gradient of its bits'
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.tables import kept
 from corpusloom.llm.words import U, column_bytes, groups_of, hash_words, mix
 
-ORDER = 5
+LEAST, ORDER = 2, 5
 # Bytes of text in a group, in the arrays of one step, and until weights start anew.
 GROUP_BYTES = 16 << 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 3 << 19
 PIECE = 1024
 # The most frequent words and contexts, sent to all tasks: 16 bytes a word, 12 for each
 # byte after a context, of which there are 256 at most and a few as a rule.
@@ -46,7 +46,7 @@ NORMAL = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b
 # Counts that each bit has before any is seen; logits come in steps of 1 / LOGIT.
 PRIOR, LOGIT = 0.1, 16
 RATE, MAP_RATE, MAP_CELLS, MAP_EDGE = 0.0005, 0.02, 33, 12.0
-INPUTS = ORDER + 1
+INPUTS = ORDER + 1 - LEAST
 # What the rows of the count tables and requests are about.
 WORD, CONTEXT = 0, 1
 UNKNOWN = -128
@@ -55,11 +55,11 @@ SLICE = 1 << 16
 
 
 def first_weights() -> np.ndarray:
-    """Of each gate, 0 to ``ORDER``: the weights of all orders and of a constant input."""
+    """Of each gate, the longest known order or 0: the weights of all orders."""
     out = np.zeros((ORDER + 1, INPUTS), np.float32)
-    for gate in range(1, ORDER + 1):
-        for k in range(1, gate + 1):
-            out[gate, k - 1] = (0.8, 0.3, 0.05)[min(gate - k, 2)]
+    for gate in range(LEAST, ORDER + 1):
+        for k in range(LEAST, gate + 1):
+            out[gate, k - LEAST] = (0.8, 0.3, 0.05)[min(gate - k, 2)]
     return out
 
 
@@ -100,6 +100,11 @@ def pairs_of(codes: np.ndarray, order: int) -> np.ndarray:
     return codes & U(256 ** (order + 1) - 1)
 
 
+def last_two(codes: np.ndarray) -> np.ndarray:
+    """The byte before and the byte itself: which code, and which of its leaves."""
+    return (codes & U(0xFFFF)).astype(np.int64)
+
+
 def context_keys(pairs: np.ndarray, order: int) -> np.ndarray:
     """A 64-bit hash of a context, one-to-one on its order and bytes."""
     with np.errstate(over="ignore"):
@@ -155,7 +160,8 @@ COUNTS = "kind int, key long, byte int, n long"
 
 def counted(groups: DataFrame) -> DataFrame:
     """(text, n_bytes) → kind, key, counts, total: how often each word, and each byte after a
-    context, occurs. A word has one count, of byte 0.
+    context, occurs. A word has one count, of byte 0. ``byte`` holds the last byte of the
+    context, too, as 256 times its value.
     """
 
     def run(batches) -> Iterator:
@@ -187,9 +193,9 @@ def counted(groups: DataFrame) -> DataFrame:
                 if kind == WORD:
                     yield from rows(kind, key.view(np.int64), np.zeros(key.size), n)
                     continue
-                for order in range(1, ORDER + 1):
+                for order in range(LEAST, ORDER + 1):
                     pairs, sums = tally([pairs_of(key, order)], [n])
-                    yield from rows(kind, context_keys(pairs, order), pairs & U(255), sums)
+                    yield from rows(kind, context_keys(pairs, order), last_two(pairs), sums)
 
     # A task's rows are distinct, so they are dealt by key at once, which serves both groupings.
     dealt = groups.select("text", "n_bytes").mapInArrow(run, COUNTS).repartition("kind", "key")
@@ -198,10 +204,10 @@ def counted(groups: DataFrame) -> DataFrame:
 
 
 class Code(NamedTuple):
-    """A prefix code of all bytes. The leaves stand in a row; a node of the tree is a range of it.
+    """A prefix code of all bytes for each byte before. The leaves stand in a row; a node is a range of it.
 
-    Of each byte: how many bits, and for each of them the ``low``, ``mid`` and ``high``
-    of the node where it is decided. ``leaf`` is the byte's place.
+    Of each two bytes (``last_two``): how many bits the second one has, and for each of
+    them the ``low``, ``mid`` and ``high`` of the node where it is decided. ``leaf`` is its place.
     """
 
     bits: np.ndarray
@@ -211,15 +217,30 @@ class Code(NamedTuple):
     high: np.ndarray
 
 
-def prefix_code(counts: dict[int, int]) -> Code:
-    """Huffman's code; rare bytes count as 1 in 2**14 at least, which bounds its depth."""
-    least = 1 + (sum(counts.values()) >> 14)
-    heap = [(max(counts.get(b, 0), least), b, (b,)) for b in range(256)]
+def prefix_codes(counts: np.ndarray) -> Code:
+    """Huffman's code for each row of ``counts`` (byte before, byte).
+
+    Rare bytes count as 1 in 2**12 at least, which bounds its depth. Bytes that
+    nothing is known of follow a code of their own, of all counts together.
+    """
+    whole = counts.sum(0)
+    parts = [huffman(row if row.any() else whole) for row in counts]
+    depth = max(p[2].shape[2] for p in parts)
+    nodes = np.zeros((3, 256 * 256, depth), np.int16)
+    for i, (_, _, own) in enumerate(parts):
+        nodes[:, i * 256:(i + 1) * 256, :own.shape[2]] = own
+    return Code(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), *nodes)
+
+
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits and leaf of each byte, and its nodes (low, mid, high)."""
+    weight = np.maximum(counts, 1 + (int(counts.sum()) >> 12)).tolist()
+    heap = [(weight[b], b, (b,)) for b in range(256)]
     heapq.heapify(heap)
     while len(heap) > 1:
         (n, i, a), (m, _, b) = heapq.heappop(heap), heapq.heappop(heap)
         heapq.heappush(heap, (n + m, i, (a, b)))
-    paths: dict[int, list[tuple[int, int, int]]] = {}
+    paths: dict[int, list[list[int]]] = {}
     leaf = np.zeros(256, np.int64)
 
     def walk(node, start, path) -> int:
@@ -233,10 +254,10 @@ def prefix_code(counts: dict[int, int]) -> Code:
 
     walk(heap[0][2], 0, [])
     bits = np.array([len(paths[b]) for b in range(256)])
-    parts = np.zeros((3, 256, bits.max()), np.int64)
+    nodes = np.zeros((3, 256, bits.max()), np.int16)
     for b, path in paths.items():
-        parts[:, b, :len(path)] = np.array(path).T
-    return Code(bits, leaf, *parts)
+        nodes[:, b, :len(path)] = np.array(path).T
+    return bits, leaf, nodes
 
 
 def order_logits(pairs: np.ndarray, order: int, table: dict, code: Code) -> np.ndarray:
@@ -248,7 +269,7 @@ def order_logits(pairs: np.ndarray, order: int, table: dict, code: Code) -> np.n
     at = np.searchsorted(table["key"], context_keys(pairs, order))
     at[at == table["key"].size] = 0
     known = np.flatnonzero(table["key"][at] == context_keys(pairs, order)) if table["key"].size else at[:0]
-    entry, byte = at[known] * 256, (pairs[known] & U(255)).astype(np.int64)
+    entry, byte = at[known] * 256, last_two(pairs[known])
 
     def before(place):
         return table["sums"][np.searchsorted(table["cell"], place)]
@@ -266,15 +287,15 @@ def order_logits(pairs: np.ndarray, order: int, table: dict, code: Code) -> np.n
 
 
 def inputs_of(codes: np.ndarray, table: dict, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """Eight small numbers of each bit of distinct ``codes``: all orders' logits, the constant
-    input, the gate, the bit. They come as one 64-bit number each, with the first of each code.
+    """Eight small numbers of each bit of distinct ``codes``: all orders' logits, the gate, the
+    bit. They come as one 64-bit number each, with the first of each code.
     """
-    byte = (codes & U(255)).astype(np.int64)
+    byte = last_two(codes)
     n = code.bits[byte]
     first = np.cumsum(n) - n
     out = np.zeros((n.sum(), 8), np.int8)
     logits, at = [], []
-    for order in range(1, ORDER + 1):
+    for order in range(LEAST, ORDER + 1):
         pairs = distinct(pairs_of(codes, order))
         at.append(places(pairs, pairs_of(codes, order)))
         logits.append(order_logits(pairs, order, table, code))
@@ -284,14 +305,13 @@ def inputs_of(codes: np.ndarray, table: dict, code: Code) -> tuple[np.ndarray, n
         base = first[a]
         d = np.arange(row.size) - (first[part] - base)[row]
         own = out[base:base + row.size]
-        for order in range(ORDER):
-            logit = logits[order][at[order][part][row], d]
+        for i in range(INPUTS):
+            logit = logits[i][at[i][part][row], d]
             seen = logit != UNKNOWN
-            own[:, order] = np.where(seen, logit, 0)
-            own[seen, 6] = order + 1
+            own[:, i] = np.where(seen, logit, 0)
+            own[seen, 6] = LEAST + i
         own[:, 6] = own[first[part] - base, 6][row]
         own[:, 7] = code.leaf[byte[part]][row] >= code.mid[byte[part]][row, d]
-    out[:, 5] = LOGIT
     return out.view(np.int64).ravel(), first
 
 
@@ -361,7 +381,7 @@ def side_by_side(codes: np.ndarray, starts: np.ndarray, length: np.ndarray, know
     active = np.searchsorted(-length, -np.arange(length[0]), side="left")
     step = np.repeat(np.arange(active.size), active)
     piece = np.arange(step.size) - np.repeat(np.cumsum(active) - active, active)
-    n = code.bits[(codes[starts[piece] + step] & U(255)).astype(np.int64)]
+    n = code.bits[last_two(codes[starts[piece] + step])]
     # Bytes of most bits first within a step: the three numbers are sorted as one.
     depth = code.low.shape[1]
     key = np.sort(((step * (depth + 1) + depth - n) << 32) | piece)
@@ -441,7 +461,7 @@ def answers_of(table) -> Answers:
     offsets = np.asarray(lists.offsets).astype(np.int64)
     byte, n = (np.asarray(lists.values.field(c))[offsets[0]:offsets[-1]] for c in ("byte", "n"))
     return Answers(table["kind"].to_numpy().astype(np.int8), table["key"].to_numpy(),
-                   np.diff(offsets).astype(np.int32), byte.astype(np.uint8), n)
+                   np.diff(offsets).astype(np.int32), byte.astype(np.uint16), n)
 
 
 def lookup_tables(parts: list[Answers], code: Code) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -483,7 +503,7 @@ def requests(groups: DataFrame, hot) -> DataFrame:
                 if kind == WORD:
                     asked = [own.view(np.int64)]
                 else:
-                    asked = [context_keys(distinct(pairs_of(own, k) >> U(8)) << U(8), k) for k in range(1, ORDER + 1)]
+                    asked = [context_keys(distinct(pairs_of(own, k) >> U(8)) << U(8), k) for k in range(LEAST, ORDER + 1)]
                 common = np.sort(hot.value.key[hot.value.kind == kind])
                 for key in asked:
                     key = np.setdiff1d(key, common, assume_unique=True)
@@ -517,12 +537,13 @@ SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, words_log
           "bits double")
 
 
-def scorer(code: Code, hot):
-    """A function of a group's documents and the answers to its requests, beside the broadcast ``hot``."""
+def scorer(codes, hot):
+    """A function of a group's documents and the answers to its requests, beside what was broadcast."""
 
     def score(docs, answers):
         import pyarrow as pa
 
+        code = codes.value
         table, word_keys, word_n = lookup_tables([hot.value, answers_of(answers)], code)
         texts = unpacked(docs["text"], docs["n_bytes"])
         own_codes = []
@@ -572,12 +593,16 @@ def scored_documents(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFra
     total, kinds = total + ends, kinds + (ends > 0)
     seen = contexts.select(F.explode("counts").alias("c")).groupBy("c.byte").agg(F.sum("c.n").alias("n"))
     # Each coded byte was counted once for each order.
-    code = prefix_code({r["byte"]: r["n"] // ORDER for r in seen.collect()})
+    pairs = np.zeros(256 * 256, np.int64)
+    for r in seen.collect():
+        pairs[r["byte"]] = r["n"] // INPUTS
+    code = prefix_codes(pairs.reshape(256, 256))
     first = lambda df, n: df.orderBy(F.desc("total"), "key").limit(n).select("kind", "key", "counts")
     hot = docs.sparkSession.sparkContext.broadcast(
         answers_of(first(words, HOT_WORDS).union(first(contexts, HOT_CONTEXTS)).toArrow()))
+    codes = docs.sparkSession.sparkContext.broadcast(code)
     answers = requests(groups, hot).join(table, ["kind", "key"]).select("grp", "kind", "key", "counts")
-    scored = groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(scorer(code, hot), SCORED)
+    scored = groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(scorer(codes, hot), SCORED)
     base = F.col("words_log10") + F.lit(float(np.log10(ends + 0.5))) - F.col("n_tokens") * F.lit(
         float(np.log10(total + 0.5 * (kinds + 1))))
     return scored.select(
