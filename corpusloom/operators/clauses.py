@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from corpusloom.functions import arrays, search, text
 from corpusloom.functions.text import TokenCounter, estimate_counts
 from corpusloom.operators.structural_chunks import PARAGRAPH_BREAK, pack_starts
 from corpusloom.operators.structure import section_at
+from corpusloom.session import written
 from corpusloom.shipping import ship_package
 
 # Fixed value: the request text sent for each window.
@@ -131,9 +133,13 @@ def clause_chunks(
     *,
     counter: TokenCounter = estimate_counts,
 ) -> DataFrame:
-    """Chunks from replies ``(doc_id, w, response)`` to the windows of C9."""
-    joined = wins.join(responses.select("doc_id", "w", "response"), ["doc_id", "w"])
-    spans = joined.withColumn("_clauses", parse_clauses(F.col("response"))).withColumn(
+    """Chunks from replies ``(doc_id, w, response)`` to the windows of C9.
+
+    Replies that are parsed already have ``clauses`` instead of ``response``.
+    """
+    parsed = F.col("clauses") if "clauses" in responses.columns else parse_clauses(F.col("response"))
+    joined = wins.join(responses.select("doc_id", "w", parsed.alias("_clauses")), ["doc_id", "w"])
+    spans = joined.withColumn(
         "_spans", locate_clauses(F.col("text"), F.coalesce("_clauses", arrays.empty_array("string")))
     ).select(
         "doc_id", "w", F.col("char_start").alias("_base"),
@@ -155,8 +161,23 @@ def clause_chunks(
     )
 
 
-def clause_rejects(responses: DataFrame) -> DataFrame:
-    """C11: replies that hold no JSON array; their windows yield no chunks."""
-    return responses.where(parse_clauses(F.col("response")).isNull()).withColumn(
-        "reason", F.lit("no JSON array in the reply")
+class Replies(NamedTuple):
+    parsed: DataFrame   # doc_id, w, clauses
+    rejects: DataFrame  # doc_id, w, response, reason
+
+
+def split_replies(responses: DataFrame) -> Replies:
+    """C11: replies parsed once; those that hold no JSON array go apart, with the reason.
+
+    One job writes both kinds, in folders of their own; a reply that is rejected
+    keeps its text, an accepted one only its clauses. Rejected windows yield no chunks.
+    """
+    clauses = parse_clauses(F.col("response"))
+    judged = responses.select("doc_id", "w", "response", clauses.alias("clauses")).withColumn(
+        "rejected", F.col("clauses").isNull()
+    ).withColumn("response", F.when(F.col("rejected"), F.col("response")))
+    stored = written(judged, "replies", partition_by="rejected")
+    return Replies(
+        stored.where("not rejected").select("doc_id", "w", "clauses"),
+        stored.where("rejected").select("doc_id", "w", "response", F.lit("no JSON array in the reply").alias("reason")),
     )

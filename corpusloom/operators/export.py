@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -211,11 +212,14 @@ def join_sidecar(records: DataFrame, sidecar: DataFrame) -> DataFrame:
 def merge_exports(exports: Iterable[DataFrame]) -> DataFrame:
     """Records of several projects; a record exported twice counts once.
 
-    A record is a label: a chunk, the rubric version and the label's id name it.
+    A record is a label: a chunk, the rubric version and the label's id name it. Of
+    its versions the one reviewed last counts; where reviews do not tell them apart,
+    the one of the later export in the list; in one export, the greater content.
     """
-    frames = list(exports)
-    merged = frames[0]
-    for frame in frames[1:]:
-        merged = merged.unionByName(frame, allowMissingColumns=True)
-    named = merged.withColumn("_version", F.col("label.rubric_version"))
-    return named.dropDuplicates(["chunk_uuid", "_version", "label_id"]).drop("_version")
+    frames = [frame.withColumn("_export", F.lit(i)) for i, frame in enumerate(exports)]
+    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    columns = [c for c in merged.columns if c != "_export"]
+    record = F.struct(*columns)
+    age = F.struct(F.col("label.human_review.reviewed_at"), "_export", F.xxhash64(F.to_json(record)))
+    return merged.groupBy("chunk_uuid", F.col("label.rubric_version").alias("_version"), "label_id").agg(
+        F.max_by(record, age).alias("_record")).select("_record.*")

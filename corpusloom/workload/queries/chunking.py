@@ -349,6 +349,17 @@ def c11(t: Tables) -> DataFrame:
     return parsed.select("doc_id", "w", F.size("c").alias("n_clauses"), sha(joined("c")).alias("clauses_hash"))
 
 
+@query("c11_rejected_replies", needs=["md"], extra=CLAUSES, sql="""
+    SELECT doc_id, w, CASE WHEN (doc_id + w) % 4 <> 0 THEN len(cl) END AS n_clauses,
+           CASE WHEN (doc_id + w) % 4 = 0 THEN 'no JSON array in the reply' END AS reason FROM parsed""")
+def c11_rejects(t: Tables) -> DataFrame:
+    """Every fourth window is answered in prose; good and rejected replies come from one parse."""
+    prose = F.when((F.col("doc_id") + F.col("w")) % 4 == 0, F.concat(F.lit("Sorry, not "), "w", F.lit(".")))
+    found = clauses.split_replies(clause_responses(t).withColumn("response", F.coalesce(prose, "response")))
+    return found.parsed.select("doc_id", "w", F.size("clauses").alias("n_clauses"), F.lit(None).cast("string").alias("reason")).unionByName(
+        found.rejects.select("doc_id", "w", F.lit(None).cast("int").alias("n_clauses"), "reason"))
+
+
 LOCATED = CLAUSES + [
     ("cl", "SELECT doc_id, w, unnest(cl) AS clause, generate_subscripts(cl, 1) AS i FROM parsed"),
     ("walk", """SELECT doc_id, w, 0::BIGINT AS i, 0::BIGINT AS cursor, NULL::BIGINT AS pos0, ''::VARCHAR AS clause FROM parsed

@@ -307,6 +307,17 @@ def g7_merged(t: Tables) -> DataFrame:
     return flat_records(export.merge_exports([one, other, one]))
 
 
+@query("g7_merged_versions", needs=RECORD_NEEDS, sql=f"""
+    SELECT {RECORD_COLUMNS.replace("l.rationale", "CASE WHEN r.action IS NULL THEN 'newer' ELSE l.rationale END AS rationale")} {RECORD_JOIN}""")
+def g7_versions(t: Tables) -> DataFrame:
+    """A later export that knows no review: reviewed records win over it, others are replaced by it."""
+    one = records(t)
+    review = one.schema["label"].dataType["human_review"].dataType
+    later = one.withColumn("label", F.col("label").withField("rationale", F.lit("newer")).withField(
+        "human_review", F.lit(None).cast(review)))
+    return flat_records(export.merge_exports([one, later, one.limit(0)]))
+
+
 @query("a12_exported_corpus", needs=RECORD_NEEDS, sql=f"SELECT {RECORD_COLUMNS} {RECORD_JOIN}")
 def a12(t: Tables) -> DataFrame:
     """Written as JSON lines to the shared folder, and read back."""

@@ -27,7 +27,7 @@ def e1(t: Tables) -> DataFrame:
 
 
 DECISIONS = [("dec", """
-    SELECT event_id AS review_id, user_id * 1000000 + event_id % 50 AS label_id,
+    SELECT event_id AS review_id, event_id % (SELECT count(*) FROM documents) * 1000000 + 1 + event_id * 7 % 40 AS label_id,
       CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'click' THEN 'correct' WHEN 'view' THEN 'skip' ELSE 'flag' END AS action,
       CASE WHEN value >= 20 THEN ['quality'] ELSE []::VARCHAR[] END AS chosen FROM events"""),
     ("judged", """SELECT d.*, l.predicted_categories AS p, CASE WHEN l.label_id IS NULL THEN 'label not found'
@@ -36,11 +36,12 @@ DECISIONS = [("dec", """
 
 
 def decisions(t: Tables) -> DataFrame:
-    """Events as decisions, some on labels that do not exist or without a choice."""
+    """Events as decisions on lines of all texts, some on labels that do not exist or without a choice."""
     kind = F.col("event_type")
+    n = t.given("documents").agg(F.count("*")).scalar()
     return t.given("events").select(
         F.col("event_id").alias("review_id"),
-        (F.col("user_id") * 1_000_000 + F.col("event_id") % 50).alias("label_id"),
+        (F.col("event_id") % n * 1_000_000 + 1 + F.col("event_id") * 7 % 40).alias("label_id"),
         F.when(kind == "purchase", "accept").when(kind == "click", "correct").when(kind == "view", "skip").otherwise("flag").alias("action"),
         F.when(F.col("value") >= 20, F.array(F.lit("quality"))).alias("chosen"),
     )

@@ -197,6 +197,18 @@ def test_many_missing_clauses_take_linear_time():
     assert large < 8 * small
 
 
+def test_replies_are_parsed_once(spark):
+    df = spark.createDataFrame([(1, 0, '["a b", "c"]'), (1, 1, "no list"), (2, 0, None)], "doc_id long, w int, response string")
+    good, bad = clauses.split_replies(df)
+    assert [tuple(r) for r in good.collect()] == [(1, 0, ["a b", "c"])]
+    assert sorted((r.doc_id, r.w, r.response) for r in bad.collect()) == [(1, 1, "no list"), (2, 0, None)]
+    for part in (good, bad):
+        assert "parse_json" not in part._jdf.queryExecution().toString()
+    wins = spark.createDataFrame([(1, 0, 10, "x a b c")], "doc_id long, w int, char_start int, text string")
+    docs = structure.with_structure(spark.createDataFrame([(1, "a.md", "md", "z" * 20)], "doc_id long, filename string, format string, full_text string"))
+    assert [(r.text, r.char_start) for r in clauses.clause_chunks(wins, good, docs).collect()] == [("a b", 12), ("c", 16)]
+
+
 def test_folds_across_blocks(spark):
     n = arrays.BLOCK * 3 + 17
     sizes = [(i * 37) % 11 + 1 for i in range(n)]
