@@ -25,7 +25,7 @@ def _distinct(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = kept(both.groupBy("u").agg(F.min("v").alias("m")), "least")
     return _distinct(both.where("v > u").join(least, "u").select(
         F.col("v").alias("u"), F.least("u", "m").alias("v")))
 
@@ -33,7 +33,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = kept(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _distinct(moved.union(least.select("u", F.col("m").alias("v"))))
 
@@ -42,8 +42,9 @@ def components(links: DataFrame) -> DataFrame:
     """(u, v) links → (node, component): the smallest node that each node reaches.
 
     Large-star and small-star steps alternate until the links no longer change,
-    which takes about the logarithm of the longest path. Nodes are aggregated
-    before they are joined back, so a hub is a skewed join side that can be split.
+    which takes about the logarithm of the longest path. The aggregated nodes are
+    written before they are joined back: both sides of the join are then plain
+    shuffles of written rows, so Spark can split a hub over several tasks.
     """
     edges = kept(_distinct(links.select(F.col(links.columns[0]).alias("u"),
                                         F.col(links.columns[1]).alias("v"))), "links")
@@ -55,7 +56,7 @@ def components(links: DataFrame) -> DataFrame:
         state = now
         if now[0] == 0:
             break
-        edges = kept(_small_star(_large_star(edges)), "links")
+        edges = kept(_small_star(kept(_large_star(edges), "links")), "links")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 

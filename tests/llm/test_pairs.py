@@ -70,6 +70,27 @@ def test_an_id_with_two_texts_joins_their_groups(make):
     assert {r.doc_id: r.component_id for r in got} == {3: 3, 5: 3, 9: 3, 2: 2}
 
 
+def test_a_hub_is_split_over_tasks(spark, monkeypatch, request):
+    """Both sides of the join back to a hub are plain shuffles of written rows."""
+    request.getfixturevalue("make")
+    for key, value in {"adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "adaptive.skewJoin.skewedPartitionFactor": "1.01",
+                       "adaptive.advisoryPartitionSizeInBytes": "4k", "autoBroadcastJoinThreshold": "-1",
+                       "adaptive.coalescePartitions.enabled": "false"}.items():
+        old = spark.conf.get(f"spark.sql.{key}")
+        request.addfinalizer(lambda key=key, old=old: spark.conf.set(f"spark.sql.{key}", old))
+        spark.conf.set(f"spark.sql.{key}", value)
+    links = tables.kept(spark.range(1, 60_000, 1, 6).selectExpr("0L AS u", "id AS v"), "hub")
+    for step in (tables._large_star, tables._small_star):
+        df = step(links if step is tables._large_star else links.selectExpr("v AS u", "u AS v"))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" in plan
+        if step is tables._large_star:
+            assert "skew=true" in plan
+    found = tables.components(links)
+    assert found.count() == 59_999 and found.where("component <> 0").count() == 0
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     both = rng.integers(0, 2**63, 300).astype(np.uint64)
