@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.tables import kept
 from corpusloom.llm.words import U, constants, groups_of, hash_words
 
 LENGTH = 2048
@@ -23,8 +24,8 @@ END = 1
 DIMENSIONS = 3
 BITS = 10
 BUCKETS = 256
-# Text in one range: some thousand sequences, of which only the last is padded.
-RANGE_BYTES = 16 << 20
+# Text in one range: many thousand sequences, of which only the last is padded.
+RANGE_BYTES = 64 << 20
 _ENCODERS: dict[str, object] = {}
 
 
@@ -149,13 +150,14 @@ def packed_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH,
     alone. A range's documents follow each other without a gap and are cut where a
     sequence is full, so only the last sequence of a range is short. Repeated rows
     are packed each; ties on the curve are ordered by id and text.
-    Sequence ids are unique: the range's number in the upper 32 bits.
+    Sequence ids are unique: the range's number in the upper 32 bits. The number of
+    ranges follows the bytes of text alone. Keys are written beside the texts, since
+    the bounds of the ranges are found in a pass of their own.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(-(-total // range_bytes), max(200, shuffle)))
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "key", curve_key(F.col("text")))
+    keyed = kept(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
+        "key", curve_key(F.col("text"))), "curve-keys")
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, -(-total // range_bytes))
     in_order = keyed.repartitionByRange(ranges, "key", "doc_id").sortWithinPartitions(
         "key", "doc_id", F.crc32(F.col("text").cast("binary")))
 

@@ -57,6 +57,13 @@ def test_packed_sequences_hold_every_token_once(make, corpus):
     assert packing.packed_documents(make([]), TOKENIZER).count() == 0
 
 
+def test_ranges_follow_the_bytes_alone(spark, make, corpus):
+    """More ranges than shuffle partitions, or any fixed number, if the bytes ask for them."""
+    total = sum(len(t.encode()) for _, t in corpus)
+    got = packing.packed_documents(make(corpus), TOKENIZER, length=16, range_bytes=100)
+    assert total > 30_000 and got.rdd.getNumPartitions() == -(-total // 100)
+
+
 def test_hilbert_neighbours_touch():
     grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = packing.hilbert_keys(grid, bits=3)
