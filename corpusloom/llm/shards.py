@@ -1,20 +1,27 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
 Every record belongs to one of ``slots`` virtual slots for good: a hash of its
-key decides. Only the map from slots to shards changes. It is a small table
+key decides. Only the map from slots to shards changes. It is a small stored table
 (version, slot, shard) of at most ``slots`` rows a version, whatever the size of
-the data; an edit moves whole slots and leaves all others where they are.
+the data; an edit appends a version that moves whole slots and leaves all others
+where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import let
+from corpusloom.llm.tables import kept
+from corpusloom.session import shared_folder
 
 SLOTS = 4096
 SHARDS = 8
+# A slot of more than so many times the mean load is dealt anew by row.
+HEAVY = 4
+MAP = "version int, slot int, shard int"
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
@@ -94,19 +101,64 @@ def positions(records: DataFrame, mapping: DataFrame, loads: DataFrame, order: l
         "slot", (F.col("base") + F.col("rank") - 1).cast("long")).drop("base", "rank")
 
 
-def sharded_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def stored_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version of the map below ``path``; none if there is no map yet."""
+    try:
+        every = spark.read.schema(MAP).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return every.where(F.col("version") == every.agg(F.max("version")).scalar())
+
+
+def store_map(mapping: DataFrame, path: str) -> None:
+    """Appends one version; those before it stay."""
+    mapping.select(F.col("version").cast("int"), F.col("slot").cast("int"), F.col("shard").cast("int")).coalesce(
+        1).write.mode("append").parquet(path)
+
+
+def levelled(records: DataFrame, slots: int) -> DataFrame:
+    """``records`` (vslot, size, row), those of heavy slots dealt by their row number.
+
+    A key that very many rows share would fill one slot, which no map can divide.
+    """
+    loads = slot_loads(records)
+    mean = loads.agg(F.sum("bytes") / slots).scalar()
+    heavy = loads.where(F.col("bytes") > HEAVY * mean).select(F.col("slot").alias("vslot"), F.lit(True).alias("heavy"))
+    # At most as many rows as there are slots.
+    return records.join(F.broadcast(heavy), "vslot", "left").withColumn(
+        "vslot", F.when(F.col("heavy"), F.pmod(F.xxhash64("vslot", "row"), F.lit(slots)).cast("int")).otherwise(
+            F.col("vslot"))).drop("heavy", "row")
+
+
+def sharded_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS,
+                      map_path: str | None = None) -> DataFrame:
     """Documents → (doc_id, size, text_crc32, vslot, map_version, shard, slot).
 
-    The size is the text's UTF-8 bytes plus one; a missing text has none. Empty
-    tables give no rows, repeated rows keep a place each, and a null id is a key
-    like any other. All rows of one id share a virtual slot, so one id that holds
-    most of the data stays on one shard; any other skew is levelled by bytes.
+    The size is the text's UTF-8 bytes plus one; a missing text has none. The
+    shards' sizes come out near equal. A record's key is its id and text. Rows of
+    one key share a slot, unless they are so many that the slot is ``HEAVY`` times
+    the mean: then each row has a slot by its number in the input. Empty tables
+    give no rows, and repeated rows keep a place each.
+
+    The map is read from ``map_path`` and its next version appended there; without
+    a path, a new map is stored in the shared folder.
     """
-    records = docs.select(
+    spark = docs.sparkSession
+    path = map_path or shared_folder(spark, "shard-map")
+    records = kept(docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        slot_of(F.col("doc_id"), slots).alias("vslot"))
-    loads = slot_loads(records)
-    mapping = rebalanced(first_map(loads, shards), loads, shards)
+        F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(slots)).cast("int").alias("vslot"),
+        F.monotonically_increasing_id().alias("row")), "shard-records")
+    records = levelled(records, slots)
+    loads = kept(slot_loads(records), "slot-loads")
+    current = stored_map(spark, path)
+    if current is None:
+        store_map(first_map(loads, shards), path)
+        current = stored_map(spark, path)
+    mapping = kept(rebalanced(current, loads, shards), "slot-map")
+    store_map(mapping, path)
     return positions(records, mapping, loads, ["doc_id", "size", "text_crc32"])

@@ -99,3 +99,38 @@ def test_a_rebalance_moves_little_and_growth_fills_the_new_shard(spark):
     assert max(total) - min(total) < 150
     shrunk = {r.slot: r.shard for r in shards.rebalanced(first, loads, 7).collect()}
     assert set(shrunk.values()) == set(range(7))
+
+
+def spread(rows):
+    total = {}
+    for r in rows:
+        total[r.shard] = total.get(r.shard, 0) + r.size
+    return total
+
+
+def test_shards_are_even_with_missing_and_repeated_ids(make):
+    text = "kan lor mist tul"
+    rows = [(i, f"{text} {i:05d}") for i in range(1500)] + [(None, text + " 00000")] * 1500 + [(7, text + " 00001")] * 1500
+    got = shards.sharded_documents(make(rows)).collect()
+    assert len(got) == len(rows)
+    sizes = spread(got)
+    assert len(sizes) == 8 and max(sizes.values()) < 1.1 * min(sizes.values())
+    for shard in range(8):
+        own = sorted(r.slot for r in got if r.shard == shard)
+        assert own == list(range(len(own)))
+
+
+def test_the_map_is_stored_and_edited(spark, make, tmp_path):
+    path = str(tmp_path / "map")
+    rows = [(i, f"kan lor {i}" * (1 + i % 7)) for i in range(400)]
+    first = shards.sharded_documents(make(rows), slots=64, map_path=path).collect()
+    assert {r.map_version for r in first} == {2}
+    again = shards.sharded_documents(make(rows), slots=64, map_path=path).collect()
+    assert {r.map_version for r in again} == {3}
+    assert {(r.doc_id, r.shard) for r in again} == {(r.doc_id, r.shard) for r in first}
+    grown = shards.sharded_documents(make(rows + [(i, "word " * 40) for i in range(1000, 1060)]), slots=64, map_path=path).collect()
+    before, after = ({r.vslot: r.shard for r in x} for x in (again, grown))
+    assert sum(after[s] == before[s] for s in before) > len(before) / 2
+    stored = spark.read.parquet(path)
+    assert sorted(r.version for r in stored.select("version").distinct().collect()) == [1, 2, 3, 4]
+    assert stored.groupBy("version", "slot").count().where("count > 1").count() == 0
