@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.tables import kept
 from corpusloom.llm.words import U, column_bytes, groups_of, hash_words, mix
 
-LEAST, ORDER = 2, 5
+LEAST, ORDER = 3, 5
 # Bytes of text in a group, in the arrays of one step, and until weights start anew.
 GROUP_BYTES = 16 << 20
 CHUNK_BYTES = 3 << 19
@@ -269,6 +269,8 @@ def order_logits(pairs: np.ndarray, order: int, table: dict, code: Code) -> np.n
     at = np.searchsorted(table["key"], context_keys(pairs, order))
     at[at == table["key"].size] = 0
     known = np.flatnonzero(table["key"][at] == context_keys(pairs, order)) if table["key"].size else at[:0]
+    # In the order of the table: neighbouring look-ups then read neighbouring counts.
+    known = known[np.argsort(at[known])]
     entry, byte = at[known] * 256, last_two(pairs[known])
 
     def before(place):
