@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.functions.vectors import udf_embedder
-from corpusloom.operators import labels, requests, responses, rubrics, scoring
+from corpusloom.operators import labels, requests, responses, rubrics, scoring, vector_store
 from corpusloom.schemas import DNB
 from corpusloom.workload.queries.chunking import sql_text
 from corpusloom.workload.queries.ingest import joined, sha
@@ -167,6 +168,22 @@ def d9(t: Tables) -> DataFrame:
     )
 
 
+@query("d9_vectors_by_content", needs=["chunks"], sql=f"""
+    SELECT chunk_id, list_sum(v) AS total, NOT known AS added
+    FROM (SELECT chunk_id, {letters('text')} AS v, sha256(text) IN (SELECT sha256(text) FROM chunks WHERE lang IN ('en', 'fr')) AS known FROM chunks)""")
+def d9_by_content(t: Tables) -> DataFrame:
+    """English and French texts are in the store; of the others only texts it has not are embedded, once each."""
+    embedder = udf_embedder(letter_encoder)
+    old = t.chunks().where(F.element_at("section_path", 2).isin("en", "fr"))
+    store = vector_store.embed_by_content(old, vector_store.empty_store(t.spark), embedder, "letters").added
+    found = vector_store.embed_by_content(t.chunks(), store, embedder, "letters")
+    new = found.added.select("text_hash", F.lit(True).alias("added"))
+    hashes = t.chunks().select("chunk_id", text.text_hash(F.col("text")).alias("text_hash")).join(new, "text_hash", "left")
+    return found.chunk_embeddings.join(hashes, "chunk_id").select(
+        "chunk_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total"),
+        F.coalesce("added", F.lit(False)).alias("added"))
+
+
 CENTROIDS = [
     ("comp", """SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings"""),
     ("cm", "SELECT label, i, avg(x::DOUBLE) AS x FROM comp GROUP BY label, i"),

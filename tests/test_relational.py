@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.identity import uuid5
+from corpusloom.functions.vectors import udf_embedder
 from corpusloom.operators import (
     analytics, edits, export, labels, lineage, positions, requests, responses, reviews, rubrics, runs, scoring,
+    vector_store,
 )
 from corpusloom.schemas import DNB
 from corpusloom.sources import tables as store
@@ -282,3 +284,31 @@ def test_uuid5(spark):
     ns = str(uuid.uuid4())
     df = spark.range(200).select("id", uuid5(ns, F.col("id").cast("string")).alias("u"))
     assert all(r.u == str(uuid.uuid5(uuid.UUID(ns), str(r.id))) for r in df.collect())
+
+
+def test_texts_seen_before_are_not_embedded_again(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def make():
+        def encode(texts):
+            with open(log, "a") as f:
+                f.writelines(t + "\n" for t in texts)
+            return [[float(len(t))] for t in texts]
+        return encode
+
+    def sent():
+        lines = log.read_text().split() if log.exists() else []
+        log.unlink(missing_ok=True)
+        return sorted(lines)
+
+    def chunks(texts):
+        return spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+
+    embedder = udf_embedder(make)
+    first = vector_store.embed_by_content(chunks(["a", "bb", "a", None, "cc"]), vector_store.empty_store(spark), embedder, "m")
+    assert {r.chunk_id: list(r.embedding) for r in first.chunk_embeddings.collect()} == {0: [1.0], 1: [2.0], 2: [1.0], 4: [2.0]}
+    assert sent() == ["a", "bb", "cc"]
+    again = vector_store.embed_by_content(chunks(["a", "dddd", "cc", "dddd"]), first.added, embedder, "m")
+    assert sorted(r.chunk_id for r in again.chunk_embeddings.collect()) == [0, 1, 2, 3] and sent() == ["dddd"]
+    other = vector_store.embed_by_content(chunks(["a"]), first.added, embedder, "another")
+    assert other.chunk_embeddings.count() == 1 and sent() == ["a"]
