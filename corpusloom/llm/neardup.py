@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     table = kept(sketched(docs, words, rows, bands), "sketches")
     key = ["c1", "c2", "n_shingles"]
     named = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    # Aggregated sides of joins are written, so that a class of very many copies is split.
+    classes = kept(named.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     nodes = named.join(classes, key).where("doc_id = rep").select(
         F.col("rep").alias("id"), "bands").dropDuplicates(["id", "bands"])
     links = confirmed_links(docs, kept(buckets(nodes), "buckets"), words, percent)
@@ -229,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     member = named.select("doc_id", *key).join(classes, key).select("doc_id", "rep")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     extra = member.join(several.select("doc_id"), "doc_id", "left_semi").where("doc_id <> rep")
-    found = components(links.union(extra))
+    found = kept(components(links.union(extra)), "components")
     placed = named.select("doc_id", *key).join(classes, key).join(
         found, F.col("rep") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
