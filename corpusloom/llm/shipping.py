@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import SparkSession
 
-_SHIPPED: set[str] = set()
+from corpusloom.shipping import ship_package
+
 # Rows come in batches of many thousands; long texts would make them large.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the application's Python files, once for each application.
-
-    Spark's own file server hands it out, so executors need no copy installed. Each
-    session also gets a bound on the bytes of a batch that a Python worker holds.
-    """
+    """The package for this application's tasks, and a bound on the bytes of a batch that a worker holds."""
     spark.conf.set(*BATCH_BYTES)
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for path in sorted(package.rglob("*.py")):
-            archive.write(path, path.relative_to(package.parent))
-    context.addPyFile(str(target))
-    _SHIPPED.add(context.applicationId)
+    ship_package(spark)

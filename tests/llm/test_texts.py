@@ -57,11 +57,11 @@ def test_packed_sequences_hold_every_token_once(make, corpus):
     assert packing.packed_documents(make([]), TOKENIZER).count() == 0
 
 
-def test_ranges_follow_the_bytes_alone(spark, make, corpus):
+def test_ranges_follow_the_bytes_alone(make):
     """More ranges than shuffle partitions, or any fixed number, if the bytes ask for them."""
-    total = sum(len(t.encode()) for _, t in corpus)
-    got = packing.packed_documents(make(corpus), TOKENIZER, length=16, range_bytes=100)
-    assert total > 30_000 and got.rdd.getNumPartitions() == -(-total // 100)
+    rows = [(i, f"{' '.join(prose(i, 6))} {i}") for i in range(900)]
+    got = packing.packed_documents(make(rows), TOKENIZER, length=16, range_bytes=40)
+    assert sum(len(t) for _, t in rows) > 20_000 and got.rdd.getNumPartitions() > 300
 
 
 def test_hilbert_neighbours_touch():
