@@ -88,7 +88,7 @@ def a3(t: Tables) -> DataFrame:
     return docmap.resolve_doc_map(t.listing(), language_maps(t), keys=["lang"])
 
 
-@query("a3_map_of_each_text", needs=["listing"], sql="""
+@query("a3_map_of_each_text", needs=["listing"], sql=r"""
     SELECT doc_id, path FROM documents d, (SELECT path, string_split(path, '/') AS p FROM listing
       WHERE lower(regexp_extract(path, '\.[^./]+$')) IN ('.docx', '.markdown', '.md', '.pdf', '.text', '.txt')) l
     WHERE (starts_with(path, '/share/' || d.lang || '/' || d.source || '/' || d.doc_id) OR starts_with(path, '/share/chat/' || d.doc_id || '/'))
