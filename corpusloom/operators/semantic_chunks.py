@@ -228,18 +228,19 @@ def semantic_chunks(
         with_sentences(src).drop("full_text"), ["doc_id"], embedder, counter,
         min_tokens, max_tokens, similarity_threshold, spread,
     )
-    rows = grouped.select(
-        "doc_id", *keep, "sections",
-        F.posexplode(F.arrays_zip("parts", "part_sizes")).alias("pos", "p"),
+    where = lambda p: F.lit(0) if root_section else p["start"]
+    # Looked up before the parts become rows, which would each carry all sections.
+    paths = arrays.let(F.col("sections"), lambda secs: F.transform("parts", lambda p: section_at(secs, where(p))))
+    rows = grouped.withColumn("paths", paths).select(
+        "doc_id", *keep, F.posexplode(F.arrays_zip("parts", "part_sizes", "paths")).alias("pos", "p"),
     )
-    where = F.lit(0) if root_section else F.col("p.parts.start")
     return rows.select(
         "doc_id", *keep,
         (F.col("pos") + 1).alias("ord"),
         F.col("p.parts.text").alias("text"),
         F.col("p.parts.start").alias("char_start"),
         F.col("p.parts.end").alias("char_end"),
-        section_at(F.col("sections"), where).alias("section_path"),
+        F.col("p.paths").alias("section_path"),
         F.col("p.part_sizes").alias("token_count"),
         F.col("p.parts.confidence").alias("boundary_confidence"),
     )

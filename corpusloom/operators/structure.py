@@ -94,19 +94,14 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]+\z", "")
 
 
-def section_at(secs: Column, pos: Column) -> Column:
-    """Path of the last section with ``start <= pos < end``, else empty.
-
-    Sections are listed by ascending start, as B5 lists them, and may overlap. The
-    last one that starts at or before ``pos`` is found by halving; only where it
-    has ended already are the sections before it looked at.
-    """
+def _last_covering(secs: Column, pos: Column) -> Column:
+    """The last section with ``start <= pos < end``, null if there is none; both must be bound."""
 
     def find(secs: Column, pos: Column) -> Column:
         # Largest index whose start is <= pos, built from the top bit down.
         bits = F.array(*[F.lit(1 << b) for b in range(30, -1, -1)])
         return F.aggregate(
-            bits,
+            F.filter(bits, lambda bit: bit <= F.size(secs)),
             F.lit(-1),
             lambda found, bit: F.when(
                 (bit <= F.size(secs) - 1 - found)
@@ -120,11 +115,46 @@ def section_at(secs: Column, pos: Column) -> Column:
         return F.when(pos < F.get(secs, at)["char_end"], F.get(secs, at)).otherwise(
             F.try_element_at(earlier, F.lit(-1)))
 
-    found = arrays.let_all(
-        [secs, pos], lambda s, p: arrays.let(find(s, p), lambda at: covering(s, p, at)))
+    return arrays.let(find(secs, pos), lambda at: covering(secs, pos, at))
+
+
+def section_at(secs: Column, pos: Column) -> Column:
+    """Path of the last section with ``start <= pos < end``, else empty.
+
+    Sections are listed by ascending start, as B5 lists them, and may overlap. The
+    last one that starts at or before ``pos`` is found by halving; only where it
+    has ended already are the sections before it looked at.
+    """
+    found = arrays.let_all([secs, pos], _last_covering)
     return F.coalesce(found["section_path"], arrays.empty_array("string"))
 
 
+# Positions of one section that travel with one copy of its path.
+POSITIONS = 64
+
+
+def sections_of_positions(secs: Column, positions: Column) -> Column:
+    """B7 for many positions of a text: ``array<struct<section_path,positions>>``, in their order.
+
+    Neighbouring positions in one section share its path, up to ``POSITIONS`` of
+    them. Exploded by these rows and then by their positions, no row carries all
+    sections of its text, as it would with a row per position and ``section_at``.
+    """
+    spans = F.transform(secs, lambda s, i: F.struct(
+        s["char_start"].alias("char_start"), s["char_end"].alias("char_end"), i.alias("at")))
+    of_each = lambda spans, positions: F.transform(
+        positions, lambda p: F.coalesce(_last_covering(spans, p)["at"], F.lit(-1)))
+
+    def runs(secs: Column, positions: Column, at: Column) -> Column:
+        heads = F.filter(arrays.indices(at), lambda i: (i % POSITIONS == 0) | (F.get(at, i) != F.get(at, i - 1)))
+        return arrays.let(heads, lambda heads: F.transform(heads, lambda h, i: F.struct(
+            F.coalesce(F.get(secs, F.get(at, h))["section_path"], arrays.empty_array("string")).alias("section_path"),
+            F.slice(positions, h + 1, F.coalesce(F.get(heads, i + 1), F.size(at)) - h).alias("positions"))))
+
+    return arrays.let_all([secs, spans, positions], lambda secs, spans, positions: arrays.let(
+        of_each(spans, positions), lambda at: runs(secs, positions, at)))
+
+
 def strip_markdown(c: Column) -> Column:
     """Markdown syntax removed, rule by rule."""
     for pattern, replacement in MARKDOWN_RULES:

@@ -335,12 +335,13 @@ def b6(t: Tables) -> DataFrame:
 def b7(t: Tables) -> DataFrame:
     """A probe every 50 characters, and one past the end."""
     probes = F.sequence(F.lit(0), F.length("full_text") + 50, F.lit(50))
-    return structure.markdown_structure(t.markdown()).select(
-        "doc_id", "sections", F.explode(probes).alias("pos")
-    ).select(
-        "doc_id", "pos",
-        F.array_join(structure.section_at(F.col("sections"), F.col("pos")), " > ").alias("path"),
-    )
+    return probed(structure.markdown_structure(t.markdown()), F.col("sections"), probes)
+
+
+def probed(d: DataFrame, sections: Column, probes: Column) -> DataFrame:
+    runs = d.select("doc_id", F.explode(arrays.rows_of(structure.sections_of_positions(sections, probes))).alias("r"))
+    return runs.select("doc_id", F.array_join("r.section_path", " > ").alias("path"), "r.positions").select(
+        "doc_id", F.explode("positions").alias("pos"), "path").select("doc_id", "pos", "path")
 
 
 @query("b7_overlapping_sections", needs=["md", "sections"], extra=[("p", """
@@ -354,11 +355,7 @@ def b7_overlapping(t: Tables) -> DataFrame:
     reach = lambda s, i: s.withField("char_end", F.when(i % 3 == 0, s["char_end"] + 900).when(
         i % 3 == 1, s["char_start"] + 9).otherwise(s["char_end"]))
     probes = F.sequence(F.lit(0), F.length("full_text") + 50, F.lit(70))
-    return structure.markdown_structure(t.markdown()).select(
-        "doc_id", F.transform("sections", reach).alias("sections"), F.explode(probes).alias("pos")
-    ).select(
-        "doc_id", "pos", F.array_join(structure.section_at(F.col("sections"), F.col("pos")), " > ").alias("path"),
-    )
+    return probed(structure.markdown_structure(t.markdown()), F.transform("sections", reach), probes)
 
 
 @query("b8_stripped_markdown", needs=["md"], extra=[
