@@ -3,14 +3,15 @@
 The rules of all maps are a trie of their path segments, which comes to the paths: a
 path walks it once and meets only rules that start as it does, however many maps there
 are. Paths are neither exploded nor joined, so no folder can be a hot key. A trie holds
-the rules of some maps, up to a size; beyond it maps are dealt over several walks.
+rules up to a size. Beyond it rules and paths are joined: each rule stands under one
+name, or literal start of a name, that every path it matches must have, and of those it
+has under the one that fewest paths have.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,10 @@ from corpusloom.functions import arrays, text
 from corpusloom.schemas import SUPPORTED_EXTENSIONS
 from corpusloom.shipping import ship_package
 from corpusloom.sources.files import extension
-from corpusloom.sources.rule_trie import DEEP, GLOB, LITERAL, RuleTrie
+from corpusloom.sources.rule_trie import DEEP, FRONT, GLOB, LITERAL, RuleTrie
 
-# Characters of patterns whose trie goes to the tasks at once.
-TRIE_CHARS = 16 << 20
+# Characters of patterns whose trie goes to the tasks; more are joined.
+TRIE_CHARS = 1 << 20
 VARIABLE = r"\$(?:\w+|\{[^}]*\})"
 
 
@@ -168,13 +169,51 @@ def walked(files: DataFrame, rules: DataFrame, keys: list[str], decided: bool) -
     return hits.join(F.broadcast(named), "owner").drop("owner")
 
 
-def with_matches(files: DataFrame, compiled: DataFrame, keys: list[str], maps: list[str], decided: bool) -> DataFrame:
-    """``walked``, with whole maps (``maps``: their key columns) dealt over as many tries as they need."""
+def _whole_regex(segments: Column, whole: Column) -> Column:
+    """A rule as one pattern of whole paths."""
+    parts = F.transform(segments, lambda s: F.when(s["kind"] == LITERAL, F.concat(F.lit("/"), _quote(s["text"])))
+                        .when(s["kind"] == DEEP, F.lit("(?:/[^/]+)*")).otherwise(F.concat(F.lit("/"), s["text"])))
+    return F.concat(F.lit(r"(?s)\A"), F.array_join(parts, ""), F.when(whole, r"(?:/.*)?\z").otherwise(r"\z"))
+
+
+def _anchors(segments: Column) -> Column:
+    """What every path of a rule must have: whole names (with a slash) and starts of names; else the empty start."""
+    front = lambda s: F.regexp_replace(F.regexp_extract(s["text"], "(?s)" + FRONT, 1), r"(?s)\\(.)", "$1")
+    each = F.filter(F.transform(segments, lambda s: F.when(s["kind"] == LITERAL, F.concat(s["text"], F.lit("/")))
+                                .when(s["kind"] == DEEP, F.lit("")).otherwise(front(s))), lambda a: a != "")
+    return F.array_distinct(F.when(F.size(each) > 0, each).otherwise(F.array(F.lit(""))))
+
+
+def joined(files: DataFrame, compiled: DataFrame, keys: list[str], decided: bool) -> DataFrame:
+    """As ``walked``, for any number of rules."""
+    rules = compiled.select(*keys, "is_exclude", _whole_regex(F.col("segments"), F.col("whole")).alias("_re"),
+                            _anchors(F.col("segments")).alias("_anchors"))
+    anchors = rules.select("_re", F.explode(arrays.rows_of("_anchors")).alias("_key")).distinct()
+    # At most as many numbers as a name has characters.
+    lengths = [r.n for r in anchors.where("not endswith(_key, '/')").select(
+        F.length("_key").alias("n")).distinct().collect()]
+    names = F.filter(F.split("path", "/", -1), lambda s: s != "")
+    starts = F.transform("_names", lambda s: F.transform(
+        F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length(s)),
+        lambda n: F.substring(s, F.lit(1), n)))
+    whole_names = F.transform("_names", lambda s: F.concat(s, F.lit("/")))
+    paths = files.select("path", names.alias("_names")).select(
+        "path", F.concat(F.lit("/"), F.array_join("_names", "/")).alias("_tidy"),
+        F.explode(F.array_distinct(F.concat(whole_names, F.flatten(starts)))).alias("_key"))
+    seen = paths.join(anchors.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_n"))
+    rarest = anchors.join(seen, "_key", "left").groupBy("_re").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)), "_key")).alias("_a")).select("_re", F.col("_a._key").alias("_key"))
+    hits = paths.join(rarest, "_key").where(F.rlike("_tidy", F.col("_re"))).select("path", "_re")
+    matches = hits.join(rules.drop("_anchors"), "_re")
+    if not decided:
+        return matches.select(*keys, "path")
+    return matches.groupBy(*keys, "path").agg(F.bool_or("is_exclude").alias("_out")).where("not _out").drop("_out")
+
+
+def with_matches(files: DataFrame, compiled: DataFrame, keys: list[str], decided: bool) -> DataFrame:
+    """``walked`` while the rules' trie is small, else ``joined``."""
     size = compiled.agg(F.coalesce(F.sum(F.length("target")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // TRIE_CHARS))
-    share = F.pmod(F.xxhash64(*maps), F.lit(parts)) if maps else F.lit(0)
-    walks = [walked(files, compiled.where(share == i), keys, decided) for i in range(parts)]
-    return reduce(DataFrame.unionByName, walks)
+    return (walked if size <= TRIE_CHARS else joined)(files, compiled, keys, decided)
 
 
 def resolve_doc_map(listing: DataFrame, compiled: DataFrame, *, keys: Iterable[str] = (),
@@ -183,7 +222,7 @@ def resolve_doc_map(listing: DataFrame, compiled: DataFrame, *, keys: Iterable[s
     keys = list(keys)
     files = listing.where(extension(F.col("path")).isin(sorted(extensions)))
     one = compiled if keys else compiled.withColumn("_map", F.lit(1))
-    chosen = with_matches(files, one, keys or ["_map"], keys, decided=True).select(*keys, "path").distinct()
+    chosen = with_matches(files, one, keys or ["_map"], decided=True).select(*keys, "path").distinct()
     return chosen.orderBy(*keys, "path") if ordered else chosen
 
 
@@ -191,7 +230,7 @@ def unmatched_rules(listing: DataFrame, compiled: DataFrame, *, keys: Iterable[s
     """A4: include rules that match no file of any extension."""
     keys = list(keys)
     includes = compiled.where("not is_exclude")
-    seen = with_matches(listing, includes, [*keys, "line_no"], keys, decided=False).select(*keys, "line_no").distinct()
+    seen = with_matches(listing, includes, [*keys, "line_no"], decided=False).select(*keys, "line_no").distinct()
     return includes.join(seen, [*keys, "line_no"], "left_anti").select(*keys, "line_no", "pattern")
 
 

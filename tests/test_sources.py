@@ -264,3 +264,39 @@ def test_ledger_knows_unchanged_files(spark):
     opened = spark.createDataFrame([("/b", "h2"), ("/d", None)], "path string, source_hash string")
     after = {(r.path, r.length, r.source_hash) for r in ledger.ledger_after(old, listing, opened).collect()}
     assert after == {("/a", 1, "ha"), ("/a", 1, "older"), ("/c", 1, "hc"), ("/b", 2, "h2")}
+
+
+def test_joined_rules_equal_the_walk(spark, monkeypatch):
+    """Random maps, joined and walked; deep, whole and anchorless rules, odd names, a null key."""
+    rng = random.Random(11)
+    names = ["a", "b", "ab", "b.md", "a(1).md", "ba.md", "c.txt"]
+    seg = lambda: rng.choice([*names, "*", "a*", "?", "[!b]*", "**", "*.md", "b?md", "a(1)*"])
+    rule = lambda: rng.choice(["", "!"]) * (rng.random() < 0.4) + rng.choice(["", "/"]) + "/".join(
+        seg() for _ in range(rng.randrange(1, 4)))
+    maps = [(None if i == 0 else i, "\n".join(rule() for _ in range(6))) for i in range(40)] + [(50, "/**"), (51, "/*/*\n!/s/a")]
+    paths = {"/" + "/".join([rng.choice(["s", "a", "t"]), *rng.choices(names, k=rng.randrange(1, 5))]) for _ in range(300)}
+    rules = docmap.compile_patterns(docmap.expand_patterns(docmap.parse_doc_map(
+        spark.createDataFrame(maps, "m int, value string"), ["m"]), "/s", home="/h"))
+    listing = spark.createDataFrame([(p,) for p in sorted(paths)], "path string")
+
+    def both():
+        found = docmap.resolve_doc_map(listing, rules, keys=["m"])
+        missed = docmap.unmatched_rules(listing, rules, keys=["m"])
+        return sorted(map(tuple, found.collect()), key=repr), sorted(map(tuple, missed.collect()), key=repr)
+
+    walked = both()
+    monkeypatch.setattr(docmap, "TRIE_CHARS", 0)
+    assert both() == walked and len(walked[0]) > 500 and walked[1]
+
+
+def test_walk_does_not_test_every_pattern_of_a_folder():
+    def seconds(maps):
+        trie = RuleTrie()
+        for i in range(maps):
+            trie.add(i, [("literal", "share"), ("glob", rf"{i:05}\.[^/]*")], False)
+        start = time.process_time()
+        for i in range(1000):
+            assert trie.matches(f"/share/{i:05}.md") == {i}
+        return time.process_time() - start
+
+    assert min(seconds(20_000) for _ in range(2)) < 5 * min(seconds(1000) for _ in range(2))
