@@ -41,3 +41,17 @@ def test_a_long_text_of_many_headings(spark, tmp_path):
     secs = models.tree(text)
     for pos in list(rows)[::97]:
         assert rows[pos] == " > ".join(models.path_at(secs, pos))[-260:]
+
+
+def test_batches_are_bounded(spark):
+    """Long texts do not meet in one batch of a Python worker, unless the session says so."""
+    from corpusloom import shipping
+
+    key = shipping.BATCH_BYTES[0]
+    spark.conf.unset(key)
+    shipping.ship_package(spark)
+    assert int(spark.conf.get(key)) == int(shipping.BATCH_BYTES[1]) <= 8 << 20
+    spark.conf.set(key, "123456")
+    shipping.ship_package(spark)
+    assert spark.conf.get(key) == "123456"
+    spark.conf.unset(key)
