@@ -55,3 +55,20 @@ def test_batches_are_bounded(spark):
     shipping.ship_package(spark)
     assert spark.conf.get(key) == "123456"
     spark.conf.unset(key)
+
+
+def test_splits_cut_each_chunk_once(spark):
+    """The halves are read from a file, not cut anew for each use."""
+    from corpusloom.operators import edits
+
+    chunks = spark.createDataFrame(
+        [(i, 1, "first part\nsecond part", 0, 22, 5, "line", 0.5, None) for i in (1, 2, 3)],
+        "chunk_id long, doc_id long, text string, char_start int, char_end int, token_count int, chunk_type string, "
+        "boundary_confidence double, manual_override map<string,string>")
+    out = edits.split_chunks(chunks, spark.createDataFrame([(1, None), (2, 0), (3, 2), (3, 4), (9, 1)], "chunk_id long, offset int"))
+    assert sorted((r.chunk_id, r.text) for r in out.chunks.collect()) == [
+        (1, "first part"), (2, "first part\nsecond part"), (3, "first part\nsecond part"), (4, "second part")]
+    assert [r.chunk_id for r in out.touched.collect()] == [1]
+    assert sorted((r.chunk_id, r.reason) for r in out.rejects.collect()) == [
+        (2, "invalid split offset"), (3, "chunk in several edits"), (3, "chunk in several edits"), (9, "chunk not found")]
+    assert "reverse(" not in out.chunks._jdf.queryExecution().optimizedPlan().toString()
