@@ -139,24 +139,23 @@ def clause_chunks(
     """
     parsed = F.col("clauses") if "clauses" in responses.columns else parse_clauses(F.col("response"))
     joined = wins.join(responses.select("doc_id", "w", parsed.alias("_clauses")), ["doc_id", "w"])
-    spans = joined.withColumn(
-        "_spans", locate_clauses(F.col("text"), F.coalesce("_clauses", arrays.empty_array("string")))
-    ).select(
+    spans = joined.select(
         "doc_id", "w", F.col("char_start").alias("_base"),
-        F.posexplode(arrays.rows_of("_spans")).alias("_pos", "_span"),
-    )
-    placed = spans.join(docs.select("doc_id", "sections"), "doc_id", "left")
+        locate_clauses(F.col("text"), F.coalesce("_clauses", arrays.empty_array("string"))).alias("_spans"))
+    # A window's sections are looked up before its clauses become rows, which would each carry them all.
+    paths = arrays.let_all([F.col("sections"), F.col("_base")], lambda secs, base: F.transform(
+        "_spans", lambda s: section_at(secs, base + s["start"])))
+    placed = spans.join(docs.select("doc_id", "sections"), "doc_id", "left").withColumn("_paths", paths).select(
+        "doc_id", "w", "_base", F.posexplode(F.arrays_zip("_spans", "_paths")).alias("_pos", "_at"))
+    span = F.col("_at._spans")
     return placed.select(
         "doc_id", "w",
         (F.col("_pos") + 1).alias("ord"),
-        text.strip(F.col("_span.clause")).alias("text"),
-        (F.col("_base") + F.col("_span.start")).alias("char_start"),
-        (F.col("_base") + F.col("_span.end")).alias("char_end"),
-        F.coalesce(
-            section_at(F.col("sections"), F.col("_base") + F.col("_span.start")),
-            arrays.empty_array("string"),
-        ).alias("section_path"),
-        text.count_tokens(F.col("_span.clause"), counter).alias("token_count"),
+        text.strip(span["clause"]).alias("text"),
+        (F.col("_base") + span["start"]).alias("char_start"),
+        (F.col("_base") + span["end"]).alias("char_end"),
+        F.col("_at._paths").alias("section_path"),
+        text.count_tokens(span["clause"], counter).alias("token_count"),
         F.lit(1.0).alias("boundary_confidence"),
     )
 

@@ -72,3 +72,27 @@ def test_splits_cut_each_chunk_once(spark):
     assert sorted((r.chunk_id, r.reason) for r in out.rejects.collect()) == [
         (2, "invalid split offset"), (3, "chunk in several edits"), (3, "chunk in several edits"), (9, "chunk not found")]
     assert "reverse(" not in out.chunks._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_and_clauses_do_not_carry_sections(spark):
+    """Rows of parts and of clauses are made after their paths are known."""
+    from corpusloom.operators import clauses, semantic_chunks
+    from corpusloom.workload.tables import letter_embedder
+
+    text = "".join(f"# H{i}\n\nOne sentence {i}. Another sentence {i}.\n\n" for i in range(60))
+    docs = structure.markdown_structure(spark.createDataFrame(
+        [(0, "f.md", text), (1, "g.md", "plain text")], "doc_id long, filename string, full_text string"))
+    chunks = semantic_chunks.semantic_chunks(docs, letter_embedder, min_tokens=1, max_tokens=8, spread=False)
+    wins = clauses.windows(docs, max_window_tokens=60)
+    said = wins.select("doc_id", "w", F.filter(F.split("text", "\n\n"), lambda p: p != "").alias("clauses"))
+    cut = clauses.clause_chunks(wins, said, docs)
+    secs = {0: models.tree(text), 1: [([], 0, 10)]}
+    for out in (chunks, cut):
+        got = out.collect()
+        assert len(got) > 60 and {r.doc_id for r in got} == {0, 1}
+        for r in got:
+            assert r.section_path == models.path_at(secs[r.doc_id], r.char_start)
+        plan = out._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0]
+        assert "sections#" not in plan
+    none = clauses.clause_chunks(wins, said, docs.where("doc_id = 1")).where("doc_id = 0")
+    assert none.count() == cut.where("doc_id = 0").count() and none.where("size(section_path) > 0").count() == 0
