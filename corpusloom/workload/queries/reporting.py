@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import analytics, export, rubrics
-from corpusloom.session import shared_folder
+from corpusloom.session import shared_folder, written
 from corpusloom.sources import tables as store
 from corpusloom.workload.queries.ingest import joined, sha
 from corpusloom.workload.registry import query
@@ -303,7 +303,8 @@ def g7(t: Tables) -> DataFrame:
     UNION ALL SELECT {RECORD_COLUMNS.replace(uuid_sql(PROJECT_UUID, 'l.chunk_id'), uuid_sql(OTHER_PROJECT_UUID, 'l.chunk_id'))} {RECORD_JOIN}""")
 def g7_merged(t: Tables) -> DataFrame:
     """Two projects with the same chunk numbers, one of them exported twice."""
-    one, other = records(t), records(t, OTHER_PROJECT_UUID)
+    one = written(records(t), "export")
+    other = one.withColumn("chunk_uuid", export.chunk_uuid(OTHER_PROJECT_UUID, F.col("chunk_id")))
     return flat_records(export.merge_exports([one, other, one]))
 
 
