@@ -65,21 +65,30 @@ class Tables:
 
     def chunks(self) -> DataFrame:
         """The lines of each text; the older run of French texts is one whole chunk."""
+        return self._chunks(spans=True)
+
+    def _chunks(self, spans: bool) -> DataFrame:
+        """``chunks``; without ``spans`` the places in the text, which cost a fold over its lines, stay null."""
         d = self.given("documents").select("doc_id", "lang", "source", "text")
         lines = F.split("text", "\n", -1)
-        ends = arrays.prefix_sums(F.transform(lines, lambda x: F.length(x) + 1))
-        spans = F.transform(
-            F.arrays_zip(lines.alias("t"), ends.alias("e")),
-            lambda s, i: F.struct(
-                (i + 1).alias("ord"), s["t"].alias("text"),
-                (s["e"] - 1 - F.length(s["t"])).alias("char_start"), (s["e"] - 1).alias("char_end"),
-            ),
-        )
+        if spans:
+            ends = arrays.prefix_sums(F.transform(lines, lambda x: F.length(x) + 1))
+            placed = F.transform(
+                F.arrays_zip(lines.alias("t"), ends.alias("e")),
+                lambda s, i: F.struct(
+                    (i + 1).alias("ord"), s["t"].alias("text"),
+                    (s["e"] - 1 - F.length(s["t"])).alias("char_start"), (s["e"] - 1).alias("char_end"),
+                ),
+            )
+        else:
+            unknown = F.lit(None).cast("int")
+            placed = F.transform(lines, lambda x, i: F.struct(
+                (i + 1).alias("ord"), x.alias("text"), unknown.alias("char_start"), unknown.alias("char_end")))
         whole = F.array(F.struct(
             F.lit(0).alias("ord"), F.col("text").alias("text"),
             F.lit(0).alias("char_start"), F.length("text").alias("char_end"),
         ))
-        kept = F.filter(spans, lambda s: F.trim(s["text"]) != "")
+        kept = F.filter(placed, lambda s: F.trim(s["text"]) != "")
         both = F.when(F.col("lang") == "fr", F.concat(whole, kept)).otherwise(kept)
         c = d.select("doc_id", "lang", "source", F.explode(both).alias("s")).select(
             "doc_id", "lang", "source", "s.*"
@@ -101,7 +110,7 @@ class Tables:
 
         Rubric 1 labels every chunk, and toxic texts twice; rubric 2 good texts.
         """
-        base = self.chunks().select("chunk_id", "doc_id", "text", "token_count").join(
+        base = self._chunks(spans=False).select("chunk_id", "doc_id", "text", "token_count").join(
             self.given("labels").select("doc_id", "quality", "toxic"), "doc_id"
         )
         tokens = F.col("token_count")
@@ -262,7 +271,7 @@ class Tables:
 
     def chunk_embeddings(self) -> DataFrame:
         """Letter counts of each chunk; German texts have no vectors."""
-        c = self.chunks().where(F.get("section_path", F.lit(1)) != "de")
+        c = self._chunks(spans=False).where(F.get("section_path", F.lit(1)) != "de")
         return c.select(
             "chunk_id",
             letter_counts(F.col("text")).cast("array<float>").alias("embedding"),

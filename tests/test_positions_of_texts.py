@@ -96,3 +96,16 @@ def test_parts_and_clauses_do_not_carry_sections(spark):
         assert "sections#" not in plan
     none = clauses.clause_chunks(wins, said, docs.where("doc_id = 1")).where("doc_id = 0")
     assert none.count() == cut.where("doc_id = 0").count() and none.where("size(section_path) > 0").count() == 0
+
+
+def test_chunks_without_spans(spark):
+    """Labels and vectors read chunks without the fold over lines that finds their places."""
+    from corpusloom.workload.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    places = ["char_start", "char_end"]
+    full, bare = (df.drop(*places).withColumn("manual_override", F.to_json("manual_override"))
+                  for df in (t.chunks(), t._chunks(spans=False)))
+    assert full.exceptAll(bare).count() == bare.exceptAll(full).count() == 0
+    for df in (t.labels(), t.chunk_embeddings()):
+        assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
