@@ -109,3 +109,15 @@ def test_chunks_without_spans(spark):
     assert full.exceptAll(bare).count() == bare.exceptAll(full).count() == 0
     for df in (t.labels(), t.chunk_embeddings()):
         assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_replies_are_read_once(spark):
+    """The JSON of a reply stands once in the plan, however often its value is used."""
+    from corpusloom.operators import clauses
+
+    df = spark.createDataFrame([('["a", "b", 3, " "]',), ('x ["c"] y',), ("none",), (None,), ('{"a": 1}',), ("```json\n[]\n```",)],
+                               "response string")
+    parsed = df.select(clauses._parsed_once(F.col("response")).alias("c"), clauses.parse_clauses(F.col("response")).alias("d"))
+    assert [r.c for r in parsed.collect()] == [r.d for r in parsed.collect()] == [["a", "b"], ["c"], None, None, None, []]
+    # Whole and between its brackets; in an object once, in an array for its size and its value.
+    assert parsed.select("c")._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") <= 6
