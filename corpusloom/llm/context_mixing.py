@@ -20,7 +20,7 @@ in one task. So the whole table never passes through the driver, and nothing is
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,9 +31,9 @@ from corpusloom.llm.tables import kept
 from corpusloom.llm.words import U, column_bytes, groups_of, hash_words, mix
 
 LEAST, ORDER = 3, 5
-# Bytes of text in a group, in the arrays of one step, and until weights start anew.
+# Bytes of text in a group, in the arrays of one step and of the mixing, and until weights start anew.
 GROUP_BYTES = 16 << 20
-CHUNK_BYTES = 3 << 19
+CHUNK_BYTES, MIXED_BYTES = 3 << 19, 3 << 20
 PIECE = 1024
 # The most frequent words and contexts, sent to all tasks: 16 bytes a word, 12 for each
 # byte after a context, of which there are 256 at most and a few as a rule.
@@ -52,6 +52,8 @@ WORD, CONTEXT = 0, 1
 UNKNOWN = -128
 # Codes whose inputs are worked out at once.
 SLICE = 1 << 16
+# Steps of all pieces that are read from memory at once.
+AHEAD = 16
 
 
 def first_weights() -> np.ndarray:
@@ -81,13 +83,12 @@ def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     and the bounds of each text. End marks stand before a text's first byte.
     """
     parts = [END * ORDER + t + END for t in texts]
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    n = max(data.size - ORDER, 0)
-    codes = np.zeros(n, U)
-    for j in range(ORDER + 1):
-        codes <<= U(8)
-        codes |= data[j:j + n]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    n = max(int(sizes.sum()) - ORDER, 0)
+    # Eight bytes from each place on, as one number, and of these the first ones.
+    data = b"".join([*parts, bytes(7 - ORDER)])
+    codes = np.ndarray(n, ">u8", data, strides=(1,)).astype(U)
+    codes >>= U(56 - 8 * ORDER)
     first = np.cumsum(sizes) - sizes
     whole = np.ones(n, bool)
     for j in range(ORDER):  # numbers that run over from one text into the next
@@ -117,20 +118,42 @@ def distinct(*keys: np.ndarray) -> np.ndarray:
     return key[np.r_[True, key[1:] != key[:-1]]] if key.size else key
 
 
-def places(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Where each of ``asked`` is in the sorted distinct ``known``, which has them all.
+def finder(known: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function of values that the sorted distinct ``known`` has: where each of them is.
 
-    A table of slots names one place for each; only those of shared slots are searched.
+    A table of slots names one place for each, a second one a place that lost its slot;
+    only those that lost both are searched.
     """
-    bits = max(known.size, 2).bit_length() + 2
-    with np.errstate(over="ignore"):
-        slot = lambda x: ((x.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - bits)).view(np.int64)
-        table = np.zeros(1 << bits, np.int32)
-        table[slot(known)] = np.arange(known.size, dtype=np.int32)
-        at = table[slot(asked)]
-    wrong = np.flatnonzero(known[at] != asked)
-    at[wrong] = np.searchsorted(known, asked[wrong])
-    return at
+    probes, rest = [], np.arange(known.size, dtype=np.int32)
+
+    def slots(values, factor, bits):
+        with np.errstate(over="ignore"):
+            return ((values.view(U) * factor) >> U(64 - bits)).view(np.int64)
+
+    for factor in (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)):
+        bits = max(rest.size, 2).bit_length() + 2
+        table, slot = np.zeros(1 << bits, np.int32), slots(known[rest], factor, bits)
+        table[slot] = rest
+        probes.append((table, factor, bits))
+        rest = rest[table[slot] != rest]
+
+    def find(asked):
+        (table, *way), (other, *way_again) = probes
+        at = table[slots(asked, *way)]
+        wrong = np.flatnonzero(known[at] != asked)
+        again = asked[wrong]
+        found = other[slots(again, *way_again)]
+        lost = np.flatnonzero(known[found] != again)
+        found[lost] = np.searchsorted(known, again[lost])
+        at[wrong] = found
+        return at
+
+    return find
+
+
+def places(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each of ``asked`` is in the sorted distinct ``known``, which has them all."""
+    return finder(known)(asked)
 
 
 def tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -266,17 +289,20 @@ def order_logits(pairs: np.ndarray, order: int, table: dict, code: Code) -> np.n
     """
     depth = code.low.shape[1]
     out = np.full((pairs.size, depth), UNKNOWN, np.int8)
-    at = np.searchsorted(table["key"], context_keys(pairs, order))
+    keys = context_keys(pairs, order)
+    at = np.searchsorted(table["key"], keys)
     at[at == table["key"].size] = 0
-    known = np.flatnonzero(table["key"][at] == context_keys(pairs, order)) if table["key"].size else at[:0]
+    known = np.flatnonzero(table["key"][at] == keys) if table["key"].size else at[:0]
     # In the order of the table: neighbouring look-ups then read neighbouring counts.
     known = known[np.argsort(at[known])]
-    entry, byte = at[known] * 256, last_two(pairs[known])
+    entry, byte = at[known], last_two(pairs[known])
 
     def before(place):
         return table["sums"][np.searchsorted(table["cell"], place)]
 
-    low, high = before(entry), before(entry + 256)
+    edge = before(np.arange(table["key"].size + 1) * 256)
+    low, high = edge[entry], edge[entry + 1]
+    entry = entry * 256
     for d in range(depth):
         mine = code.bits[byte] > d
         known, entry, byte, low, high = (x[mine] for x in (known, entry, byte, low, high))
@@ -289,13 +315,13 @@ def order_logits(pairs: np.ndarray, order: int, table: dict, code: Code) -> np.n
 
 
 def inputs_of(codes: np.ndarray, table: dict, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """Eight small numbers of each bit of distinct ``codes``: all orders' logits, the gate, the
-    bit. They come as one 64-bit number each, with the first of each code.
+    """Four small numbers of each bit of distinct ``codes``: all orders' logits, and the bit with
+    twice the gate. They come as one 32-bit number each, with the first of each code.
     """
     byte = last_two(codes)
     n = code.bits[byte]
     first = np.cumsum(n) - n
-    out = np.zeros((n.sum(), 8), np.int8)
+    out = np.zeros((n.sum(), INPUTS + 1), np.int8)
     logits, at = [], []
     for order in range(LEAST, ORDER + 1):
         pairs = distinct(pairs_of(codes, order))
@@ -307,112 +333,106 @@ def inputs_of(codes: np.ndarray, table: dict, code: Code) -> tuple[np.ndarray, n
         base = first[a]
         d = np.arange(row.size) - (first[part] - base)[row]
         own = out[base:base + row.size]
+        gate = np.zeros(n[part].size, np.int8)
         for i in range(INPUTS):
             logit = logits[i][at[i][part][row], d]
-            seen = logit != UNKNOWN
-            own[:, i] = np.where(seen, logit, 0)
-            own[seen, 6] = LEAST + i
-        own[:, 6] = own[first[part] - base, 6][row]
-        own[:, 7] = code.leaf[byte[part]][row] >= code.mid[byte[part]][row, d]
-    return out.view(np.int64).ravel(), first
-
+            own[:, i] = np.where(logit != UNKNOWN, logit, 0)
+            gate[logits[i][at[i][part], 0] != UNKNOWN] = LEAST + i
+        own[:, INPUTS] = code.leaf[byte[part]][row] >= code.mid[byte[part]][row, d]
+        own[:, INPUTS] += 2 * gate[row]
+    return out.view(np.int32).ravel(), first
 
-class Steps(NamedTuple):
-    """The bytes of many pieces, side by side: first bytes, then second bytes, and so on.
 
-    A step has a byte of each of ``active`` pieces, those of most bits first:
-    ``piece`` names them. Of its bits, bounded by ``starts`` in ``inputs``, all first
-    ones come first, then all second ones: ``depths[step, d]`` bytes have bit d.
-    ``byte`` is each bit's byte, counted in its step.
+def heads_of(codes: np.ndarray, first: np.ndarray, code: Code) -> np.ndarray:
+    """Of distinct ``codes`` one number each: the first of its inputs, then in the last 8 bits
+    by how many its bits are fewer than the most that a byte has.
     """
+    return (first << 8) | (code.low.shape[1] - code.bits[last_two(codes)])
 
-    inputs: np.ndarray
-    byte: np.ndarray
-    piece: np.ndarray
-    active: np.ndarray
-    starts: np.ndarray
-    depths: np.ndarray
 
+def mixed_cost(inputs: np.ndarray, heads: np.ndarray, depth: int, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Nats that each piece costs. Pieces start at ``starts`` of ``heads``; longest ones first.
 
-def mixed_cost(steps: Steps) -> np.ndarray:
-    """Nats that each piece costs."""
-    lanes = int(steps.active[0])
-    weights = np.tile(first_weights().T / LOGIT, lanes)
+    All pieces advance side by side, a byte in a step: those of most bits come first, so that
+    the bytes that have a bit d are the first ones. All first bits of a step come first, then
+    all second ones, and so on.
+    """
+    lanes = starts.size
+    # Three weights, and a fourth that is not used: 16 bytes, looked up as one number.
+    weights = np.zeros((lanes, ORDER + 1, INPUTS + 1), np.float32)
+    weights[:, :, :INPUTS] = first_weights() / LOGIT
+    weights = weights.view(np.complex128).ravel()
     grid = np.linspace(-MAP_EDGE, MAP_EDGE, MAP_CELLS)
     cells = np.tile((1 / (1 + np.exp(-grid))).astype(np.float32), lanes)
-    cost = np.zeros(lanes)
+    pieces, spent = [], []
     rate, map_rate, edge = np.float32(RATE / LOGIT), np.float32(MAP_RATE), np.float32(MAP_EDGE)
     per_cell = np.float32((MAP_CELLS - 1) / (2 * MAP_EDGE))
-    middle = np.float32((MAP_CELLS - 1) / 2 + 0.5)
-    at = 0
-    for t, n in enumerate(steps.active.tolist()):
-        a, b = steps.starts[t], steps.starts[t + 1]
-        v = steps.inputs[a:b].view(np.int8).reshape(b - a, 8)
-        byte, piece = steps.byte[a:b], steps.piece[at:at + n]
-        at += n
-        # The last row: what the bit costs, so that one loop adds up all of a byte.
-        x = np.empty((INPUTS + 1, b - a), np.float32)
-        x[:INPUTS] = v.T[:INPUTS]
-        bit = v[:, 7].astype(np.float32)
-        own = piece * (ORDER + 1) + v[:n, 6]
-        sums = np.zeros((INPUTS + 1, n), np.float32)
-        w = weights.take(own, axis=1)
-        logit = (x[:INPUTS] * w.take(byte, axis=1)).sum(0)
-        np.minimum(np.maximum(logit, -edge), edge, out=logit)
+    middle, half = np.float32((MAP_CELLS - 1) / 2 + 0.5), np.float32(0.5)
+    lane, bits = np.arange(lanes), np.arange(depth)
+    active = np.searchsorted(-length, -np.arange(length[0]), side="left")
+    for t, n in enumerate(active.tolist()):
+        if t % AHEAD == 0:
+            ahead = heads.take(starts[:n, None] + np.arange(t, t + AHEAD), mode="clip").T.copy()
+        head = ahead[t % AHEAD, :n]
+        fewer = (head & 255).astype(np.uint8)
+        piece = fewer.argsort(kind="stable")
+        sizes = np.bincount(fewer, minlength=depth)[:depth].cumsum()[::-1]
+        at = np.repeat(bits, sizes)
+        sizes = [m for m in sizes.tolist() if m]
+        byte = np.concatenate([lane[:m] for m in sizes])
+        at += (head.take(piece) >> 8).take(byte)
+        v = inputs.take(at).view(np.int8).reshape(-1, INPUTS + 1)
+        x = v.T[:INPUTS].astype(np.float32, order="C")
+        bit = (v[:, INPUTS] & 1).astype(np.float32)
+        own = piece * (ORDER + 1) + (v[:n, INPUTS] >> 1)
+        w = weights.take(own)
+        logit = (x * w.take(byte).view(np.float32).reshape(-1, INPUTS + 1).T[:INPUTS]).sum(0)
+        logit.clip(-edge, edge, out=logit)
         p = 1 / (1 + np.exp(-logit))
-        cell = (logit * per_cell + middle).astype(np.int32)
+        logit *= per_cell
+        logit += middle
+        cell = logit.astype(np.int64)
         cell += (piece * MAP_CELLS).take(byte)
         mapped = cells.take(cell)
-        x[:INPUTS] *= (bit - p) * rate
-        np.log(np.abs(1 - bit - (p + mapped) / 2), out=x[INPUTS])
-        cells[cell] = mapped + (bit - mapped) * map_rate
-        first = 0
-        for m in steps.depths[t].tolist():
-            if not m:
-                break
-            sums[:, :m] += x[:, first:first + m]
+        # The last column: what the bit costs, so that one loop adds up all of a byte.
+        moves = np.empty((at.size, INPUTS + 1), np.float32)
+        np.multiply(x, (bit - p) * rate, out=moves.T[:INPUTS])
+        p += mapped
+        p *= half
+        loss = 1 - bit
+        loss -= p
+        np.abs(loss, out=loss)
+        moves[:, INPUTS] = np.log(loss, out=loss)
+        bit -= mapped
+        bit *= map_rate
+        cells[cell] = mapped + bit
+        sums, moves, first = np.zeros(n * (INPUTS + 1), np.float32), moves.ravel(), 0
+        for m in sizes:
+            m *= INPUTS + 1
+            sums[:m] += moves[first:first + m]
             first += m
-        weights[:, own] = w + sums[:INPUTS]
-        cost[piece] -= sums[INPUTS]
-    return cost
+        pieces.append(piece)
+        spent.append(sums[INPUTS::INPUTS + 1].copy())
+        w = w.view(np.float32)
+        w += sums
+        weights[own] = w.view(np.complex128)
+    return -np.bincount(np.concatenate(pieces), np.concatenate(spent), lanes)
 
 
-def side_by_side(codes: np.ndarray, starts: np.ndarray, length: np.ndarray, known: np.ndarray,
-                 nodes: np.ndarray, first: np.ndarray, code: Code) -> Steps:
-    """The steps of pieces that start at ``starts`` of ``codes``; longest pieces first."""
-    active = np.searchsorted(-length, -np.arange(length[0]), side="left")
-    step = np.repeat(np.arange(active.size), active)
-    piece = np.arange(step.size) - np.repeat(np.cumsum(active) - active, active)
-    n = code.bits[last_two(codes[starts[piece] + step])]
-    # Bytes of most bits first within a step: the three numbers are sorted as one.
-    depth = code.low.shape[1]
-    key = np.sort(((step * (depth + 1) + depth - n) << 32) | piece)
-    piece, n = key & 0xFFFFFFFF, depth - (key >> 32) % (depth + 1)
-    per_step = np.bincount(step * (depth + 1) + n, minlength=active.size * (depth + 1)).reshape(active.size, depth + 1)
-    depths = active[:, None] - np.cumsum(per_step, axis=1)[:, :depth]
-    each = depths.ravel()
-    ends = np.cumsum(each)
-    small = np.int32 if ends[-1] < 2**31 and nodes.size < 2**31 else np.int64
-    row = first[places(known, codes[starts[piece] + step])].astype(small)
-    byte = np.arange(ends[-1], dtype=small) - np.repeat((ends - each).astype(small), each)
-    at = byte + np.repeat(np.repeat((np.cumsum(active) - active).astype(small), depth), each)
-    node = row[at] + np.repeat(np.tile(np.arange(depth, dtype=small), active.size), each)
-    return Steps(nodes[node], byte, piece.astype(small), active, np.r_[0, ends[depth - 1::depth]], depths)
-
-
-def chunk_bits(texts: list[bytes], known: np.ndarray, nodes: np.ndarray, first: np.ndarray, code: Code) -> np.ndarray:
-    """Bits of each of some normal texts. ``known`` are the distinct codes of ``inputs_of``."""
+def chunk_bits(texts: list[bytes], inputs: np.ndarray, heads: np.ndarray, find: Callable, code: Code) -> np.ndarray:
+    """Bits of each of some normal texts. ``find`` tells which of ``heads`` a code has."""
     codes, bounds = coded(texts)
     starts = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(bounds[:-1], bounds[1:])])
     length = np.diff(np.r_[starts, bounds[-1]])
     lane = np.argsort(-length, kind="stable")
+    own = heads[find(codes)]
     cost = np.empty(lane.size)
-    cost[lane] = mixed_cost(side_by_side(codes, starts[lane], length[lane], known, nodes, first, code)) / np.log(2)
+    cost[lane] = mixed_cost(inputs, own, code.low.shape[1], starts[lane], length[lane]) / np.log(2)
     return np.bincount(np.searchsorted(bounds, starts, side="right") - 1, weights=cost, minlength=len(texts))
 
 
-def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
-    for part in groups_of(texts, CHUNK_BYTES):
+def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+    for part in groups_of(texts, size):
         yield [normal(texts[i]) for i in part]
 
 
@@ -553,9 +573,10 @@ def scorer(codes, hot):
             own_codes.append(distinct(coded(own)[0]))
         known = distinct(*own_codes)
         del own_codes
-        nodes, first = inputs_of(known, table, code)
+        inputs, first = inputs_of(known, table, code)
+        heads, find = heads_of(known, first, code), finder(known)
         out = []
-        for own in chunks(texts):
+        for own in chunks(texts, MIXED_BYTES):
             found = hash_words(own)
             keys = found.hashes[0].view(np.int64)
             at = np.minimum(np.searchsorted(word_keys, keys), max(word_keys.size - 1, 0))
@@ -564,7 +585,7 @@ def scorer(codes, hot):
             out.append((np.diff(found.offsets) + 1, np.bincount(text, weights=c > 0, minlength=len(own)),
                         np.bincount(text, weights=np.log10(c + 0.5), minlength=len(own)),
                         np.fromiter(map(len, own), np.int64, len(own)) + 1,
-                        chunk_bits(own, known, nodes, first, code)))
+                        chunk_bits(own, inputs, heads, find, code)))
         tokens, seen, logs, size, bits = (np.concatenate(x) for x in zip(*out))
         return pa.table({
             "doc_id": docs["doc_id"], "held_out": docs["held"], "n_tokens": tokens,

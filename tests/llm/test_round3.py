@@ -289,3 +289,43 @@ def test_bits_sum_to_one_over_all_bytes():
     nodes, first = lm.inputs_of((97 * 256 + np.arange(256)).astype(np.uint64), table, code)
     bits = code.bits[97 * 256:98 * 256]
     assert nodes.size == bits.sum() and first[-1] == bits[:-1].sum()
+
+
+def score_of(texts):
+    """The scorer's answer for a group of texts, without any training text."""
+    import pyarrow as pa
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    none = pa.table({"kind": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "counts": pa.array(
+        [], pa.list_(pa.struct([("byte", pa.int32()), ("n", pa.int64())])))})
+    docs = pa.table({"doc_id": pa.array(range(len(texts))), "text": lm.packed(texts), "held": [True] * len(texts),
+                     "n_bytes": pa.array([len(t) for t in texts], pa.int64())})
+    code = lm.prefix_codes(np.zeros((256, 256), np.int64))
+    return lm.scorer(Sent(code), Sent(lm.answers_of(none)))(docs, none)
+
+
+def test_mixing_lays_out_no_bits_beforehand():
+    """Bits are laid out step by step, in the processor's caches: a byte of text costs its codes, not its bits."""
+    import tracemalloc
+
+    texts = [(" ".join(prose(i, 20)) + " ").encode() * 500 for i in range(20)]
+    tracemalloc.start()
+    try:
+        got = score_of(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150 * got["n_bytes"].to_numpy().sum()
+    assert np.allclose(got["bits"].to_numpy() / got["n_bytes"].to_numpy(), 8, atol=0.1)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 300_000])
+def test_places_of_values_that_share_slots(n):
+    rng = np.random.default_rng(n)
+    known = np.unique(rng.integers(0, 2**48, n, dtype=np.uint64))
+    asked = rng.integers(0, max(known.size, 1), 2 * known.size)
+    assert (lm.finder(known)(known[asked]) == asked).all()
+    assert (lm.places(known.view(np.int64), known.view(np.int64)[asked]) == asked).all()
